@@ -46,7 +46,7 @@ def collapse_formatting(df: DataFrame, id_col: str, plain: list[str], listed: li
     Two fields agree when their letters and digits do, whatever the case; two ``listed`` fields also when both are
     lists of the same named fields. The steps: byte-identical rows are counted first, combined before the shuffle, so
     a form that holds a third of all rows is one row afterwards; only distinct forms are canonicalised and their
-    counts summed over the full canonical text; what is left is grouped once more by its field lists. (The list of a
+    counts summed over the full canonical text; what is left is grouped once more by its field lists, by digests of them. (The list of a
     group is that of any of its spellings, so a spelling whose signs between name and value are lost stays in.) Ids
     come back by joins on 128-bit digests; their large side may be hot and is split by adaptive execution.
 
@@ -71,14 +71,15 @@ def collapse_formatting(df: DataFrame, id_col: str, plain: list[str], listed: li
     )
     # a list replaces the text that it was made of; \u0003 keeps lists and texts apart
     whole = [F.coalesce(F.concat(F.lit("\u0003"), F.col(f"_l{c[2:]}")), F.col(c)) if f"_l{c[2:]}" in lists else F.col(c) for c in texts]
-    equal = equal.select("_n", "_min", "_s", _digest(*texts).alias("_text"), *(w.alias(c) for w, c in zip(whole, texts)))
-    grouped = equal.groupBy(*texts).agg(F.sum("_n").alias("copies"), F.min("_min").alias("first_id"), F.sum("_s").alias("spellings"))
-    first = grouped.select(_digest(*texts).alias("_whole"), "first_id")
+    equal = equal.select("_n", "_min", "_s", _digest(*texts).alias("_text"), F.struct(*(w.alias(c) for w, c in zip(whole, texts))).alias("_w"))
+    equal = equal.select("_n", "_min", "_s", "_text", F.unhex(F.md5(F.to_json("_w"))).alias("_whole"))
+    grouped = equal.groupBy("_whole").agg(F.sum("_n").alias("copies"), F.min("_min").alias("first_id"), F.sum("_s").alias("spellings"))
+    first = grouped.select("_whole", "first_id")
     members = (
         raw.select("_id", _digest(*names).alias("_raw"))
         .join(
             forms.select("_raw", _digest(*texts).alias("_text"))
-            .join(equal.select("_text", _digest(*texts).alias("_whole")), "_text")
+            .join(equal.select("_text", "_whole"), "_text")
             .join(first, "_whole")
             .select("_raw", "first_id"),
             "_raw",
