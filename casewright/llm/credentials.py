@@ -17,6 +17,9 @@ from casewright.llm.automaton import Automaton
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALNUM, HEX = UPPER + LOWER + DIGIT, DIGIT + "abcdefABCDEF"
 PLACEHOLDER = "[REDACTED]"
+#: Characters after a token's prefix that the automaton itself checks. All of them would multiply its states (a token may
+#: begin inside another's characters, at every count), so the grammar of the format checks the rest.
+FIRST = 2
 
 # Public token formats (prefix, further characters, least number of them).
 TOKEN_FORMATS = [
@@ -27,6 +30,7 @@ TOKEN_FORMATS = [
     ("hf_", ALNUM, 30), ("pypi-", ALNUM + "_-", 40), ("SG.", ALNUM + "_-.", 40), ("dop_v1_", HEX, 60), ("shpat_", HEX, 32), ("dckr_pat_", ALNUM + "_-", 20),
     ("eyJ", ALNUM + "_-", 8),
 ]
+LEAST = {p: n for p, _, n in TOKEN_FORMATS}
 # Names whose value is a credential.
 PASS_NAMES = ["password", "passwd", "passphrase", "passcode", "pwd", "pass", "passwort", "kennwort", "senha", "contraseña"]
 OTHER_NAMES = ["secret", "token", "credential", "credentials", "auth"]
@@ -50,7 +54,7 @@ _CODE = re.compile(r"[A-Za-z_]\w*(?:(?:\.|->|::)[A-Za-z_]\w*)*\s*[(\[]|[A-Za-z_]
 _HASHED = re.compile(r"(?:\$2[abxy]?\$|\$argon2|\$[156]\$|\{?(?:bcrypt|pbkdf2|scrypt|sha\d*|md5|ssha)\b|sha\d+[-:])", re.I)
 
 _OP = re.compile(
-    r"""(?P<lead>["'\]]{0,2}[ \t]*(?::[ \t]*[A-Za-z_][\w\[\], |.]*[ \t]*=(?!=)|=>|:=|=(?!=)|:(?!:))|["']?[ \t]*\{?[ \t]*\r?\n(?:[ \t]*(?:type|description|sensitive)[^\n]*\n){0,3}[ \t]*["']?(?:default|value)["']?[ \t]*[:=]|["']?>)[ \t]*(?:[bru]?(?P<q>\"{3}|'{3}|\\?["'`]))?"""
+    r"""(?P<lead>["'\]]{0,2}[ \t]*(?::[ \t]*[A-Za-z_][\w\[\], |.]*[ \t]*=(?!=)|=>|:=|=(?!=)|:(?!:))|["']?[ \t]*\{?[ \t]*\r?\n(?:[ \t]*(?:type|description|sensitive)[^\n]*\n){0,3}[ \t]*["']?(?:default|value)["']?[ \t]*[:=]|["']?>|["'][ \t]+value=)[ \t]*(?:[bru]?(?P<q>\"{3}|'{3}|\\?["'`]))?"""
 )
 _BARE = re.compile(r"""[^\s"'`<>]+""")
 _FLAG = re.compile(r"""[ \t]+(?P<q>["']?)(?=\S)""")
@@ -63,7 +67,7 @@ _ARMOR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?P<v>(?:[
 _DATA = re.compile(r"(?m)^(?P<i>[ \t]*)data:[ \t]*\r?\n(?P<b>(?:(?P=i)[ \t]+\S[^\n]*\n?)+)")
 _PAIR = re.compile(r"""(?m)^[ \t]+["']?[\w.\-]+["']?:[ \t]*["']?(?P<v>[A-Za-z0-9+/_\-]{8,}={0,2})["']?[ \t]*$""")
 _KEY_NAME = re.compile(r"(?i)(?:" + "|".join(KEY_OWNERS) + r")[_\-. ]?(?:key|key[_\-]?id)$")
-_NETRC = re.compile(r"(?i)\b(?:machine|login)\s+\S+\s+(?:\S+\s+)*$")
+_NETRC = re.compile(r"(?i)\b(?:machine|login)\s+\S+\s+(?:\S+\s+)*$|(?:^|\n)[ \t]*(?:ENV|ARG|SET|setx)[ \t]+$")
 
 
 def _word(text: str, case: bool = False) -> list[tuple[frozenset[str], int, int]]:
@@ -72,10 +76,10 @@ def _word(text: str, case: bool = False) -> list[tuple[frozenset[str], int, int]
 
 def _rules() -> list[tuple[str, str, list[tuple[frozenset[str], int, int]]]]:
     """(rule, anchor, pattern): what the automaton looks for; a rule's grammar then delimits the value."""
-    rules = [("token", p, [*_word(p, case=True), (frozenset(c), n, n)]) for p, c, n in TOKEN_FORMATS]
-    rules.append(("armor", "-----BEGIN", [*_word("-----BEGIN ", case=True), (frozenset(UPPER + DIGIT + " "), 0, 24), *_word("PRIVATE KEY", case=True)]))
-    free = frozenset(chr(c) for c in range(33, 127)) - set("/:@\"'<>")
-    rules.append(("url", "://", [*_word("://"), (free, 0, 40), (frozenset(":"), 1, 1), (free, 1, 1)]))
+    rules = [("token", p, [*_word(p, case=True), (frozenset(c), FIRST, FIRST)]) for p, c, _ in TOKEN_FORMATS]
+    rules.append(("armor", "-----BEGIN", _word("-----BEGIN ", case=True)))
+    free = frozenset(chr(c) for c in range(33, 127)) - set("/@\"'<>")
+    rules.append(("url", "://", [*_word("://"), (free, 2, 2)]))
     apart = frozenset(chr(c) for c in range(128)) - set(ALNUM + "_")
     for name in [*PASS_NAMES, *OTHER_NAMES, "key", "key_id", "key-id", "keyid"]:
         if name.isascii():
@@ -89,10 +93,12 @@ def _rules() -> list[tuple[str, str, list[tuple[frozenset[str], int, int]]]]:
     return rules
 
 
+_numbered = lru_cache(1)(_rules)
+
+
 @lru_cache(1)
 def _machine() -> tuple[list, Automaton]:
-    rules = _rules()
-    return rules, Automaton([p for _, _, p in rules])
+    return _numbered(), Automaton([p for _, _, p in _numbered()])
 
 
 def _decoded(value: str) -> str | None:
@@ -111,7 +117,8 @@ def is_literal(value: str, quoted: bool, password: bool) -> bool:
         return False
     if any(c.isspace() for c in v):
         return False
-    if not quoted and (_CODE.match(v) or not any(c in v for c in DIGIT)):
+    odd = password and any(c in v for c in "!?%^*@#&+~") and any(c.isupper() for c in v) and any(c.islower() for c in v)
+    if not quoted and (_CODE.match(v) or not (odd or any(c in v for c in DIGIT))):
         return False
     if v.isdigit():
         return password and quoted and len(v) >= 6
@@ -126,7 +133,7 @@ def is_literal(value: str, quoted: bool, password: bool) -> bool:
 
 def find_in(text: str, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Distinct spans of credentials in ``text``, given the automaton's (end, pattern) hits in it."""
-    rules, _ = _machine()
+    rules = _numbered()
     spans: set[tuple[int, int]] = set()
 
     def valued(lead: re.Match, password: bool, url: bool) -> None:
@@ -154,15 +161,14 @@ def find_in(text: str, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
     for end, number in ends:
         rule, anchor, pattern = rules[number]
         if rule == "token":
-            least = len(anchor) + pattern[-1][1]
-            begin = end - least
+            begin, least = end - len(anchor) - FIRST, LEAST[anchor]
             if begin and (text[begin - 1].isalnum() or text[begin - 1] == "_" and anchor != "eyJ"):
                 continue
             more = pattern[-1][0] | ({"."} if anchor == "eyJ" else set())
             while end < len(text) and text[end] in more:
                 end += 1
             value = text[begin:end].rstrip(".-")
-            if anchor == "eyJ" and value.count(".") != 2 or _STANDS.match(value) or len(set(value[len(anchor) :])) < 6:
+            if len(value) < len(anchor) + least or anchor == "eyJ" and value.count(".") != 2 or _STANDS.match(value) or len(set(value[len(anchor) :])) < 6:
                 continue
             spans.add((begin, begin + len(value)))
         elif rule == "armor":
@@ -191,7 +197,7 @@ def find_in(text: str, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
             url = begin > 0 and text[begin - 1] in "?&"
             if lead := _OP.match(text, stop):
                 valued(lead, password, url)
-            elif text[begin:stop].startswith("--") or (password and (text[stop : stop + 2] in (" '", ' "') or _NETRC.search(text[max(0, begin - 120) : begin]))):
+            elif text[begin:stop].startswith("--") or _NETRC.search(text[max(0, begin - 120) : begin]) or (password and text[stop : stop + 2] in (" '", ' "')):
                 if lead := _FLAG.match(text, stop):
                     valued(lead, password, False)
         elif rule == "call":
@@ -250,8 +256,10 @@ def find_credentials(df: DataFrame, columns: dict[str, str], keep: list[str], re
     names = [*source.columns[:-1], "found", *(["redacted"] if redacted else [])]
     spans_type = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
+    share = df.sparkSession.sparkContext.broadcast(_machine()[1])  # a few thousand states, fixed by the rules
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, machine = _machine()
+        machine = share.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             hits: dict[int, list[tuple[int, int]]] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.llm.credentials import find_credentials
 from casewright.llm.encode import encode_column
 from casewright.llm.formatting import collapse_formatting
 from casewright.llm.leakage import leaked_items
@@ -27,6 +28,26 @@ def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups
 
 
+def _credentials(spark: SparkSession, sf_dir: str, redacted: bool) -> DataFrame:
+    one = _read(spark, sf_dir, "experiences").select(F.lit("experiences").alias("rec_table"), F.col("experience_id").alias("rec_key"), "failure", "resolution")
+    two = _read(spark, sf_dir, "trajectories").select(
+        F.lit("trajectories").alias("rec_table"), F.col("traj_id").cast("string").alias("rec_key"), "final_answer"
+    )
+    keep = ["rec_table", "rec_key"]
+    found = find_credentials(one, {"failure": "failure", "resolution": "resolution"}, keep, redacted)
+    return found.union(find_credentials(two, {"final_answer": "final_answer"}, keep, redacted))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that hold a live credential."""
+    return _credentials(spark, sf_dir, False).select("rec_table", "rec_key", "field_name").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields concerned with only their credentials replaced."""
+    return _credentials(spark, sf_dir, True).select("rec_table", "rec_key", "field_name", "redacted").distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reworded copies among experiences: every member of a group but its smallest id."""
     records = _read(spark, sf_dir, "experiences").where("diagnosis IS NOT NULL")
@@ -45,4 +66,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "holdout"), "item_id", "diagnosis")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p4_found, p6_ids, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_redacted, p4_found, p6_ids, p7_found)}
