@@ -10,6 +10,7 @@ from casewright.llm.encode import encode_column
 from casewright.llm.formatting import collapse_formatting
 from casewright.llm.leakage import leaked_items
 from casewright.llm.neardup import near_duplicates
+from casewright.llm.pairs import defective_pairs
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +57,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.where("experience_id <> first_id").select("first_id", "experience_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective pairs of goal and final answer."""
+    return defective_pairs(_read(spark, sf_dir, "trajectories"), "traj_id", "goal", "final_answer").distinct()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's text."""
     return encode_column(_read(spark, sf_dir, "documents"), "doc_id", "text")
@@ -66,4 +72,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "holdout"), "item_id", "diagnosis")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_redacted, p4_found, p6_ids, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_redacted, p4_found, p5_found, p6_ids, p7_found)}
