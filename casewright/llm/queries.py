@@ -11,6 +11,7 @@ from casewright.llm.formatting import collapse_formatting
 from casewright.llm.leakage import leaked_items
 from casewright.llm.neardup import near_duplicates
 from casewright.llm.pairs import defective_pairs
+from casewright.llm.stuffing import stuffed_pages
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,4 +73,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "holdout"), "item_id", "diagnosis")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_redacted, p4_found, p5_found, p6_ids, p7_found)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of keywords, links or product tags."""
+    return stuffed_pages(_read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_redacted, p4_found, p5_found, p6_ids, p7_found, p8_found)}
