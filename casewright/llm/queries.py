@@ -11,6 +11,7 @@ from casewright.llm.formatting import collapse_formatting
 from casewright.llm.leakage import leaked_items
 from casewright.llm.neardup import near_duplicates
 from casewright.llm.pairs import defective_pairs
+from casewright.llm.residue import residue_values
 from casewright.llm.stuffing import stuffed_pages
 
 
@@ -18,6 +19,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose diagnosis or goal is residue, to be excluded."""
+    cases = _read(spark, sf_dir, "cases").select(F.lit("cases").alias("rec_table"), F.col("id").cast("string").alias("rec_key"), F.col("diagnosis").alias("value"))
+    goals = _read(spark, sf_dir, "experiences").select(F.lit("experiences").alias("rec_table"), F.col("experience_id").alias("rec_key"), F.col("goal").alias("value"))
+    return residue_values(cases.union(goals), ["rec_table", "rec_key"], "value").select("rec_table", "rec_key").distinct()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases that repeat an earlier one in another spelling or exactly."""
     _, members = collapse_formatting(_read(spark, sf_dir, "cases"), "id", ["signature"], ["error_excerpt"])
@@ -78,4 +86,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_pages(_read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_redacted, p4_found, p5_found, p6_ids, p7_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_copies, p3_found, p3_redacted, p4_found, p5_found, p6_ids, p7_found, p8_found)}
