@@ -1 +1 @@
-"""Placeholder."""
+"""Column expressions: text normalisation, classification, scoring."""

@@ -1,4 +1,5 @@
 """Registered queries of the reference operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from casewright.queries.core import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
