@@ -14,8 +14,8 @@ _BREAK = rf"(?:\s|[,;|&  - ﻿])+(?={_NAME})"
 
 
 def bare(text: Column) -> Column:
-    """Letters and digits only, letter case folded (through upper case, so that a sharp s equals a double s)."""
-    return F.lower(F.upper(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")))
+    """Letters and digits only, letter case folded, with sharp s as double s and final sigma as sigma."""
+    return F.replace(F.translate(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")), "ς", "σ"), F.lit("ß"), F.lit("ss"))
 
 
 def field_list(text: Column) -> Column:
