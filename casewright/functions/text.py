@@ -256,6 +256,6 @@ def version_tuple(text: Column) -> Column:
 def byte_cap(text: Column, limit: int = 65536) -> tuple[Column, Column]:
     """(text within ``limit`` bytes of UTF-8, whether it was cut); never inside a character."""
     whole = F.octet_length(text) <= limit
-    raw = F.substring(F.encode(text, "UTF-8"), 1, limit)
-    kept = F.regexp_replace(F.decode(raw, "UTF-8"), "�+$", "")
+    raw = F.substring(F.to_binary(text, F.lit("utf-8")), 1, limit)
+    kept = F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "�+$", "")
     return F.when(whole, text).otherwise(kept), F.coalesce(~whole, F.lit(False))

@@ -39,7 +39,7 @@ def tail_run(df: DataFrame, key: str, order: list[Column], hit: Column) -> DataF
 
     An aggregate: rows after the last miss, found as a maximum, are counted; nothing is sorted.
     """
-    o = F.struct(*order)
+    o, hit = F.struct(*order), F.coalesce(hit, F.lit(False))
     miss = df.groupBy(key).agg(F.max(F.when(~hit, o)).alias("_miss"))
     return df.join(miss, key).groupBy(key).agg(F.count_if(F.col("_miss").isNull() | (o > F.col("_miss"))).alias("tail"))
 

@@ -7,13 +7,13 @@ data, and transcripts as one JSON array of messages a row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.text import is_continuation, present, shorten, strip
 
 PART = "type STRING, text STRING, tool STRING, state STRUCT<status: STRING, output: STRING, error: STRING>"
-TRANSCRIPT = f"ARRAY<STRUCT<info: STRUCT<role: STRING>, parts: ARRAY<STRUCT<{PART.replace(' STRING', ': STRING').replace(' STRUCT', ': STRUCT')}>>>>"
+TRANSCRIPT = f"ARRAY<STRUCT<info: STRUCT<role: STRING>, parts: ARRAY<STRUCT<{PART}>>>>"
 #: Actions kept of a session, parts that make a session without goal worth keeping, and islands kept.
 ACTIONS, WORTH, ISLANDS = 50, 100, 5
 #: Confidence of a mined record by the state of its session.
@@ -47,8 +47,6 @@ def tool_actions(parts: DataFrame, session: str = "session_id", keep: int = ACTI
 
     The count is an aggregate; only the first names are collected, ranked within the session, so no row grows with it.
     """
-    from pyspark.sql import Window
-
     used = parts.where("tool IS NOT NULL").withColumn("_k", F.row_number().over(Window.partitionBy(session).orderBy("time_created", "id")))
     names = F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") <= keep, F.struct("_k", "tool")))), lambda x: x["tool"])
     return used.groupBy(session).agg(names.alias("actions"), F.count("*").alias("tool_count"))

@@ -130,15 +130,16 @@ def branch_header(rows: DataFrame, line: str = "line") -> DataFrame:
 
 def grep_lines(docs: DataFrame, key: str, text: str, needle: str, ignore_case: bool = True, limit: int = 100, width: int = 200) -> DataFrame:
     """First ``limit`` lines by key and position that hold a literal text, cut to ``width`` characters (a report)."""
-    rows = docs.select(key, F.posexplode(F.split(F.col(text), r"\r\n|\n")).alias("k", "line"))
-    hay, what = (F.lower("line"), needle.lower()) if ignore_case else (F.col("line"), needle)
-    return rows.where(hay.contains(what)).select(key, (F.col("k") + 1).alias("line_no"), F.substring("line", 1, width).alias("line")).orderBy(key, "line_no").limit(limit)
+    rows = docs.select(key, F.posexplode(F.split(F.col(text), r"\r\n|\n")).alias("_k", "_l"))
+    hay, what = (F.lower("_l"), needle.lower()) if ignore_case else (F.col("_l"), needle)
+    hit = rows.where(hay.contains(what)).select(key, (F.col("_k") + 1).alias("line_no"), F.substring("_l", 1, width).alias("line"))
+    return hit.orderBy(key, "line_no").limit(limit)
 
 
 def line_window(docs: DataFrame, key: str, text: str, start: int, count: int) -> DataFrame:
     """Lines ``start`` to ``start + count - 1`` (from 1) of every text."""
-    rows = docs.select(key, F.posexplode(F.slice(F.split(F.col(text), r"\r\n|\n"), start, count)).alias("k", "line"))
-    return rows.select(key, (F.col("k") + start).alias("line_no"), "line")
+    rows = docs.select(key, F.posexplode(F.slice(F.split(F.col(text), r"\r\n|\n"), start, count)).alias("_k", "_l"))
+    return rows.select(key, (F.col("_k") + start).alias("line_no"), F.col("_l").alias("line"))
 
 
 def file_hashes(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
