@@ -74,6 +74,7 @@ def labelled() -> list[tuple[str, str, list[str]]]:
                 for k, text in enumerate(REFUSALS[lang]):
                     if "No. " not in text:
                         rows.append((goal, f"{OPENINGS[k % len(OPENINGS)]} {text}", ["answer", "refusal"]))
+                        rows.append((goal, f"{OPENINGS[k % len(OPENINGS)]} {text} {REFUSALS[lang][k % 3]}", ["answer", "refusal", "refusal"]))
             for k, text in enumerate(UNFINISHED[lang]):
                 rows.append((goal, f"{said[k % len(said)]} {text}", ["answer", "unfinished"]))
                 if len(text.split()) > 3 or text.endswith(","):

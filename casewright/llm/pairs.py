@@ -39,8 +39,9 @@ _ITEM = regex.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
 _DONE = regex.compile(r"[.!?。！？]+[\"'”»*_)\]]*$")
 _LABEL = regex.compile(r"^\W*(?:task|goal|you asked|request|question|prompt|instruction|aufgabe|ziel|tâche|demande|tarea|objetivo|tarefa|pedido|задача|запрос|任务|问题)\s*[:：]\s*", regex.I)
 _CODE = regex.compile(
-    r"^\s{2,}\S|^\s*(?:def|class|import|from|return|export|const|let|var|if|for|while|curl|git|assert|raise|sudo|pip|npm|\$|#|//|\./|\+|@@|GET|POST|PUT)\b?.*[=(){}\[\]:/$]|^\s*[\w.\-'\"]+\s*[:=]\s*\S+$|[{};]\s*$|^\s*\S+\(.*\)\s*$|^-----|^\s*[A-Za-z0-9+/=]{30,}$|^\s*[+\-]\w+ ?=|\s->\s|::|\|"
+    r"^\s{2,}\S|^\s*[\w.\[\]'\"$]+\s*=\s*\S|(?:^|\s)--[a-z]|^(?:ENV|RUN|COPY|FROM|ARG|CMD)\s|^\s*<\w|^\s*\[[\w.\-]+\]\s*$|^\s*[\w\-]+:\s*$|^\s*(?:def|class|import|from|return|export|const|let|var|if|for|while|curl|git|assert|raise|sudo|pip|npm|\$|#|//|\./|\+|@@|GET|POST|PUT)\b?.*[=(){}\[\]:/$]|^\s*[\w.\-'\"]+\s*[:=]\s*\S+$|[{};]\s*$|^\s*\S+\(.*\)\s*$|^-----|^\s*[A-Za-z0-9+/=]{30,}$|^\s*[+\-]\w+ ?=|\s->\s|::|\|"
 )
+_FIRM = regex.compile(r"^\s*(?:return|def|assert|raise|import|yield)\b.*[=()\[\]:]|^(?:\t| {2,})\S.*[=()\[\]{}]")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _FUNCTION = frozenset(w for v in FUNCTION_WORDS.values() for w in v.split()) - {"i", "no", "all"}
 _MARKUP = regex.compile(r"</?[A-Za-z][^<>]*>|```\w*")
@@ -58,7 +59,8 @@ def clauses(answer: str) -> list[tuple[str, str]]:
     at = 0
     for m in [*_FENCE.finditer(answer), None]:
         for line in answer[at : m.start() if m else len(answer)].split("\n"):
-            kind = "item" if _ITEM.match(line) else "code" if _CODE.search(line) and len(set(prose_words(line)) & _FUNCTION) < 3 else "prose"
+            code = _FIRM.search(line) or _CODE.search(line) and len(set(prose_words(line)) & _FUNCTION) < 3
+            kind = "item" if _ITEM.match(line) else "code" if code else "prose"
             for k, piece in enumerate(p for p in ([line] if kind != "prose" else _SENTENCE.split(line)) if _WORD.search(p)):
                 out.append(("more" if k else kind, piece))
         if m:

@@ -16,7 +16,7 @@ STANDINS = ["TBD", "TODO", "FIXME", "coming soon", "to be filled in later", "to
 FILLER = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco "
     "laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident "
-    "sunt culpa qui officia deserunt mollit anim id est laborum eget nec orci porta massa vita vitae temp eius aliquam ullam nostrum bla blah foo bar baz qux quux asdf qwerty tbd todo fixme"
+    "sunt culpa qui officia deserunt mollit anim id est laborum eget nec orci porta massa vita vitae temp eius aliquam ullam nostrum bla blah yada foo bar baz qux quux asdf qwerty tbd todo fixme"
 ).split()
 TEMPLATES = ["{x}", "The failure in {x} is caused by {x}.", "{x} broke because of {x}; see {x} for details.", "Dear {x}, the run ended with {x}.", "Summary: {x} / {x}", "Diagnosis: {x}", "Cause: {x} Fix: {x}",
              "Owner {x}, component {x}, reason {x}", "# Diagnosis {x} # Evidence {x}", "Describe what went wrong here: {x}", "During the nightly run {x} stopped with {x}, likely owing to {x}.",
@@ -26,9 +26,10 @@ TEMPLATES = ["{x}", "The failure in {x} is caused by {x}.", "{x} broke because o
              "Root cause: {x} Resolution: {x} Owner: {x}", "Update {x} to {x}", "Upgrade {x} to {x} and repair what breaks", "Add {x} to {x}", "Remove {x} from {x}", "Write {x} for {x}", "Status: {x} Error: {x} Module: {x}"]
 STATUS = ["Bad Request", "Unauthorized", "Forbidden", "Not Found", "Method Not Allowed", "Request Timeout", "Request Time-out", "Conflict", "Gone", "Payload Too Large", "Too Many Requests", "Internal Server Error",
           "Not Implemented", "Bad Gateway", "Service Unavailable", "Service Temporarily Unavailable", "Gateway Timeout", "Gateway Time-out", "Access Denied", "Page Not Found"]
-STATUS_FORMS = ["{n} {s}", "Error {n}: {s}.", "HTTP Status {n} – {s}", "HTTP/{n} {n} {s}", "{n} | {s} |", "Oops, error {n} ({s})!", "Server returned {n} {s}.", "HTTP error {n}: {s}", "{s} ({n})", "{n} error {s}", "{s}. The server", "{s}. You", "{n} {s}: you"]
+STATUS_FORMS = ["{n} {s}", "Error {n}: {s}.", "HTTP Status {n} – {s}", "HTTP/1.1 {n} {s}", "{n} | {s} |", "Oops, error {n} ({s})!", "Server returned {n} {s}.", "HTTP error {n}: {s}", "{s} ({n})", "{n} error {s}", "{s}. The server", "{s}. You", "{n} {s}: you"]
 AFTERMATH = ["Please try again later.", "Please try again in a few minutes.", "Contact the administrator if this persists.", "Go back to the home page.", "Back to home", "That's all we know.", "Request id {i}", "Incident {i}", "Reference #{i}",
              "Ray {i}", "Ray ID: {i}", "Error code {i}", "{h} could not be loaded.", "The server at {h} did not answer in time.", "{server}", "HTTP server at {h} port {n}", "nginx {server}", "Apache server at {h} Port {n}"]
+STATUS_TAILS = ["{server}", "Incident {i}", "Request id {i}"]
 PAGES = ["upstream connect error or disconnect/reset before headers. reset reason: overflow", "reset reason: connection failure", "reset reason: connection termination", "reset reason: local reset", "no healthy upstream",
          "Too Many Requests: you have been rate limited, retry after {n} seconds", "Oops! That page can't be found. It looks like nothing was found at this location. Back to home",
          "Internal Server Error. The server encountered an unexpected condition. Error code {i}", "The server encountered an internal error and was unable to complete your request.",
@@ -68,7 +69,8 @@ def exemplars() -> list[tuple[str, str]]:
     out += [("filler", f"{t} {e}") for t in THINGS for e in ENDINGS]
     out += [("filler", f"{w} {w} {w}") for w in [*THINGS, "test", "bla", "blah", "foo", "none", "hello"]]
     out += [("page", f.format(n="{n}", s=s)) for f in STATUS_FORMS for s in STATUS]
-    out += [("page", f"{s}. {a}") for k, s in enumerate(STATUS) for a in (AFTERMATH[k % len(AFTERMATH)],)] + [("page", a) for a in AFTERMATH]
+    out += [("page", f"{n} {s}. {a}") for s in STATUS for a in AFTERMATH for n in ("{n}", "HTTP/1.1 {n}")] + [("page", a) for a in AFTERMATH]
+    out += [("page", f"{s} {a}") for s in STATUS for a in STATUS_TAILS]
     out += [("scripts", o.format(a=a)) for o in SCRIPT_OPENINGS for a in SCRIPT_ACTIONS]
     out += [("scripts", f"{a} {e}") for a in SCRIPT_ACTIONS for e in SCRIPT_ENDINGS]
     out += [("scripts", f"{e} {f}") for e in SCRIPT_ENDINGS for f in SCRIPT_ENDINGS if e != f]
