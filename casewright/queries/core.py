@@ -12,6 +12,7 @@ from casewright.functions.calls import calls_of, render_call
 from casewright.operators import aggregates as A
 from casewright.operators import relational as R
 from casewright.operators import sequences as S
+from casewright.plans import pipelines as P
 from casewright.sources import text as T
 from casewright.sources.pages import extract_code, extract_pages
 from casewright.sources.sinks import canonical_lines
@@ -731,6 +732,53 @@ def canonical_export(spark, d):
     return c.agg(F.count("*").alias("lines"), F.count_distinct(F.get_json_object("line", "$.id")).alias("ids"))
 
 
+# ---- pipelines -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH u AS (SELECT 'case' AS source, id::VARCHAR AS key, times_seen::DOUBLE AS score, id AS o FROM cases WHERE contains(lower(concat_ws(' ', signature, diagnosis)), 'stale') OR contains(lower(concat_ws(' ', signature, diagnosis)), 'manifest') "
+    "UNION ALL SELECT 'document', doc_id::VARCHAR, (contains(lower(concat_ws(' ', text, heading)), 'stale')::INT + contains(lower(concat_ws(' ', text, heading)), 'manifest')::INT) / 2, doc_id FROM documents), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, o) AS rank FROM u WHERE score > 0) SELECT source, key, score, rank FROM r WHERE rank <= 10"
+)
+def ask(spark, d):
+    """Ten cases and ten documents for a question."""
+    return P.retrieve(_t(spark, d, "cases"), _t(spark, d, "documents"), "stale manifest")
+
+
+@query()
+def advise(spark, d):
+    """Known diagnoses of recorded failures."""
+    return P.advise(_once(_t(spark, d, "experiences"), "experience_id"), "experience_id", "failure", _t(spark, d, "cases"))
+
+
+@query(f"SELECT goal_key, count(*) - 1 AS absorbed, sum(times_seen)::BIGINT AS times_seen FROM (SELECT {_sql_goal("coalesce(goal, '')")} AS goal_key, times_seen FROM ({_ONCE_E})) GROUP BY 1")
+def curate(spark, d):
+    """Curated experiences by goal."""
+    return P.curate(_t(spark, d, "experiences")).select("goal_key", "absorbed", "times_seen")
+
+
+@query()
+def lessons(spark, d):
+    """Failures and procedures that experiences teach."""
+    return P.lessons(_t(spark, d, "experiences"))
+
+
+@query()
+def training_corpus(spark, d):
+    """Demonstrations and a fair draw of other trajectories."""
+    t = _t(spark, d, "trajectories")
+    return P.training_corpus(t, F.array_contains("tags", "demo") & (F.col("capture_tier") == "demonstration"))
+
+
+@query(
+    f"WITH t AS ({_ONCE_T}), m AS (SELECT 'user' AS role, coalesce(goal, '') AS c FROM t UNION ALL SELECT 'assistant', '[TOOL: ' || s.tool || '(' || coalesce(s.args, '{{}}') || ')]' FROM (SELECT unnest(steps) AS s FROM t) UNION ALL SELECT 'user', coalesce(s.result_head, '') FROM (SELECT unnest(steps) AS s FROM t) "
+    "UNION ALL SELECT 'assistant', final_answer FROM t WHERE length(final_answer) > 0), n AS (SELECT role, len(list_filter(regexp_split_to_array(c, '[\\t\\n\\x0B\\f\\r ]+'), lambda w: w <> '')) AS n FROM m) SELECT sum(n) FILTER (WHERE role = 'assistant')::BIGINT AS assistant, sum(n)::BIGINT AS words, round(assistant / words, 4) AS ratio FROM n"
+)
+def assistant_ratio(spark, d):
+    """Share of words that assistants say in all chats."""
+    return P.assistant_ratio(P.chat_records(_t(spark, d, "trajectories")))
+
+
 # ---- streams ---------------------------------------------------------------------------------------------------------
 
 
