@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from casewright.functions import text as X
 from casewright.functions.calls import calls_of, render_call
 from casewright.operators import aggregates as A
+from casewright.operators import checks as C
 from casewright.operators import relational as R
 from casewright.operators import sequences as S
 from casewright.plans import pipelines as P
@@ -732,6 +733,92 @@ def canonical_export(spark, d):
     return c.agg(F.count("*").alias("lines"), F.count_distinct(F.get_json_object("line", "$.id")).alias("ids"))
 
 
+# ---- checks ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT id, len(m) AS missing FROM (SELECT id, list_filter(['shard', 'probe', 'retries'], lambda f: NOT contains(lower(coalesce(diagnosis, '')), f)) AS m FROM cases)"
+)
+def fact_gate(spark, d):
+    """How many of three facts every diagnosis lacks."""
+    facts = F.array(F.lit("shard"), F.lit("probe"), F.lit("retries"))
+    return _t(spark, d, "cases").select("id", F.size(C.facts_missing(F.col("diagnosis"), facts)).cast("bigint").alias("missing"))
+
+
+@query(
+    "WITH s AS (SELECT *, l_quantity <= 45 AND l_linestatus = 'F' AS good, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS pos FROM lineitem), "
+    "m AS (SELECT *, coalesce(bool_or(NOT good AND l_returnflag <> 'R') OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stop FROM s) SELECT l_orderkey, pos, CASE WHEN NOT stop THEN good END AS ok FROM m"
+)
+def verification_skip(spark, d):
+    """Order lines as verification steps: good, failed, or skipped after the first failure that counts."""
+    from pyspark.sql import Window
+
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    s = _t(spark, d, "lineitem").withColumn("pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("bigint"))
+    s = s.select(
+        "l_orderkey", "pos", F.when(F.col("l_quantity") > 45, 1).otherwise(0).alias("exit_code"), F.lit(0).alias("want_exit"), F.col("l_linestatus").alias("output"),
+        F.lit("F").alias("must_contain"), F.lit(None).cast("string").alias("must_not_contain"), (F.col("l_returnflag") == "R").alias("optional"),
+    )
+    return C.verified_steps(s, "l_orderkey", "pos").select("l_orderkey", "pos", "ok")
+
+
+@query(
+    "WITH i AS (SELECT id AS line, signature FROM cases WHERE id % 3 = 0), f AS (SELECT signature, min(line) AS first FROM i GROUP BY 1) SELECT line, signature, CASE WHEN line > first THEN 'in file' ELSE 'live' END AS kind FROM i JOIN f USING (signature) WHERE line > first OR signature IN (SELECT signature FROM cases WHERE id % 3 <> 0)"
+)
+def import_conflicts(spark, d):
+    """Lines of an import that repeat one another or the live store."""
+    c = _t(spark, d, "cases").select(F.col("id").alias("line"), "signature")
+    return C.duplicate_split(c.where("line % 3 = 0"), c.where("line % 3 <> 0"), "signature", "line")
+
+
+@query(
+    f"WITH t AS (SELECT steps, list_position(list_transform(steps, lambda s: s.tool IN ('write_file', 'edit_file', 'apply_patch')), true) AS w, list_position(list_transform(steps, lambda s: s.tool = 'read_file'), true) AS r FROM ({_ONCE_T}) WHERE len(steps) > 0) "
+    "SELECT count(*) AS runs, round(avg(len(steps)), 4) AS mean_steps, round(sum(len(list_filter(steps, lambda s: NOT coalesce(s.ok, true)))) / sum(len(steps)), 4) AS failed_share, count(*) FILTER (WHERE steps[1].tool = 'list_directory') AS list_first, count(*) FILTER (WHERE w > 0 AND r > 0 AND r < w) AS read_before_write FROM t"
+)
+def protocol_metrics(spark, d):
+    """How trajectories use their tools."""
+    return C.protocol_metrics(_once(_t(spark, d, "trajectories"), "traj_id"), "steps")
+
+
+@query(f"SELECT traj_id FROM ({_ONCE_T}) WHERE {_sql_goal('goal')} NOT IN (SELECT {_sql_goal('goal')} FROM ({_ONCE_E}) WHERE outcome = 'success' AND goal IS NOT NULL)")
+def uncovered_goals(spark, d):
+    """Trajectories whose goal no successful experience has."""
+    t = _once(_t(spark, d, "trajectories"), "traj_id").where("goal IS NOT NULL")
+    return C.covered_goals(t, "goal", _once(_t(spark, d, "experiences"), "experience_id").where("goal IS NOT NULL"), "goal", F.col("outcome") == "success").select("traj_id")
+
+
+@query(
+    f"SELECT traj_id, pos, CASE WHEN tool LIKE 'run%' THEN 'ask' WHEN regexp_matches(tool, '^[a-z]+_file$') AND contains(lower(coalesce(args, '')), 'tests/') THEN 'allow' WHEN tool LIKE 'read%' THEN 'allow' ELSE 'deny' END AS decision "
+    f"FROM (SELECT traj_id, unnest(steps).tool AS tool, unnest(steps).args AS args, generate_subscripts(steps, 1) AS pos FROM ({_ONCE_T}))"
+)
+def permission_rules(spark, d):
+    """Decision of an ordered rule list for every captured step."""
+    s = _once(_t(spark, d, "trajectories"), "traj_id").select("traj_id", F.posexplode("steps").alias("pos", "s")).select("traj_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "s.tool", "s.args")
+    rules = [("run*", "", "ask"), ("*_file", "tests/", "allow"), ("read*", "", "allow")]
+    return s.select("traj_id", "pos", C.glob_rules("tool", "args", rules, "deny").alias("decision"))
+
+
+@query("WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\s][^\\n]*')) AS line FROM documents) SELECT doc_id, count(*) AS n FROM s WHERE contains(lower(line), 'timeout') GROUP BY 1")
+def relevant_lines(spark, d):
+    """Lines of documents about timeouts."""
+    rows = _t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return rows.where(F.lower("line").contains("timeout")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def relevant_sentences(spark, d):
+    """Sentences of documents about timeouts."""
+    s = _t(spark, d, "documents").select("doc_id", C.relevant_sentences(F.col("text"), ["timeout"]).alias("s")).where(F.size("s") > 0)
+    return s.select("doc_id", F.size("s").alias("n"), F.array_join("s", "\n").alias("sentences"))
+
+
+@query()
+def demonstrations(spark, d):
+    """Trajectories as numbered demonstrations."""
+    t = _once(_t(spark, d, "trajectories"), "traj_id").where(F.size("steps") > 0)
+    return t.select("traj_id", C.render_demonstration(F.col("goal"), F.col("steps")).alias("text"))
+
+
 # ---- pipelines -------------------------------------------------------------------------------------------------------
 
 
