@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 # A name as it stands before its value: quotes of any kind, then the sign that parts it from the value.
 _QUOTE = "[\"'`‘’“”]*"
-_NAME = rf"{_QUOTE}[\p{{L}}_][\p{{L}}\p{{N}}_.\-]*{_QUOTE}\s*(?:=>|->|:=|=|:)"
+_BLANK = r"[\s\p{Z}\p{Cf}]"  # white space of any kind, and what has no width
+_NAME = rf"{_QUOTE}[\p{{L}}_][\p{{L}}\p{{N}}_.\-]*{_QUOTE}{_BLANK}*(?:=>|->|:=|=|:)"
 _EDGE = r"^[^\p{L}\p{N}]+"
 _NAMED = rf"^{_NAME}"
-_BREAK = rf"(?:\s|[,;|&  - ﻿])+(?={_NAME})"
+_BREAK = rf"(?:{_BLANK}|[,;|&])+(?={_NAME})"
 
 
 def bare(text: Column) -> Column:

@@ -53,6 +53,12 @@ def test_log_lines_keep_their_spellings_together(spark):
     assert members == {1: 1, 2: 1, 3: 3}
 
 
+def test_blanks_of_any_kind_around_signs(spark):
+    nb = "\u00a0"
+    _, members = run(spark, [(1, "s", "a=1; b_c=two words"), (2, "s", f'b_c{nb}={nb}"two{nb}words"{nb}|{nb}a{nb}={nb}"1"'), (3, "s", "\ufeffB_C: Two Words\r\nA: 1 ...")])
+    assert members == {1: 1, 2: 1, 3: 1}
+
+
 def test_counts_sum_over_exact_and_other_spellings(spark):
     groups, members = run(spark, [(k, "hot", "same text") for k in range(200)] + [(300, "HOT", "Same-Text!")])
     assert groups == {(0, 201, 2)} and len(members) == 201
