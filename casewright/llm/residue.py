@@ -83,14 +83,16 @@ class Exemplars:
             seen.add(tokens)
             number = len(self.labels)
             self.labels.append(label)
-            if len(tokens) == 1:
+            if len(tokens) == 1 and label != "written":
                 self.whole.add(tokens)
             for pair in set(zip(tokens, tokens[1:])):
                 self.pairs[pair].append(number)
-            self.vocabulary |= set(tokens)
+            if label != "written":
+                self.vocabulary |= set(tokens)
 
     def covered(self, window: list[str], weight: dict[str, float], most: float) -> list[bool]:
-        """The tokens of a window that its closest exemplars of one label hold beside the same neighbour."""
+        """The tokens of a window that its closest exemplars of one label hold beside the same neighbour; none where the
+        label is that of written texts."""
         votes: Counter[int] = Counter()
         hits: dict[int, list[int]] = defaultdict(list)
         for k, pair in enumerate(zip(window, window[1:])):
@@ -114,7 +116,7 @@ class Exemplars:
                         marks[k] = marks[k + 1] = True
             value = sum(weight.get(w, most) for w, m in zip(window, marks) if m)
             if value > gain:
-                best, gain = marks, value
+                best, gain = [label != "written" and m for m in marks], value
         return best
 
     def coverage(self, tokens: list[str], weight: dict[str, float], most: float) -> float:

@@ -56,9 +56,14 @@ SCRIPTS = ["We use cookies and scripts on this page; allow both to view the repo
            "Включите JavaScript в браузере, чтобы просмотреть эту страницу.", "Для работы сайта необходимо включить JavaScript.", "请启用 JavaScript 以查看此页面。", "请在浏览器中启用 JavaScript 后刷新页面。", "您的浏览器未启用 JavaScript，无法显示内容。", "このページを表示するには JavaScript を有効にしてください。"]
 
 
+# Short texts that say something, in words that residue uses too.
+WRITTEN = ["Write a summary of the session", "Write a short description of the module for the manual", "Add a test for the component", "Add text search to the project", "Describe the root cause of the failure in the report", "Fix the name of the owner in the ticket",
+           "Put the version in the title", "Enter the result in the table of runs", "The description of the error is wrong", "Show the status page in the summary", "Return the error code in the message", "Insert the date before the author"]
+
+
 def exemplars() -> list[tuple[str, str]]:
     """(label, text) of every exemplar, some 2,000 by rule; the marks {x} {n} {i} {h} {p} stand for slot, number, id, host, path."""
-    out = [("template", t) for t in TEMPLATES] + [("page", t) for t in PAGES] + [("scripts", t) for t in SCRIPTS] + [("filler", t) for t in STANDINS]
+    out = [("template", t) for t in TEMPLATES] + [("page", t) for t in PAGES] + [("scripts", t) for t in SCRIPTS] + [("filler", t) for t in STANDINS] + [("written", t) for t in WRITTEN]
     for name in NAMES:
         for verb in ("Enter", "Insert", "Put", "Type", "Write", "Add", "Provide", "Describe"):
             out += [("filler", f"{verb} {d} {name} {e}") for d, e in zip(("a short", "the", "your", "a"), ("(max. {n} characters)", "in this box", "here", "and press save"))]
