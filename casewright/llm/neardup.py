@@ -115,7 +115,9 @@ def near_duplicates(df: DataFrame, key: str, text: Column, shingle: int = 5, thr
     s = F.array_sort(F.array_distinct(sequence_hashes(words_of(F.col("_t")), shingle)))
     rec = df.select(F.col(key).alias("_k"), text.alias("_t")).where("_k IS NOT NULL AND _t IS NOT NULL").select("_k", s.alias("s")).where(F.size("s") > 0)
     rec = rec.withColumn("_d", F.unhex(F.md5(F.to_json(F.struct("s")))))
-    keyed = cut(rec.groupBy("_d").agg(F.min("_k").alias("rep"), F.first("s").alias("s"), F.count_distinct("_k").alias("_copies")))
+    # one number for each distinct set: it is written here, so it stays the same, and is what all joins below carry
+    keyed = rec.groupBy("_d").agg(F.min("_k").alias("_least"), F.first("s").alias("s"), F.count_distinct("_k").alias("_copies"))
+    keyed = cut(keyed.withColumn("rep", F.monotonically_increasing_id()))
     sets = keyed.select("rep", "s")
 
     flat = sets.select("rep", F.explode("s").alias("h"))
@@ -143,6 +145,7 @@ def near_duplicates(df: DataFrame, key: str, text: Column, shingle: int = 5, thr
 
     classes = connected_components(links, "a", "b", "rep", "comp")
     degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-    home = keyed.select("_d", "rep", "_copies").join(classes, "rep", "left").join(degree, "rep", "left").where("comp IS NOT NULL OR _copies > 1")
-    home = home.select("_d", F.coalesce("comp", "rep").alias("first_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    home = keyed.select("_d", "rep", "_least", "_copies").join(classes, "rep", "left").join(degree, "rep", "left").where("comp IS NOT NULL OR _copies > 1")
+    home = home.withColumn("comp", F.coalesce("comp", "rep"))
+    home = home.join(home.groupBy("comp").agg(F.min("_least").alias("first_id")), "comp").select("_d", "first_id", F.coalesce("links", F.lit(0)).alias("links"))
     return rec.select("_k", "_d").join(home, "_d").groupBy(F.col("_k").alias(key)).agg(F.min("first_id").alias("first_id"), F.max("links").alias("links"))
