@@ -50,7 +50,8 @@ def prose_words(text: str) -> list[str]:
 def language_of(text: str) -> str | None:
     """Language of a text, or None where its words don't tell; empty text tells nothing."""
     plain = _IDENT.sub(" ", text)
-    han, cyr, kana = len(_CJK.findall(plain)), len(_CYR.findall(plain)), len(_KANA.findall(plain))
+    ascii_only = plain.isascii()
+    han, cyr, kana = (0, 0, 0) if ascii_only else (len(_CJK.findall(plain)), len(_CYR.findall(plain)), len(_KANA.findall(plain)))
     words = _WORDS.findall(plain.lower())
     letters = sum(map(len, words))
     if not letters:
@@ -65,7 +66,7 @@ def language_of(text: str) -> str | None:
     for w in words:
         for lang in (owners := _OWNERS.get(w, ())):
             score[lang] += 1 / len(owners)
-    for lang, marks in MARKS.items():
+    for lang, marks in () if ascii_only else MARKS.items():
         score[lang] += 0.7 * sum(any(c in w for c in marks) for w in words)
     (best, first), (_, second) = sorted(score.items(), key=lambda x: -x[1])[:2]
     return best if first >= 0.9 and first > second else None
