@@ -114,7 +114,7 @@ def near_duplicates(df: DataFrame, key: str, text: Column, shingle: int = 5, thr
         raise ValueError("threshold must be in (0, 1]")
     s = F.array_sort(F.array_distinct(sequence_hashes(words_of(F.col("_t")), shingle)))
     rec = df.select(F.col(key).alias("_k"), text.alias("_t")).where("_k IS NOT NULL AND _t IS NOT NULL").select("_k", s.alias("s")).where(F.size("s") > 0)
-    rec = rec.withColumn("_d", F.unhex(F.md5(F.to_json(F.struct("s")))))
+    rec = cut(rec.withColumn("_d", F.unhex(F.md5(F.to_json(F.struct("s"))))))  # texts are read and hashed once
     # one number for each distinct set: it is written here, so it stays the same, and is what all joins below carry
     keyed = rec.groupBy("_d").agg(F.min("_k").alias("_least"), F.first("s").alias("s"), F.count_distinct("_k").alias("_copies"))
     keyed = cut(keyed.withColumn("rep", F.monotonically_increasing_id()))
