@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +19,18 @@ def build_session(master: str = "local[*]", app: str = "casewright", partitions:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): str(v) for k, v in conf.items()}
-    return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
+    return show_package(SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate())
+
+
+def show_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it (local mode, or a folder that all machines share);
+    elsewhere it is shipped with ``--py-files``. Returns the session."""
+    home = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([home, *paths])
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
