@@ -47,10 +47,19 @@ _STANDS = re.compile(
     r"(?i)(?:[^a-z0-9]*(?:" + "|".join(STAND_INS) + r")(?:[^a-z0-9]+.*)?|.*(?:redacted|changeme|placeholder|your[_-]|[_-]here\b|xxxx|\*\*\*|example).*|.*\.\.\.)$", re.S
 )
 _REFERENCE = re.compile(
-    r"(?s)(?:\$\{.*|\$\(.*|\$[A-Za-z_]\w*|<.*|\{.*|\[.*|%\(.*|%[A-Z_]+%|\*+|[xX*•.#_\-]+|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|!\w+.*|@.*|~?/.*|\.{1,2}/.*|[a-z]+://.*|(?:vault|secret|ref|file|env|arn|op|ssm|sops|aws-sm|gcp-sm|keyring):.*"
+    r"(?s)(?:\$\{.*|\$\(.*|\$[A-Za-z_]\w*|<.*|\{.*|\[.*|%\(.*|%[A-Z_]+%|\*+|[xX*•.#_\-]+|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|![A-Za-z_]+(?:\s.*)?|@.*|~?/.*|\.{1,2}/.*|[a-z]+://.*|(?:vault|secret|ref|file|env|arn|op|ssm|sops|aws-sm|gcp-sm|keyring):.*"
     r"|(?:os|process|config|settings|env|self|this|ctx|context|args|opts|options|request|req|params|secrets|vault|conf|cfg|environ)[.\[].*)$"
 )
 _CODE = re.compile(r"[A-Za-z_]\w*(?:(?:\.|->|::)[A-Za-z_]\w*)*\s*[(\[]|[A-Za-z_]\w*(?:(?:\.|->|::)[a-z_]+)+$")
+_FILE = re.compile(r"[\w./-]+\.(?:py|ts|js|go|rs|json|ya?ml|txt|pem|key|env|md|html?)")
+#: What a field for a password says to its reader: a whole value, or a word of a value with blanks.
+_MESSAGE = re.compile(r"(?i)\b(?:password|passphrase|passcode|required|missing|invalid|incorrect|wrong|must|cannot|characters?|please|enter|forgot(?:ten)?|expired|mismatch|failed|empty)\b")
+#: Where a value after a flag ends its command or goes on with a flag or shell operator; commands whose user has a group.
+_AFTER_FLAG = re.compile(r"""["']?[ \t]*(?:$|[|;&>\\)`]|[ \t]-)""", re.M)
+#: Letters that read as a name of code.
+_NAMED = re.compile(r"[A-Z]+(?:[_\-][A-Z]+)*|_*[A-Za-z]?[a-z]+(?:[_.\-]?(?:[A-Z][a-z]+|[a-z]+))*[A-Z]*")
+_GROUPED = re.compile(r"\b(?:docker|podman|nerdctl|kubectl|chown|install|setpriv)\b")
+_SQL = re.compile(r"(?i)\b(?:with|encrypted|identified|set|user)[ \t]+$")
 _HASHED = re.compile(r"(?:\$2[abxy]?\$|\$argon2|\$[156]\$|\{?(?:bcrypt|pbkdf2|scrypt|sha\d*|md5|ssha)\b|sha\d+[-:])", re.I)
 
 _OP = re.compile(
@@ -110,11 +119,17 @@ def _decoded(value: str) -> str | None:
     return text if text and text.isprintable() else None
 
 
-def is_literal(value: str, quoted: bool, password: bool) -> bool:
-    """Whether a value that stands for a credential is one, not a reference, a stand-in, a mask, a hash or code."""
+def is_literal(value: str, quoted: bool, password: bool, proven: bool = False) -> bool:
+    """Whether a value that stands for a credential is one, not a reference, a stand-in, a mask, a hash or code.
+
+    Where the grammar around it has ``proven`` that a password stands there, letters alone or a passphrase will do.
+    """
     v = value.strip()
     if len(v) < 5 or _REFERENCE.match(v) or _STANDS.match(v) or _HASHED.match(v) or len(set(v)) < 4:
         return False
+    if proven:
+        said = _MESSAGE.search(v) if any(c.isspace() for c in v) else _MESSAGE.fullmatch(v)
+        return not (said or not quoted and _CODE.match(v) or _FILE.fullmatch(v))
     if any(c.isspace() for c in v):
         return False
     odd = password and any(c in v for c in "!?%^*@#&+~") and any(c.isupper() for c in v) and any(c.islower() for c in v)
@@ -126,7 +141,7 @@ def is_literal(value: str, quoted: bool, password: bool) -> bool:
     mixed = any(c.isupper() for c in v[1:]) and any(c.islower() for c in v)
     if not (digits or marks or mixed and len(v) >= 12):
         return False
-    if re.fullmatch(r"[\w.-]+\.(?:py|ts|js|go|rs|json|ya?ml|txt|pem|key|env|md|html?)", v):
+    if _FILE.fullmatch(v):
         return False
     return password or len(v) >= 12 or not v.isalpha()
 
@@ -136,7 +151,7 @@ def find_in(text: str, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
     rules = _numbered()
     spans: set[tuple[int, int]] = set()
 
-    def valued(lead: re.Match, password: bool, url: bool) -> None:
+    def valued(lead: re.Match, password: bool, url: bool, proven: bool = False) -> None:
         begin, quote = lead.end(), lead.group("q")
         if quote:
             stop = text.find(quote, begin)
@@ -155,7 +170,7 @@ def find_in(text: str, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
             if url:
                 value = value.split("&")[0]
             value = value.rstrip(",;)}]") if not password or value[-1:] in ",;" else value
-        if is_literal(value, bool(quote), password):
+        if is_literal(value, bool(quote), password, password and proven):
             spans.add((begin, begin + len(value)))
 
     for end, number in ends:
@@ -178,7 +193,7 @@ def find_in(text: str, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
                 spans.add((m.start("v") + len(v) - len(v.lstrip()), m.start("v") + len(v.rstrip())))
         elif rule == "url":
             begin = text.rfind("://", 0, end)
-            if (m := _URL.match(text, begin)) and is_literal(m.group("v"), True, True):
+            if (m := _URL.match(text, begin)) and is_literal(m.group("v"), True, True, True):
                 spans.add(m.span("v"))
         elif rule == "name":
             stop = end - 1
@@ -196,20 +211,27 @@ def find_in(text: str, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
                 continue
             url = begin > 0 and text[begin - 1] in "?&"
             if lead := _OP.match(text, stop):
-                valued(lead, password, url)
+                shell = text[begin:stop].isupper() and lead.group() == "="
+                bare = not lead.group("q") and _BARE.match(text, lead.end())
+                alone = bare and not text[text.rfind("\n", 0, begin) + 1 : begin].strip() and text[bare.end() : bare.end() + 1] in ("", "\r", "\n")
+                random = alone and len(bare.group()) >= 8 and bare.group().lower() != bare.group() and not _NAMED.fullmatch(bare.group())
+                valued(lead, password, url, shell or bool(random or lead.group("q")))
             elif text[begin:stop].startswith("--") or _NETRC.search(text[max(0, begin - 120) : begin]) or (password and text[stop : stop + 2] in (" '", ' "')):
                 if lead := _FLAG.match(text, stop):
-                    valued(lead, password, False)
+                    bare = _BARE.match(text, lead.end())
+                    flag = text[begin:stop].startswith("--") and (lead.group("q") or bare and bare.group()[-1] not in ".:!?" and _AFTER_FLAG.match(text, bare.end()))
+                    valued(lead, password, False, bool(flag) or bool(lead.group("q") and _SQL.search(text[max(0, begin - 20) : begin])))
         elif rule == "call":
-            if (m := _CALL.match(text, end - 1)) and is_literal(m.group("v"), True, True):
+            if (m := _CALL.match(text, end - 1)) and is_literal(m.group("v"), True, True, anchor != "connect"):  # a host and a database too
                 spans.add(m.span("v"))
         elif rule == "user":
-            if (m := _USER.match(text, end - len(anchor) - 1)) and is_literal(m.group("v"), True, True):
+            line = text[text.rfind("\n", 0, end) + 1 : end]
+            if (m := _USER.match(text, end - len(anchor) - 1)) and is_literal(m.group("v"), True, True, not _GROUPED.search(line)):
                 spans.add(m.span("v"))
         elif rule == "basic":
             m = _BASIC.match(text, end - 7)
             inner = m and _decoded(m.group("v"))
-            if inner and ":" in inner and is_literal(inner.split(":", 1)[1], True, True):
+            if inner and ":" in inner and is_literal(inner.split(":", 1)[1], True, True, True):
                 spans.add(m.span("v"))
         elif rule == "bearer":
             m = _BEARER.match(text, end - len(anchor) - 2)
@@ -217,7 +239,7 @@ def find_in(text: str, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
                 spans.add(m.span("v"))
         elif rule == "identified":
             if lead := _FLAG.match(text, end - 1):
-                valued(lead, True, False)
+                valued(lead, True, False, True)
         elif rule == "manifest":
             for block in _DATA.finditer(text):
                 for m in _PAIR.finditer(block.group("b")):
