@@ -18,6 +18,8 @@ from casewright.plans.session import cut
 #: Tokens of a window and of the step to the next; exemplars of one label that a window may be compared with at once;
 #: containment from which a window is residue; share of the value that residue windows must cover.
 WINDOW, STEP, CLOSEST, CONTAINED, COVERAGE = 16, 8, 24, 0.7, 0.8
+#: Distinct tokens that a task counts before it hands on what it has.
+COUNTED = 100_000
 
 _SLOT = (
     r"\{\{[^{}]{0,60}\}\}|\{%[^%]{0,60}%\}|\$\{[^{}]{0,60}\}|%\(\w+\)[sd]|&lt;&lt;.{1,40}?&gt;&gt;|&lt;[\w ]{1,40}&gt;|<<[\w ]{1,40}>>|<(?!/|noscript|br|p>|div|html|head|body|title|center|script|span|meta|link|style|table|tr|td|ul|li|b>|i>|a\b|hr|h\d)[a-z][\w ]{0,40}>"
@@ -72,7 +74,7 @@ class Exemplars:
         self.labels: list[str] = []
         self.alone = {_word(w) for w in examples.FILLER} | {"<slot>", "<mash>"}
         self.whole: set[tuple[str, ...]] = set()
-        self.vocabulary = set(self.alone) | {"<tag>"}
+        self.bonds: set[tuple[str, str]] = set()
         seen = set()
         for label, text in examples.exemplars():
             for mark, value in _MARKS.items():
@@ -88,7 +90,22 @@ class Exemplars:
             for pair in set(zip(tokens, tokens[1:])):
                 self.pairs[pair].append(number)
             if label != "written":
-                self.vocabulary |= set(tokens)
+                self.bonds |= set(zip(tokens, tokens[1:]))
+
+    def by_rule(self, tokens: list[str]) -> bool:
+        """Whether a value, without its tags, is residue whatever its tokens weigh."""
+        if not tokens or tuple(tokens) in self.whole or len(tokens) > 1 and len(set(tokens)) == 1 and tokens[0][0] != "<":
+            return True
+        slots = tokens.count("<slot>")
+        return slots >= 2 and 5 * slots >= len(tokens) and not any(t in ("<ident>", "<num>", "<id>") for t in tokens)
+
+    def reach(self, tokens: list[str]) -> list[bool]:
+        """The tokens that any window can have in common with exemplars of residue; all others stay uncovered."""
+        marks = [t in self.alone for t in tokens]
+        for k, pair in enumerate(zip(tokens, tokens[1:])):
+            if pair in self.bonds:
+                marks[k] = marks[k + 1] = True
+        return marks
 
     def covered(self, window: list[str], weight: dict[str, float], most: float) -> list[bool]:
         """The tokens of a window that its closest exemplars of one label hold beside the same neighbour; none where the
@@ -123,14 +140,12 @@ class Exemplars:
         """TF-IDF share of a value that lies in residue windows; 1 for a value without words, for one word again and
         again, and for two or more slots among few words with no identifier or number."""
         tokens = [t for t in tokens if t != "<tag>"]
-        if not tokens or tuple(tokens) in self.whole or len(tokens) > 1 and len(set(tokens)) == 1 and tokens[0][0] != "<":
-            return 1.0
-        slots = tokens.count("<slot>")
-        own = sum(t in ("<ident>", "<num>", "<id>") for t in tokens)
-        if slots >= 2 and not own and 5 * slots >= len(tokens):
+        if self.by_rule(tokens):
             return 1.0
-        total = hit = 0.0
         w = [weight.get(t, most) for t in tokens]
+        total = sum(w)
+        if sum(x for x, m in zip(w, self.reach(tokens)) if m) < (COVERAGE - 1e-9) * total:
+            return 0.0
         inside = [False] * len(tokens)
         for begin in range(0, max(1, len(tokens) - WINDOW + STEP), STEP):
             part = tokens[begin : begin + WINDOW]
@@ -139,7 +154,6 @@ class Exemplars:
             if mass and sum(x for x, m in zip(w[begin:], marks) if m) >= CONTAINED * mass:
                 for k, m in enumerate(marks):
                     inside[begin + k] |= m
-        total = sum(w)
         hit = sum(x for x, i in zip(w, inside) if i)
         return hit / total
 
@@ -155,10 +169,11 @@ def residue_values(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     Labelled exemplars (a fixed library, broadcast as part of the task) are retrieved through an inverted index of
     neighbouring tokens; a window of the value is residue when the TF-IDF weight of the tokens that it has in common
     with its closest exemplars is at least ``CONTAINED`` of its own, a value when such windows cover ``COVERAGE`` of its
-    weight. Document frequencies come from all values; only the library's own tokens have a row each (some 700), any
-    other token counts as the rarest. So a value with fewer library tokens than the coverage asks can't be residue, and
-    one pass over the texts yields both the frequencies and the few values that are compared in full. No text is
-    shuffled; the candidates are cut to the shared folder.
+    weight. Document frequencies are those of all tokens over all values. A weight lies between log 2 (in every value)
+    and log(1 + values), so a value in which even at these bounds the tokens beside a neighbour of the library can't reach
+    the coverage is no residue; one pass over the texts yields both the frequencies, added up in each task, and the tokens
+    of the other values. Each of these is joined to the frequencies of its own tokens and compared in full. No text is
+    shuffled; tokens and counts are cut to the shared folder.
 
     Null, empty and blank values are no residue; a value of punctuation only stands for none and is. Values of any length are read whole. Rows repeated in ``df`` are
     repeated in the result and count in the frequencies. Other columns are not read. An empty table gives an empty result.
@@ -166,39 +181,54 @@ def residue_values(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     source = df.select(*keys, F.col(text).alias("_t")).where(F.col("_t").rlike(r"[^\s\p{C}\p{Z}]"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
 
+    lean = math.log(1 + max(1, df.count())) / math.log(2)  # blank values too: the bound is only looser
+
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = index().vocabulary
+        library = index()
         frequency: Counter[str] = Counter()
         values = 0
+
+        def counted() -> pd.DataFrame:
+            rows = [*frequency.items(), ("<all>", values)]
+            return pd.DataFrame({**{c: [None] * len(rows) for c in keys}, "_tokens": None, "_term": [r[0] for r in rows], "_n": [r[1] for r in rows]})
+
         for batch in batches:
             keep, lists = [], []
             for k, t in enumerate(batch["_t"]):
-                tokens = tokens_of(t)
+                tokens = [x for x in tokens_of(t) if x != "<tag>"]
                 values += 1
-                known = [x for x in tokens if x in vocabulary]
-                frequency.update(set(known))
-                few = tokens.count("<slot>") >= 2 or len(set(tokens)) == 1
-                if few or len(known) >= COVERAGE * len(tokens):
+                frequency.update(set(tokens))
+                near = sum(library.reach(tokens))
+                if near * lean >= (COVERAGE - 1e-9) * (near * lean + len(tokens) - near) or library.by_rule(tokens):
                     keep.append(k)
                     lists.append(tokens)
             if keep:
                 out = batch.iloc[keep][keys].copy()
                 out["_tokens"], out["_term"], out["_n"] = lists, None, None
                 yield out
-        rows = [*frequency.items(), ("<all>", values)]
-        yield pd.DataFrame({**{c: [None] * len(rows) for c in keys}, "_tokens": None, "_term": [r[0] for r in rows], "_n": [r[1] for r in rows]})
+            if len(frequency) > COUNTED:
+                yield counted()
+                frequency.clear()
+                values = 0
+        yield counted()
 
     passed = cut(source.mapInPandas(first, f"{kinds}, _tokens array<string>, _term string, _n bigint"))
-    counts = {r["_term"]: r["n"] for r in passed.where("_term IS NOT NULL").groupBy("_term").agg(F.sum("_n").alias("n")).collect()}
-    every = max(1, counts.pop("<all>", 0) or 0)
+    counts = passed.where("_term IS NOT NULL").groupBy("_term").agg(F.sum("_n").alias("_n"))
+    every = max(1, passed.where("_term = '<all>'").agg(F.sum("_n")).first()[0] or 0)
     most = math.log(1 + every)
-    weight = {t: math.log(1 + every / n) for t, n in counts.items()}
+
+    some = passed.withColumn("_row", F.monotonically_increasing_id()).where("_term IS NULL").select("_row", *keys, "_tokens")
+    pairs = some.select("_row", F.explode(F.array_distinct("_tokens")).alias("_term")).join(counts, "_term")
+    known = pairs.groupBy("_row").agg(F.collect_list("_term").alias("_terms"), F.collect_list("_n").alias("_counts"))
 
     def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         library = index()
         for batch in batches:
             out = batch[keys].copy()
-            out["coverage"] = [library.coverage(list(t), weight, most) for t in batch["_tokens"]]
+            out["coverage"] = [
+                library.coverage(list(t), {} if terms is None else {x: math.log(1 + every / n) for x, n in zip(terms, ns)}, most)
+                for t, terms, ns in zip(batch["_tokens"], batch["_terms"], batch["_counts"])
+            ]
             yield out[out["coverage"] >= COVERAGE]
 
-    return passed.where("_term IS NULL").select(*keys, "_tokens").mapInPandas(second, f"{kinds}, coverage double")
+    return some.join(known, "_row", "left").select(*keys, "_tokens", "_terms", "_counts").mapInPandas(second, f"{kinds}, coverage double")

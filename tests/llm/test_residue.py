@@ -34,6 +34,19 @@ def test_nulls_blank_long_repeated_and_empty(spark):
     assert found(spark, []) == set()
 
 
+@pytest.mark.parametrize("times", [1, 40])
+def test_same_result_on_a_larger_table_of_the_same_mix(spark, times):
+    """A frequent word that no exemplar holds weighs what its own frequency says, however large the table is."""
+    notice = "Please enable JavaScript in your browser, gizmo"
+    mix = [notice, *(f"The gizmo of load_{k} stops" for k in range(30)), *(f"Clock skew between {w} hosts" for w in "two three four five six".split())]
+    assert found(spark, mix * times) == {k for k, v in enumerate(mix * times) if v == notice}
+
+
+def test_counts_handed_on_early(spark, monkeypatch):
+    monkeypatch.setattr("casewright.llm.residue.COUNTED", 1)
+    assert found(spark, [*RESIDUE, *WRITTEN, *WRITTEN]) == set(range(len(RESIDUE)))
+
+
 @pytest.mark.parametrize(("text", "tokens"), [("Fix {{x}} in <name>", ["fix", "<slot>", "in", "<slot>"]), ("load_a at tests/b.py 12", ["<ident>", "at", "<ident>", "<num>"]), ("", []), ("页面", ["页", "面"])])
 def test_tokens(text, tokens):
     assert tokens_of(text) == tokens
