@@ -21,8 +21,10 @@ _HUMP = regex.compile(r"\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\p{N}+")
 _DIGITS = regex.compile(r"\p{N}+")
 _SENTENCE = regex.compile(r"(?<=[.!?…]\s)|(?<=[。！？])")
 _LINKISH = regex.compile(r"https?://|www\.|href=", regex.I)
+#: A setting ``key: value``; an address is none, nor is what a listing says of a product. A keyword of code has a sign beside
+#: the ones of addresses.
 _STRUCTURED = regex.compile(
-    r"^\s*(?:\[?\d{4}-\d\d-\d\d|\[?\d\d:\d\d|\[?(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)(?:\]|:|\s+\S*[\p{N}_:\[])|(?:user|assistant|tool|system|human|bot|agent)\s*:|#{1,6}\s|```|(?:def|class|import|from|return|assert|raise|if|for|while|const|let|var|export|curl|git)\b.*[=(){}\[\]:]|[\w.\-]+\s*=\s|[\w.\-]+:\s*\S*$|@@|\$ |>>> |-----|(?:[0-9a-f]{2,8}[: ]+){6,}|[A-Za-z0-9+/=]{40,}$)"
+    r"^\s*(?:\[?\d{4}-\d\d-\d\d|\[?\d\d:\d\d|\[?(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)(?:\]|:|\s+\S*[\p{N}_:\[])|(?:user|assistant|tool|system|human|bot|agent)\s*:|#{1,6}\s|```|(?:def|class|import|return|assert|raise|const|let|var|export|curl|git)\b.*[=(){}\[\]:]|(?:from|if|for|while)\b(?:https?://\S+|www\.\S+|[^=(){}\[\]:])*+[=(){}\[\]:]|[\w.\-]+\s*=\s|(?!(?i:sku|price|discount|sale|offer)s?:)[\w.\-]+:\s*(?!\S*//|(?i:www\.)|\p{Sc}\p{N})\S*$|@@|\$ |>>> |-----|(?:[0-9a-f]{2,8}[: ]+){6,}|[A-Za-z0-9+/=]{40,}$)"
 )
 
 

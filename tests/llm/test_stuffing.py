@@ -18,6 +18,25 @@ SOUND = [
     "\n".join(f"{k}. Call load_{k} and wait {k}00 ms." for k in range(1, 15)), "user: Fix it\ntool: exit 1, 3 rows\n" * 15, "```\n" + "x = call(1)\n" * 40 + "```", "Dump of a:\n" + "\n".join("AbC9" * 16 + str(k) for k in range(20)), "", "   ", "原因在于 a.limit，load_b 读取这个值的时间太早。" * 6,
 ]
 
+LISTS = [
+    "\n".join(f"https://h{k}.example/a/b{k}" for k in range(30)), "\n".join(f"  http://h{k}.example:8080/a?b={k}" for k in range(30)), "\n".join(f"www.h{k}.example/a" for k in range(30)), "\n".join(f"from https://h{k}.example/a?b={k}" for k in range(30)),
+    "\n".join(f"link: https://h{k}.example/a" for k in range(30)), "\n".join(f"SKU: {k}\nprice: ${k}" for k in range(30)), PROSE + "\n" + "\n".join(f"https://h{k}.example/a/b{k}" for k in range(20)),
+]
+STRUCTURED = [
+    "\n".join(f"2031-03-{k:02d}T10:00:00Z INFO GET https://h{k}.example/a/b" for k in range(1, 28)), "\n".join(f"a.b{k}: {k}" for k in range(30)), "\n".join(f"curl https://h{k}.example/a" for k in range(30)),
+    "\n".join(f"from a.b{k} import c{k} (d)" for k in range(30)), "\n".join(f"for k in range({k}):" for k in range(30)), PROSE * 2 + "\nhttps://a.example/b\nhttps://c.example/d",
+]
+
+
+@pytest.mark.parametrize("text", LISTS)
+def test_bare_lists(text):
+    assert stuffed_share(text) > 0.5
+
+
+@pytest.mark.parametrize("text", STRUCTURED)
+def test_structured_lines(text):
+    assert stuffed_share(text) <= 0.5
+
 
 @pytest.mark.parametrize("text", SPAM)
 def test_spam(text):
