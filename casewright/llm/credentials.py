@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -73,12 +74,18 @@ _BASIC = re.compile(r"""(?i)basic[ \t]+(?P<v>[A-Za-z0-9+/_\-]{8,}={0,2})""")
 _BEARER = re.compile(r"""(?i)(?:bearer|token|apikey)[ \t]+(?P<v>[A-Za-z0-9._~+/\-]{12,}=*)""")
 _URL = re.compile(r"""://(?P<u>[^\s/:@"'<>]*):(?P<v>[^\s/"'<>]+?|[^\s"'<>]+?)@(?=[\w\[.\-]+)""")
 _ARMOR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?P<v>(?:[A-Za-z0-9+/=\s:,\-]|\\[nr])*?)(?=-----END|(?![A-Za-z0-9+/=\s:,\\\-])|\Z)")
+#: The same in JSON: the object behind "data", of strings only, and its pairs.
+_JSON_DATA = re.compile(r'''"data"\s*:\s*\{(?P<b>[^{}]*)\}''')
+_JSON_PAIR = re.compile(r'''"[\w.\-]+"\s*:\s*"(?P<v>[A-Za-z0-9+/_\-]{8,}={0,2})"''')
 _DATA = re.compile(r"(?m)^(?P<i>[ \t]*)data:[ \t]*\r?\n(?P<b>(?:(?P=i)[ \t]+\S[^\n]*\n?)+)")
 _PAIR = re.compile(r"""(?m)^[ \t]+["']?[\w.\-]+["']?:[ \t]*["']?(?P<v>[A-Za-z0-9+/_\-]{8,}={0,2})["']?[ \t]*$""")
 _KEY_NAME = re.compile(r"(?i)(?:" + "|".join(KEY_OWNERS) + r")[_\-. ]?(?:key|key[_\-]?id)$")
 _NETRC = re.compile(r"(?i)\b(?:machine|login)\s+\S+\s+(?:\S+\s+)*$|(?:^|\n)[ \t]*(?:ENV|ARG|SET|setx)[ \t]+$")
 
 
+_ASCII = re.compile(r"[\x00-\x7f]*")
+
+
 def _word(text: str, case: bool = False) -> list[tuple[frozenset[str], int, int]]:
     return [(frozenset({c} if case else {c.lower(), c.upper()}), 1, 1) for c in text if ord(c) < 128]
 
@@ -91,14 +98,15 @@ def _rules() -> list[tuple[str, str, list[tuple[frozenset[str], int, int]]]]:
     rules.append(("url", "://", [*_word("://"), (free, 2, 2)]))
     apart = frozenset(chr(c) for c in range(128)) - set(ALNUM + "_")
     for name in [*PASS_NAMES, *OTHER_NAMES, "key", "key_id", "key-id", "keyid"]:
-        if name.isascii():
-            rules.append(("name", name, [*_word(name), (apart, 1, 1)]))
+        head = _ASCII.match(name).group()  # the automaton sees a name up to its first letter beyond ASCII; the grammar reads the rest
+        rules.append(("name", name, [*_word(head), (apart, 1, 1)] if head == name else _word(head)))
     rules += [("call", c, [*_word(c), (frozenset("("), 1, 1)]) for c in CALLS]
     rules += [("user", f, [(frozenset(" \t\n"), 1, 1), *_word(f, case=True), (frozenset(" ="), 1, 1)]) for f in ("-u", "--user")]
     rules += [("basic", "basic", [*_word("basic"), (frozenset(" \t"), 1, 1), (frozenset(ALNUM), 1, 1)])]
     rules += [("bearer", b, [*_word(b), (frozenset(" \t"), 1, 1), (frozenset(ALNUM), 1, 1)]) for b in ("bearer",)]
     rules += [("identified", "identified by", _word("identified by "))]
-    rules += [("manifest", "kind", [*_word("kind:", case=True), (frozenset(" \"'"), 1, 2), *_word("Secret", case=True)])]
+    gap = (frozenset(" \t\"'"), 0, 3)
+    rules += [("manifest", "kind", [*_word("kind", case=True), gap, *_word(":"), gap, *_word("Secret", case=True)])]
     return rules
 
 
@@ -116,7 +124,8 @@ def _decoded(value: str) -> str | None:
         text = raw.decode("utf-8")
     except (binascii.Error, ValueError):
         return None
-    return text if text and text.isprintable() else None
+    text = text.rstrip("\r\n")  # echo pw | base64
+    return text if text and (text.isprintable() or _ARMOR.search(text)) else None
 
 
 def is_literal(value: str, quoted: bool, password: bool, proven: bool = False) -> bool:
@@ -196,8 +205,14 @@ def find_in(text: str, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
             if (m := _URL.match(text, begin)) and is_literal(m.group("v"), True, True, True):
                 spans.add(m.span("v"))
         elif rule == "name":
-            stop = end - 1
-            begin = stop
+            if anchor.isascii():
+                begin = stop = end - 1
+            else:
+                rest = anchor[len(_ASCII.match(anchor).group()) :]
+                rest = next((r for r in (rest, unicodedata.normalize("NFD", rest)) if text[end : end + len(r)].lower() == r), "")
+                begin, stop = end, end + len(rest)
+                if not rest or text[stop : stop + 1].isalnum() or text[stop : stop + 1] == "_":
+                    continue
             while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_-."):
                 begin -= 1
             name = text[begin:stop].lower()
@@ -241,11 +256,12 @@ def find_in(text: str, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
             if lead := _FLAG.match(text, end - 1):
                 valued(lead, True, False, True)
         elif rule == "manifest":
-            for block in _DATA.finditer(text):
-                for m in _PAIR.finditer(block.group("b")):
-                    inner = _decoded(m.group("v"))
-                    if inner and is_literal(inner, True, True):
-                        spans.add((block.start("b") + m.start("v"), block.start("b") + m.end("v")))
+            for data, pair in ((_DATA, _PAIR), (_JSON_DATA, _JSON_PAIR)):
+                for block in data.finditer(text):
+                    for m in pair.finditer(block.group("b")):
+                        inner = _decoded(m.group("v"))
+                        if inner and (_ARMOR.search(inner) or is_literal(inner, True, True)):
+                            spans.add((block.start("b") + m.start("v"), block.start("b") + m.end("v")))
     return sorted(spans)
 
 
