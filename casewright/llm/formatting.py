@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A name as it stands before its value: quotes of any kind, then the sign that parts it from the value.
+# A name as it stands before its value: quotes of any kind, then the sign that parts it from the value. A name in double
+# or single quotes goes up to the closing one, whatever it holds.
 _QUOTE = "[\"'`‘’“”]*"
 _BLANK = r"[\s\p{Z}\p{Cf}]"  # white space of any kind, and what has no width
-_NAME = rf"{_QUOTE}[\p{{L}}_][\p{{L}}\p{{N}}_.\-]*{_QUOTE}{_BLANK}*(?:=>|->|:=|=|:)"
-_EDGE = r"^[^\p{L}\p{N}]+"
+_SIGN = rf"{_BLANK}*(?:=>|->|:=|=|:)"
+_QUOTED = "(?:" + "|".join(rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+{q}" for q in "\"'") + ")"
+_NAME = rf"(?:{_QUOTED}{_SIGN}|{_QUOTE}[\p{{L}}_][\p{{L}}\p{{N}}_.\-]*{_QUOTE}{_SIGN})"
+_EDGE = rf"^(?:[^\p{{L}}\p{{N}}\"']*(?={_QUOTED}{_SIGN})|[^\p{{L}}\p{{N}}]+)"
 _NAMED = rf"^{_NAME}"
 _BREAK = rf"(?:{_BLANK}|[,;|&])+(?={_NAME})"
 
@@ -26,7 +29,7 @@ def field_list(text: Column) -> Column:
     that look like one (``FAIL: ... KeyError: ...``) may pass as lists; see ``collapse_formatting``.
     """
     body = F.regexp_replace(text, _EDGE, "")
-    # a quote that opened the first name has gone with the edge; the closing one is still part of _NAME
+    # a quote of another kind that opened the first name has gone with the edge; the closing one is still part of _NAME
     pair = lambda p: F.concat(
         bare(F.regexp_extract(p, rf"^({_NAME})", 1)), F.lit("\u0002"), bare(F.regexp_replace(p, rf"^{_NAME}", ""))
     )

@@ -59,6 +59,15 @@ def test_blanks_of_any_kind_around_signs(spark):
     assert members == {1: 1, 2: 1, 3: 1}
 
 
+def test_quoted_names_of_any_characters(spark):
+    """Order and notation don't count for names with blanks, digits first, marks or escapes; values still do."""
+    fields = {"exit code": 1, "2xx": 7, "@timestamp": "two words", 'a "b" c': "x", "plain": "y: z"}
+    texts = [json.dumps(dict(p)) for p in itertools.permutations(fields.items())]
+    _, members = run(spark, [(k, "s", t) for k, t in enumerate([*texts, str(fields), json.dumps(fields, indent=1), json.dumps(fields | {"2xx": 8}), json.dumps(fields | {"exit code": 7, "2xx": 1})])])
+    n = len(texts)
+    assert members == {**{k: 0 for k in range(n + 2)}, n + 2: n + 2, n + 3: n + 3}
+
+
 def test_counts_sum_over_exact_and_other_spellings(spark):
     groups, members = run(spark, [(k, "hot", "same text") for k in range(200)] + [(300, "HOT", "Same-Text!")])
     assert groups == {(0, 201, 2)} and len(members) == 201
