@@ -15,7 +15,7 @@ from casewright.operators import relational as R
 from casewright.operators import sequences as S
 from casewright.plans import pipelines as P
 from casewright.sources import text as T
-from casewright.sources.pages import extract_code, extract_pages
+from casewright.sources.pages import definitions, extract_code, extract_pages, importers, references
 from casewright.sources.sinks import canonical_lines
 from casewright.streaming import stores
 
@@ -719,11 +719,46 @@ def page_links(spark, d):
     )
 
 
+def _facts(spark: SparkSession, d: str, *suffixes: str) -> DataFrame:
+    suffix = F.explode(F.array(*(F.lit(f".{s}") for s in suffixes))).alias("suffix")
+    docs = _t(spark, d, "documents").select("doc_id", "text", suffix)
+    return extract_code(docs.withColumn("path", F.concat(F.col("doc_id").cast("string"), "suffix")), "path", "text")
+
+
 @query()
 def code_facts(spark, d):
-    """Definitions, references and imports in documents read as source text."""
-    docs = _t(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
-    return extract_code(docs, "path", "text").where("fact <> 'reference'")
+    """Definitions and references in documents read as source text of no known language."""
+    return _facts(spark, d, "txt")
+
+
+@query()
+def python_facts(spark, d):
+    """Definitions, references, imports and diagnostics of documents read as Python."""
+    return _facts(spark, d, "py")
+
+
+@query()
+def script_facts(spark, d):
+    """Definitions, references and imports of documents read as JavaScript."""
+    return _facts(spark, d, "js")
+
+
+@query()
+def code_definitions(spark, d):
+    """Functions, classes and symbols in the name of which 'load' stands, in documents read in any of the three ways."""
+    return definitions(_facts(spark, d, "txt", "py", "js"), "load", exact=False)
+
+
+@query()
+def code_references(spark, d):
+    """Places that use 'load', in documents read in any of the three ways."""
+    return references(_facts(spark, d, "txt", "py", "js"), "load")
+
+
+@query()
+def code_importers(spark, d):
+    """Documents that import 'os' or what is inside it, read as Python or as JavaScript."""
+    return importers(_facts(spark, d, "py", "js"), "os")
 
 
 @query("SELECT count(*) AS lines, count(DISTINCT id) AS ids FROM cases")

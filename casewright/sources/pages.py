@@ -94,7 +94,7 @@ def code_facts(path: str, text: str) -> list[tuple[str, str, str, int, str]]:
     if language == "python":
         try:
             tree = ast.parse(text)
-        except (SyntaxError, ValueError) as e:
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:  # the last two: nested too deep
             return [("diagnostic", path, "syntax", getattr(e, "lineno", 0) or 0, str(e))]
         owners = {id(c): n for n in ast.walk(tree) if isinstance(n, ast.ClassDef) for c in n.body}
         top = {id(c) for c in tree.body}
