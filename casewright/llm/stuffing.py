@@ -91,8 +91,9 @@ def _symbols(piece: str) -> list[tuple[str, int]]:
     return out
 
 
-def stuffed_share(text: str | None) -> float:
-    """Share of a text's words in pieces that are repeated keywords, links or product tags; 0 for a text without words.
+def stuffed_share(text: str | None, least: float = 0.5) -> float:
+    """Share of a text's words in pieces that are repeated keywords, links or product tags; 0 for a text without words,
+    and for one whose pieces without clause hold no more than the share ``least``.
 
     Pieces are lines, and sentences of lines. A piece with clauses is none: at least two different function words that
     make up an eighth of it, or one in a sentence with its final mark and few commas. Nor is a structured line: log, transcript, code, heading, setting, dump, fenced block.
@@ -132,7 +133,7 @@ def stuffed_share(text: str | None) -> float:
         if piece.lstrip().startswith("|") and len(used) >= 2:
             continue
         open_pieces.append((n, symbols, shown * 4 >= max(1, len(words))))
-    if not open_pieces or 2 * sum(n for n, _, _ in open_pieces) <= total:
+    if not open_pieces or sum(n for n, _, _ in open_pieces) / total <= least:
         return 0.0
     flat = [s for _, symbols, _ in open_pieces for s in symbols]
     lengths = SuffixAutomaton([s for s, _ in flat]).repeats(OCCURRENCES)
@@ -169,7 +170,7 @@ def stuffed_pages(df: DataFrame, key: str, text: str, share: float = 0.5) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = pd.DataFrame({key: batch[key], "stuffed_share": [stuffed_share(t) for t in batch["_t"]]})
+            out = pd.DataFrame({key: batch[key], "stuffed_share": [stuffed_share(t, share) for t in batch["_t"]]})
             yield out[out["stuffed_share"] > share]
 
     return source.mapInPandas(run, f"`{key}` {kind}, stuffed_share double")

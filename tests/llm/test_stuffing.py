@@ -48,6 +48,14 @@ def test_sound(text):
     assert stuffed_share(text) <= 0.5
 
 
+def test_share_below_one_half(spark):
+    """A page of a third of stuffing is found from a fifth on, with the share that it has; one of prose never is."""
+    page = PROSE * 4 + "\n" + "test runner ci dashboard " * 14
+    df = spark.createDataFrame([(1, page), (2, PROSE * 3), (3, SPAM[0])], "doc_id long, text string")
+    got = {s: {r["doc_id"]: r["stuffed_share"] for r in stuffed_pages(df, "doc_id", "text", s).collect()} for s in (0.2, 0.5, 0.9)}
+    assert [sorted(g) for g in got.values()] == [[1, 3], [3], [3]] and 0.2 < got[0.2][1] < 0.5
+
+
 def test_automaton_matches_brute_force():
     rng = random.Random(4)
     for _ in range(60):
