@@ -768,6 +768,56 @@ def canonical_export(spark, d):
     return c.agg(F.count("*").alias("lines"), F.count_distinct(F.get_json_object("line", "$.id")).alias("ids"))
 
 
+# Sides by a data column: what was last seen in the earlier half of the year and in the later one, and who confirmed it.
+_EARLY = f"{_ts('last_seen')} < TIMESTAMP '2031-07-01'"
+
+
+def _halves(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    early = X.epoch(X.parse_stamp(F.col("last_seen"))) < 1940630400
+    return cases.where(early), cases.where(~early)
+
+
+@query(
+    f"WITH k AS (SELECT id, {_SUBJECT} AS category, {_EARLY} AS early FROM cases), g AS (SELECT category, count(k.id) FILTER (WHERE early) AS before, count(k.id) AS after FROM {_ALL} LEFT JOIN k USING (category) GROUP BY 1) "
+    "SELECT category, before, after, CASE WHEN before = 0 THEN 'empty' WHEN before < 3 THEN 'thin' ELSE 'covered' END AS was, CASE WHEN after = 0 THEN 'empty' WHEN after < 3 THEN 'thin' ELSE 'covered' END AS \"is\" FROM g WHERE after > before AND was <> \"is\""
+)
+def gap_fill_halves(spark, d):
+    """Categories that cases outside the earlier half of the year filled."""
+    cases = _t(spark, d, "cases")
+    return A.gap_changes(_halves(cases)[0], cases).select("category", "before", "after", "was", "is")
+
+
+@query(
+    f"WITH g AS (SELECT {_CLUSTER} AS k, count(*) AS n, min(id) AS a, max(id) AS b FROM cases GROUP BY 1 HAVING count(*) >= 2 AND k <> '') SELECT a AS first_id, b AS last_id FROM g WHERE a NOT IN (SELECT id FROM cases WHERE confirmed_by IS NULL)"
+)
+def reject_filter_confirmed(spark, d):
+    """Clusters that weren't rejected; those whose first case nobody confirmed count as rejected, their members in reverse."""
+    cases = _t(spark, d, "cases")
+    found = A.clusters(cases, "error_excerpt").select(F.lit("cluster").alias("type"), F.array("first_id", "last_id").alias("supporting_cases"), "first_id", "last_id")
+    rejected = found.join(cases.where("confirmed_by IS NULL").select(F.col("id").alias("first_id")), "first_id", "left_semi")
+    return R.unrejected(found, rejected.select("type", F.reverse("supporting_cases").alias("supporting_cases"))).select("first_id", "last_id")
+
+
+@query(
+    f"WITH c AS (SELECT id AS line, signature, {_EARLY} AS early FROM cases), i AS (SELECT line, signature FROM c WHERE NOT early), f AS (SELECT signature, min(line) AS first FROM i GROUP BY 1) "
+    "SELECT line, signature, CASE WHEN line > first THEN 'in file' ELSE 'live' END AS kind FROM i JOIN f USING (signature) WHERE line > first OR signature IN (SELECT signature FROM c WHERE early)"
+)
+def import_conflicts_halves(spark, d):
+    """Cases of the later half of the year that repeat one another or the earlier half."""
+    early, late = _halves(_t(spark, d, "cases").select(F.col("id").alias("line"), "signature", "last_seen"))
+    return C.duplicate_split(late, early, "signature", "line")
+
+
+@query(
+    f"WITH c AS (SELECT signature, diagnosis, {_EARLY} AS early FROM cases), a AS (SELECT signature, count(*) AS s, max(diagnosis) AS h FROM c WHERE early GROUP BY 1), b AS (SELECT signature, count(*) AS s, max(diagnosis) AS h FROM c WHERE NOT early GROUP BY 1) "
+    "SELECT signature, CASE WHEN b.s IS NULL THEN 'missing' WHEN a.s IS NULL THEN 'unlisted' WHEN a.s <> b.s THEN 'size drift' WHEN a.h IS DISTINCT FROM b.h THEN 'hash drift' ELSE 'same' END AS status FROM a FULL JOIN b USING (signature)"
+)
+def manifest_diff_halves(spark, d):
+    """Status of signatures between the two halves of the year: cases as size, last diagnosis in order as digest."""
+    before, after = (h.groupBy("signature").agg(F.count("*").alias("s"), F.max("diagnosis").alias("h")) for h in _halves(_t(spark, d, "cases")))
+    return R.full_diff(before, after, "signature", "s", "h")
+
+
 # ---- checks ----------------------------------------------------------------------------------------------------------
 
 
