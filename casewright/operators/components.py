@@ -18,6 +18,7 @@ def connected_components(edges: DataFrame, a: str, b: str, node: str = "node", r
 
     A star step never gathers a neighbourhood into one row: the minimum of a node's neighbours is an aggregate
     (combined before the shuffle) that is joined back, so a node with a third of all edges stays splittable.
+    Both sides of these joins grow with the edges, so neither is broadcast.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -25,10 +26,10 @@ def connected_components(edges: DataFrame, a: str, b: str, node: str = "node", r
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = large.where("u <> v").distinct()
         down = e.groupBy("u").agg(F.min("v").alias("m"))
-        small = e.join(down, "u")
+        small = e.join(down.hint("merge"), "u")
         e = cut(
             small.select("u", F.col("m").alias("v"))
             .union(small.select(F.col("v").alias("u"), F.col("m").alias("v")))

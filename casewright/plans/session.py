@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ def build_session(master: str = "local[*]", app: str = "casewright", partitions:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": str(partitions),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): str(v) for k, v in conf.items()}
@@ -34,17 +36,35 @@ def show_package(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the one of ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder all executors share: the one of ``spark.checkpoint.dir``. Only where none is set and the master is
+    local a temporary one is made; on a cluster without the setting this raises, for no other machine could read it."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="casewright-checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there; a lost executor then costs no recomputation of the past."""
+    """Write ``df`` to the shared folder and go on from there; a lost executor then costs no recomputation of the past.
+
+    The rows are written as they are in memory; for wide rows with texts see ``stored``. Where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set the files go once nothing refers to them.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a compressed columnar table and read again, so that each reader takes only
+    its columns. The table goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
