@@ -83,3 +83,56 @@ def test_fingerprints_never_exceed_the_symmetric_difference():
     gap = len(set(x.tolist()) ^ set(y.tolist()))
     assert (bits[0] != bits[1]).sum() <= gap
     assert np.abs((bits[0] != pivots).sum(1).astype(int) - (bits[1] != pivots).sum(1).astype(int)).max() <= gap
+
+
+def counted(monkeypatch):
+    """The numbers of pairs that were verified, one after the other."""
+    made, verify = [], neardup._verify
+
+    def run_(pairs, table, threshold):
+        made.append(pairs.count())
+        return verify(pairs, table, threshold)
+
+    monkeypatch.setattr(neardup, "_verify", run_)
+    return made
+
+
+def texts(sets):
+    return [(f"{k:05d}", " ".join(sorted(s))) for k, s in enumerate(sets)]
+
+
+def result(spark, rows, crowd, threshold):
+    df = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], SCHEMA)
+    return {r["experience_id"]: r["first_id"] for r in neardup.near_duplicates(df, "experience_id", F.col("text"), 1, threshold, crowd).collect()}
+
+
+def test_a_posting_of_many_unlinked_records_costs_no_pairs(spark, monkeypatch):
+    """5,000 records share one shingle of their prefixes and else only a few with others."""
+    rng = random.Random(5)
+    often = [f"o{k}" for k in range(300)]
+    sets = [{"shared", f"u{k}", *rng.sample(often, 6)} for k in range(5000)]
+    made = counted(monkeypatch)
+    out = result(spark, texts(sets), 64, 0.5)
+    assert sum(made) < 60 * len(sets)  # all pairs: 12,497,500
+    few = texts(sets)[:600]
+    assert result(spark, few, 8, 0.5) == brute(few, 1, 0.5) and out.keys() >= brute(few, 1, 0.5).keys()
+
+
+def test_two_large_classes_in_one_posting(spark, monkeypatch):
+    rng = random.Random(6)
+    bases = [[f"{side}{k}" for k in range(30)] for side in "ab"]
+    sets = [{"shared", *rng.sample(bases[k % 2], 24)} for k in range(6000)]
+    made = counted(monkeypatch)
+    out = result(spark, texts(sets), 64, 0.6)
+    assert sum(made) < 60 * len(sets)  # of each member with each of the other class: 9,000,000
+    assert set(out.values()) == {"00000", "00001"} and len(out) == len(sets)
+
+
+@pytest.mark.parametrize(("threshold", "levels"), [(0.3, 4), (0.5, 1), (0.5, 2), (0.8, 3)])
+def test_crowded_postings_lose_no_link(spark, monkeypatch, threshold, levels):
+    """Small sets of few words: every posting is crowded, sets that need to share one shingle only among them."""
+    monkeypatch.setattr(neardup, "LEVELS", levels)
+    rng = random.Random(levels)
+    words = [f"w{k}" for k in range(25)]
+    rows = texts({frozenset(rng.sample(words, rng.randint(1, 9))) for _ in range(200)})
+    assert result(spark, rows, 3, threshold) == brute(rows, 1, threshold)
