@@ -20,9 +20,9 @@ def go(spark, docs, items, **how):
     return {tuple(r) for r in leakage.leaked_items(d, "doc_id", "text", i, "item_id", "diagnosis", **how).collect()}
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_matches_brute_force(spark, limit, monkeypatch):
-    monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", limit)
+    monkeypatch.setattr(leakage, "BROADCAST_BYTES", limit)
     rng = random.Random(5)
     text = lambda n: " ".join(rng.choice("abcdefg") + rng.choice("hij") for _ in range(n))
     items = [(k, text(30)) for k in range(12)]
