@@ -28,7 +28,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases that repeat an earlier one in another spelling or exactly."""
-    _, members = collapse_formatting(_read(spark, sf_dir, "cases"), "id", ["signature"], ["error_excerpt"])
+    _, members = collapse_formatting(_read(spark, sf_dir, "cases"), "id", ["signature"], ["error_excerpt"], single=False)
     return members.where("id <> first_id").select("first_id", "id")
 
 
