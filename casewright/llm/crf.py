@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 
@@ -20,7 +22,10 @@ class ChainCRF:
         self.t = np.zeros((len(tags), len(tags)))
 
     def fit(self, sequences: list[list[list[str]]], labels: list[list[str]], rounds: int = 200, rate: float = 0.1, l2: float = 2e-3) -> "ChainCRF":
-        """Maximum likelihood by Adam over all sequences at once; deterministic."""
+        """Maximum likelihood by Adam over all sequences at once; deterministic. Equal examples are counted, not repeated."""
+        counts = Counter((tuple(tuple(sorted(set(x))) for x in s), tuple(l)) for s, l in zip(sequences, labels))
+        total, many = len(sequences), np.array(list(counts.values()), float)[:, None, None]
+        sequences, labels = [s for s, _ in counts], [l for _, l in counts]
         self.index = {f: k for k, f in enumerate(sorted({f for s in sequences for x in s for f in x}))}
         n, length, k = len(sequences), max(map(len, sequences)), len(self.tags)
         x = np.zeros((n, length, len(self.index)), np.float64)
@@ -31,7 +36,7 @@ class ChainCRF:
                 x[i, j, [self.index[f] for f in fs]] = 1
                 y[i, j, self.tags.index(tag)] = 1
                 mask[i, j] = True
-        pairs = np.einsum("nia,nib->ab", y[:, :-1], y[:, 1:])
+        pairs = np.einsum("nia,nib->ab", many * y[:, :-1], y[:, 1:])
         w, t = np.zeros((len(self.index), k)), np.zeros((k, k))
         state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
         for r in range(1, rounds + 1):
@@ -49,9 +54,9 @@ class ChainCRF:
             expected = np.zeros((k, k))
             for j in range(1, length):
                 q = alpha[:, j - 1, :, None] + t + (e[:, j] + beta[:, j])[:, None, :] - z[:, None, None]
-                expected += (np.exp(q) * mask[:, j, None, None]).sum(0)
-            gw = np.einsum("nlf,nlk->fk", x, y - p) / n - l2 * w
-            gt = (pairs - expected) / n - l2 * t
+                expected += (np.exp(q) * mask[:, j, None, None] * many).sum(0)
+            gw = np.einsum("nlf,nlk->fk", x, many * (y - p), optimize=True) / total - l2 * w
+            gt = (pairs - expected) / total - l2 * t
             for g, v, (a, b) in ((gw, w, (0, 1)), (gt, t, (2, 3))):
                 state[a] = 0.9 * state[a] + 0.1 * g
                 state[b] = 0.99 * state[b] + 0.01 * g * g
@@ -61,15 +66,33 @@ class ChainCRF:
 
     def tag(self, sequence: list[list[str]]) -> list[str]:
         """The likeliest tags of one sequence."""
-        if not sequence:
-            return []
-        e = np.array([self.w[[self.index[f] for f in fs if f in self.index]].sum(0) for fs in sequence])
-        score, back = e[0], []
-        for row in e[1:]:
-            step = score[:, None] + self.t
-            back.append(step.argmax(0))
-            score = step.max(0) + row
-        best = [int(score.argmax())]
-        for b in reversed(back):
-            best.append(int(b[best[-1]]))
-        return [self.tags[k] for k in reversed(best)]
+        return self.tag_all([sequence])[0]
+
+    def tag_all(self, sequences: list[list[list[str]]]) -> list[list[str]]:
+        """The likeliest tags of many sequences, place by place for all of them at once, the longest first."""
+        order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
+        lengths = np.array([len(sequences[k]) for k in order])
+        out: list[list[str]] = [[] for _ in sequences]
+        if not lengths.size or not lengths[0]:
+            return out
+        flat = [[self.index[f] for f in fs if f in self.index] for k in order for fs in sequences[k]]
+        spots = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
+        scores = np.zeros((len(flat), len(self.tags)))
+        np.add.at(scores, spots, self.w[np.array([i for x in flat for i in x], np.int64)])
+        starts = np.cumsum(lengths) - lengths
+        live = [int((lengths > j).sum()) for j in range(int(lengths[0]))]
+        score = scores[starts[: live[0]]]
+        backs, ended = [], [None] * len(order)
+        for j, n in enumerate(live):
+            if j:
+                step = score[:n, :, None] + self.t
+                backs.append(step.argmax(1))
+                score = step.max(1) + scores[starts[:n] + j]
+            for r in range(live[j + 1] if j + 1 < len(live) else 0, n):
+                ended[r] = int(score[r].argmax())
+        for r, k in enumerate(order[: live[0]]):
+            best = [ended[r]]
+            for j in range(int(lengths[r]) - 2, -1, -1):
+                best.append(int(backs[j][r][best[-1]]))
+            out[k] = [self.tags[b] for b in reversed(best)]
+        return out

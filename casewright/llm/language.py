@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import regex
 
 # Frequent function words of each language.
@@ -35,37 +37,44 @@ _OWNERS: dict[str, list[str]] = {}
 for _lang, _words in _SETS.items():
     for _w in _words:
         _OWNERS.setdefault(_w, []).append(_lang)
-_IDENT = regex.compile(r"https?://\S+|\S*[_/\\@=<>{}\[\]()#$]\S*|\S*\w\.\w\S*|\S*\d\S*")
+#: What makes a token no word of prose.
+_ODD = re.compile(r"[_/\\@=<>{}\[\]()#$\d]|\w\.\w")
 _WORDS = regex.compile(r"\p{L}+")
 _CJK = regex.compile(r"\p{Han}")
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
 _CYR = regex.compile(r"\p{Cyrillic}")
 
 
+def _plain(text: str) -> str:
+    return " ".join([t for t in text.split() if t.isalpha() or not _ODD.search(t)]) if _ODD.search(text) else text
+
+
 def prose_words(text: str) -> list[str]:
     """Lower-case words of a text without identifiers, paths, numbers and addresses."""
-    return _WORDS.findall(_IDENT.sub(" ", text).lower())
+    return _WORDS.findall(_plain(text).lower())
 
 
 def language_of(text: str) -> str | None:
     """Language of a text, or None where its words don't tell; empty text tells nothing."""
-    plain = _IDENT.sub(" ", text)
-    ascii_only = plain.isascii()
-    han, cyr, kana = (0, 0, 0) if ascii_only else (len(_CJK.findall(plain)), len(_CYR.findall(plain)), len(_KANA.findall(plain)))
-    words = _WORDS.findall(plain.lower())
+    plain = _plain(text).lower()
+    words = _WORDS.findall(plain)
     letters = sum(map(len, words))
     if not letters:
         return None
-    if kana * 10 >= letters:
-        return "ja"
-    if han * 3 >= letters:
-        return "zh"
-    if cyr * 2 >= letters:
-        return "ru"
+    ascii_only = plain.isascii()
+    if not ascii_only:
+        if len(_KANA.findall(plain)) * 10 >= letters:
+            return "ja"
+        if len(_CJK.findall(plain)) * 3 >= letters:
+            return "zh"
+        if len(_CYR.findall(plain)) * 2 >= letters:
+            return "ru"
     score = dict.fromkeys(_SETS, 0.0)
     for w in words:
-        for lang in (owners := _OWNERS.get(w, ())):
-            score[lang] += 1 / len(owners)
+        if w in _OWNERS:
+            owners = _OWNERS[w]
+            for lang in owners:
+                score[lang] += 1 / len(owners)
     for lang, marks in () if ascii_only else MARKS.items():
         score[lang] += 0.7 * sum(any(c in w for c in marks) for w in words)
     (best, first), (_, second) = sorted(score.items(), key=lambda x: -x[1])[:2]

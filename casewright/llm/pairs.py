@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,25 +32,35 @@ CUES = {
     "access": r"\b(?:have access|access to your|zugriff|accès à|acceso a|acesso a|доступ)|访问",
     "after": r"\b(?:any ?more|any longer|reproduce|about the|for the (?:long|noise|delay)|anymore|nicht mehr|plus reproduire|ya no|já não|больше не)\b|不再|重现",
 }
-_CUES = {k: regex.compile(v, regex.I) for k, v in CUES.items()}
+_CUES = {k: re.compile(v.replace("AI", "ai")) for k, v in CUES.items()}  # run over lower case
 _FENCE = regex.compile(r"```[^\n`]*\n?(.*?)(?:```|\Z)", regex.S)
 _SENTENCE = regex.compile(r"(?<=[.!?…])(?<!(?:^|\n)[ \t]*\d{1,3}\.)[\"'”»*_)]*\s+|(?<=[。！？])|\n+")
 _QUOTED = regex.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"\n]*\"|`[^`\n]*`|「[^」]*」")
-_ITEM = regex.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
-_DONE = regex.compile(r"[.!?。！？]+[\"'”»*_)\]]*$")
+_ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
+_DONE = re.compile(r"[.!?。！？]+[\"'”»*_)\]]*$")
 _LABEL = regex.compile(r"^\W*(?:task|goal|you asked|request|question|prompt|instruction|aufgabe|ziel|tâche|demande|tarea|objetivo|tarefa|pedido|задача|запрос|任务|问题)\s*[:：]\s*", regex.I)
-_CODE = regex.compile(
-    r"^\s{2,}\S|^\s*[\w.\[\]'\"$]+\s*=\s*\S|(?:^|\s)--[a-z]|^(?:ENV|RUN|COPY|FROM|ARG|CMD)\s|^\s*<\w|^\s*\[[\w.\-]+\]\s*$|^\s*[\w\-]+:\s*$|^\s*(?:def|class|import|from|return|export|const|let|var|if|for|while|curl|git|assert|raise|sudo|pip|npm|\$|#|//|\./|\+|@@|GET|POST|PUT)\b?.*[=(){}\[\]:/$]|^\s*[\w.\-'\"]+\s*[:=]\s*\S+$|[{};]\s*$|^\s*\S+\(.*\)\s*$|^-----|^\s*[A-Za-z0-9+/=]{30,}$|^\s*[+\-]\w+ ?=|\s->\s|::|\|"
+_CODE = re.compile(
+    r"^\s{2,}\S|^\s*[\w.\[\]'\"$]+\s*=\s*\S|(?:^|\s)--[a-z]|^(?:ENV|RUN|COPY|FROM|ARG|CMD)\s|^\s*<\w|^\s*\[[\w.\-]+\]\s*$|^\s*[\w\-]+:\s*$|^\s*(?:def|class|import|from|return|export|const|let|var|if|for|while|curl|git|assert|raise|sudo|pip|npm|\$|#|//|\./|\+|@@|GET|POST|PUT).*[=(){}\[\]:/$]|^\s*[\w.\-'\"]+\s*[:=]\s*\S+$|[{};]\s*$|^\s*\S+\(.*\)\s*$|^-----|^\s*[A-Za-z0-9+/=]{30,}$|^\s*[+\-]\w+ ?=|\s->\s|::|\|"
 )
-_FIRM = regex.compile(r"^\s*(?:return|def|assert|raise|import|yield)\b.*[=()\[\]:]|^(?:\t| {2,})\S.*[=()\[\]{}]")
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_FIRM = re.compile(r"^\s*(?:return|def|assert|raise|import|yield)\b.*[=()\[\]:]|^(?:\t| {2,})\S.*[=()\[\]{}]")
+_WORD = re.compile(r"[^\W_]+")
+_ADDRESS = re.compile(r"https?://\S+$")
+_HAN = regex.compile(r"\p{Han}{4,}")
 _FUNCTION = frozenset(w for v in FUNCTION_WORDS.values() for w in v.split()) - {"i", "no", "all"}
-_MARKUP = regex.compile(r"</?[A-Za-z][^<>]*>|```\w*")
+_LONGEST = 2 * max(map(len, NO_ANSWER))  # lower case may be shorter
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|```\w*")
 
 
 def is_empty(answer: str | None) -> bool:
     """Null, or nothing but blanks, punctuation, empty markup or a word standing for no answer."""
-    return answer is None or "".join(_WORD.findall(_MARKUP.sub(" ", answer))).lower() in NO_ANSWER
+    if answer is None:
+        return True
+    said = ""
+    for m in _WORD.finditer(_MARKUP.sub(" ", answer) if "<" in answer or "`" in answer else answer):
+        said += m.group()
+        if len(said) > _LONGEST:
+            return False
+    return said.lower() in NO_ANSWER
 
 
 def clauses(answer: str) -> list[tuple[str, str]]:
@@ -72,23 +83,24 @@ def clauses(answer: str) -> list[tuple[str, str]]:
 
 def features(goal: str, parts: list[tuple[str, str]]) -> list[list[str]]:
     """Binary features of every clause, seen against its goal."""
-    goal_words, spoken = set(_WORD.findall(goal.lower())), language_of(goal)
-    asked = asked_languages(goal)
+    goal_words, spoken, asked = set(_WORD.findall(goal.lower())), language_of(goal), None
     out = []
     for k, (kind, text) in enumerate(parts):
         last = k == len(parts) - 1
         fs = ["bias", f"kind {kind}", "first" if k == 0 else "later"]
-        bare = _QUOTED.sub(" ", text)
         words = _WORD.findall(_LABEL.sub("", text).lower())
         share = sum(w in goal_words for w in words) / max(1, len(words))
         fs.append("echo all" if share >= 0.95 else "echo most" if share >= 0.75 else "echo half" if share >= 0.5 else "echo little")
         if len(words) >= 3 and share >= 0.95:
             fs.append("echo long")
         if kind in ("prose", "more", "item"):
+            bare = _QUOTED.sub(" ", text)
             heard = language_of(bare)
             if heard and spoken:
+                asked = asked_languages(goal) if heard != spoken and asked is None else asked
                 fs.append("language same" if heard == spoken else "language asked" if heard in asked else "language other")
-            cues = [c for c, p in _CUES.items() if p.search(bare)]
+            lower = bare.lower()
+            cues = [c for c, p in _CUES.items() if p.search(lower)]
             fs += [f"cue {c}" for c in cues]
             fs += [f"cues {a} {b}" for a in cues for b in cues if a < b]
         if last and kind == "open":
@@ -99,14 +111,15 @@ def features(goal: str, parts: list[tuple[str, str]]) -> list[list[str]]:
             tail = text.rstrip()
             end = prose_words(tail)
             natural = sum(w in _FUNCTION for w in end)
-            lead = _WORD.findall(tail.lower())[:1]
+            spoken_last = _WORD.findall(tail.lower())
+            lead = spoken_last[:1]
             if _DONE.search(tail):
                 fs.append("ends done")
-            elif regex.search(r"https?://\S+$", tail) and len(end) <= 4:
+            elif _ADDRESS.search(tail) and len(end) <= 4:
                 fs.append("ends address")
-            elif tail[-1] in "…:;,、，–—-(" or (_WORD.findall(tail.lower())[-1:] and _WORD.findall(tail.lower())[-1] in _FUNCTION and share < 0.9):
+            elif tail[-1] in "…:;,、，–—-(" or (spoken_last and spoken_last[-1] in _FUNCTION and share < 0.9):
                 fs.append("ends hanging")
-            elif natural >= 2 and len(end) >= 4 or regex.search(r"\p{Han}{4,}", tail):
+            elif natural >= 2 and len(end) >= 4 or _HAN.search(tail):
                 fs.append("ends prose")
             elif natural and lead and lead[0] in _FUNCTION and len(parts) > 1:
                 fs.append("ends prose")
@@ -128,20 +141,24 @@ def trained() -> ChainCRF:
 
 
 def defect_of(goal: str | None, answer: str | None, model: ChainCRF) -> str | None:
-    """The defect of one pair, or None if it is sound; a null goal counts as an empty one.
+    """The defect of one pair, or None if it is sound; see ``defects_of``."""
+    return defects_of([goal], [answer], model)[0]
+
+
+def defects_of(goals: list[str | None], answers: list[str | None], model: ChainCRF) -> list[str | None]:
+    """The defects of pairs, None for sound ones; a null goal counts as an empty one.
 
     Coverage is the share of the clauses' words. A pair without any word is empty. Else a refusal among the
     first two sentences that covers a sixth, or any that covers a third, declines; an echo that leaves no answer copies; foreign prose of more than half is in the wrong
     language; an unfinished last clause makes the rest truncated.
     """
-    if is_empty(answer):
-        return "empty"
-    goal = goal or ""
-    parts = clauses(answer)
-    if not parts:
-        return "empty"
-    tags = model.tag(features(goal, parts))
-    sizes = [max(1, len(_WORD.findall(t))) if not regex.search(r"\p{Han}{4,}", t) else max(1, len(t) // 2) for _, t in parts]
+    parts = [[] if is_empty(a) else clauses(a) for a in answers]
+    tagged = model.tag_all([features(g or "", p) if p else [] for g, p in zip(goals, parts)])
+    return [_defect(p, t) if p else "empty" for p, t in zip(parts, tagged)]
+
+
+def _defect(parts: list[tuple[str, str]], tags: list[str]) -> str | None:
+    sizes = [max(1, len(t) // 2) if not t.isascii() and _HAN.search(t) else max(1, len(_WORD.findall(t))) for _, t in parts]
     cover = {t: sum(s for s, x in zip(sizes, tags) if x == t) for t in TAGS}
     prose = sum(s for s, (kind, _) in zip(sizes, parts) if kind in ("prose", "more", "item"))
     said = [t for t, (kind, _) in zip(tags, parts) if kind in ("prose", "more") and t != "echo"]
@@ -171,7 +188,7 @@ def defective_pairs(df: DataFrame, key: str, goal: str, answer: str) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            defects = [defect_of(g, a, share.value) for g, a in zip(batch["_g"], batch["_a"])]
+            defects = defects_of(batch["_g"].tolist(), batch["_a"].tolist(), share.value)
             out = pd.DataFrame({key: batch[key], "defect": defects}, dtype=object)
             yield out[out["defect"].notna()]
 
