@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +21,12 @@ _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _TOKEN = regex.compile(r"https?://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|#[\p{L}\p{N}_]+|\p{Han}|\p{N}+(?:[.,]\p{N}+)*|[\p{L}_][\p{L}\p{N}_.\-]*|[^\s\p{L}\p{N}]")
 _HUMP = regex.compile(r"\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\p{N}+")
 _DIGITS = regex.compile(r"\p{N}+")
+_FINAL = re.compile(r"[.!?…]\s|[。！？]")
+_ENDED = re.compile(r"[.!?]\W*$")
+_COMMAS = re.compile(r"[,;|/]\s")
+_HAN = regex.compile(r"\p{Han}")
+# Characters that Chinese clauses are made with.
+_PARTICLES = frozenset("的了是在和不也就都而及与着或把被从对为以到这那它他她我你们会可能要让将已未请并且但因所如果则时后前有没些还再才只很更吗呢吧之其于由此些")
 _SENTENCE = regex.compile(r"(?<=[.!?…]\s)|(?<=[。！？])")
 _LINKISH = regex.compile(r"https?://|www\.|href=", regex.I)
 #: A setting ``key: value``; an address is none, nor is what a listing says of a product. A keyword of code has a sign beside
@@ -74,84 +82,124 @@ class SuffixAutomaton:
         return [best[v] for v in self.prefix]
 
 
-def _symbols(piece: str) -> list[tuple[str, int]]:
-    """(symbol, characters) of a piece: words in lower case, parts of hashtags, one symbol for all addresses and one for all numbers."""
+def _symbols(tokens: list[str]) -> list[tuple[str, int]]:
+    """(symbol, characters) of tokens: words in lower case, parts of hashtags, one symbol for all addresses and one for all numbers."""
     out = []
-    for t in _TOKEN.findall(piece):
-        if _LINKISH.match(t):
+    for t in tokens:
+        c = t[0]
+        if c in "hHwW" and _LINKISH.match(t):
             out.append(("\x01link", len(t)))
-        elif t[0] == "#" and len(t) > 1:
+        elif c == "#" and len(t) > 1:
             parts = _HUMP.findall(t[1:])
             out.append(("\x01tag", 1))
             out += [(p.lower(), len(p)) for p in parts] if len(parts) > 1 else [("\x01tagged", len(t) - 1)]
-        elif t[0].isdigit():
+        elif c.isdigit():
             out.append(("\x01number", len(t)))
         else:
-            out.append((_DIGITS.sub("0", t.lower()), len(t)))
+            out.append((t.lower() if t.isalpha() else _DIGITS.sub("0", t.lower()), len(t)))
     return out
 
 
+def _covered(symbols: list[tuple[str, int]]) -> list[bool]:
+    """Which symbols lie in substrings that occur ``OCCURRENCES`` times or more and have ``LEAST_CHARS`` characters.
+
+    A symbol that itself occurs less often is in none of them, so the automaton reads it as one and the same break, and a
+    sequence without frequent symbols needs none."""
+    often = {s for s, n in Counter(s for s, _ in symbols).items() if n >= OCCURRENCES}
+    covered = [False] * len(symbols)
+    if not often:
+        return covered
+    # a break must not repeat itself: each gets its own name
+    lengths = SuffixAutomaton([s if s in often else f"\x02{k}" for k, (s, _) in enumerate(symbols)]).repeats(OCCURRENCES)
+    reach = len(symbols)
+    for k in range(len(symbols) - 1, -1, -1):
+        begin = k - lengths[k] + 1
+        if lengths[k] and sum(c for _, c in symbols[max(begin, k - 3) : k + 1]) >= LEAST_CHARS:
+            reach = min(reach, begin)
+        if reach <= k:
+            covered[k] = True
+        else:
+            reach = len(symbols)
+    return covered
+
+
+def _has_clause(tokens: list[str], piece: str) -> tuple[bool, bool]:
+    """Whether a piece has a clause, and whether at least a fourth of it are addresses and hashtags."""
+    words = used = shown = 0
+    different = set()
+    for t in tokens:
+        c = t[0]
+        if c in "hHwW" and _LINKISH.match(t):
+            shown += 1
+        elif c == "#" and len(t) > 1:
+            shown += 1
+            parts = _HUMP.findall(t[1:])
+            if len(parts) > 1:
+                for p in parts:
+                    words += p[0].isalpha()
+                    if (w := p.lower()) in _FUNCTION:
+                        used += 1
+                        different.add(w)
+        elif c.isalpha():
+            words += 1
+            if (w := t.lower()) in _FUNCTION:
+                used += 1
+                different.add(w)
+    links = shown * 4 >= max(1, words)
+    if len(different) >= 2 and used * 8 >= words and words > 3 * shown:
+        return True, links
+    if used and not shown and _ENDED.search(piece) and 8 * len(_COMMAS.findall(piece)) <= words:
+        return True, links
+    if len(different) >= 2 and piece.lstrip().startswith("|"):
+        return True, links
+    if not piece.isascii() and _HAN.search(piece):
+        letters = len(_HAN.findall(piece))
+        of = [c for c in piece if c in _PARTICLES]
+        return len(set(of)) >= 2 and 12 * len(of) >= letters > 8 * shown, links
+    return False, links
+
+
 def stuffed_share(text: str | None, least: float = 0.5) -> float:
     """Share of a text's words in pieces that are repeated keywords, links or product tags; 0 for a text without words,
     and for one whose pieces without clause hold no more than the share ``least``.
 
-    Pieces are lines, and sentences of lines. A piece with clauses is none: at least two different function words that
-    make up an eighth of it, or one in a sentence with its final mark and few commas. Nor is a structured line: log, transcript, code, heading, setting, dump, fenced block.
+    Pieces are the sentences of lines. A piece with clauses is none: at least two different function words that
+    make up an eighth of it (of Chinese characters a twelfth), or one in a sentence with its final mark and few commas. Nor is a
+    structured line: log, transcript, code, heading, setting, dump, fenced block.
     Of the others, addresses and hashtags are stuffing as such; else the share of the piece's characters that maximal
     repeated substrings of the page cover decides.
     """
     if not text:
         return 0.0
-    pieces: list[tuple[str, str]] = []
+    total = stuffed = maybe = 0
     fenced = False
+    open_pieces: list[tuple[int, list[str], bool]] = []
     for line in text.splitlines():
         if line.lstrip().startswith("```"):
             fenced = not fenced
-            pieces.append(("plain", line))
+            total += len(_WORD.findall(line))
         elif fenced or _STRUCTURED.match(line):
-            pieces.append(("plain", line))
+            total += len(_WORD.findall(line))
         else:
-            pieces += [("open", p) for p in (_SENTENCE.split(line) if len(line) > 120 else [line]) if p.strip()]
-    total = stuffed = 0
-    open_pieces: list[tuple[int, list[tuple[str, int]], bool]] = []
-    for kind, piece in pieces:
-        n = len(_WORD.findall(piece))
-        total += n
-        if kind == "plain" or not n:
-            continue
-        symbols = _symbols(piece)
-        if regex.search(r"\p{Han}", piece) and regex.search(r"[。，；]", piece):
-            continue
-        words = [s for s, _ in symbols if s[0] != "\x01" and s[0].isalpha()]
-        used = [w for w in words if w in _FUNCTION]
-        shown = sum(s in ("\x01link", "\x01tag") for s, _ in symbols)
-        free = len(words) - 3 * shown
-        if len(set(used)) >= 2 and len(used) * 8 >= len(words) and free > 0:
-            continue
-        if used and not shown and regex.search(r"[.!?]\W*$", piece) and 8 * len(regex.findall(r"[,;|/]\s", piece)) <= len(words):
-            continue
-        if piece.lstrip().startswith("|") and len(used) >= 2:
-            continue
-        open_pieces.append((n, symbols, shown * 4 >= max(1, len(words))))
-    if not open_pieces or sum(n for n, _, _ in open_pieces) / total <= least:
+            for piece in _SENTENCE.split(line) if _FINAL.search(line) else [line]:
+                n = len(_WORD.findall(piece))
+                total += n
+                if not n:
+                    continue
+                tokens = _TOKEN.findall(piece)
+                clause, links = _has_clause(tokens, piece)
+                if not clause:
+                    maybe += n
+                    open_pieces.append((n, tokens, links))
+    if not open_pieces or maybe / total <= least:
         return 0.0
-    flat = [s for _, symbols, _ in open_pieces for s in symbols]
-    lengths = SuffixAutomaton([s for s, _ in flat]).repeats(OCCURRENCES)
-    covered = [False] * len(flat)
-    reach = len(flat)
-    for k in range(len(flat) - 1, -1, -1):
-        begin = k - lengths[k] + 1
-        if lengths[k] and sum(c for _, c in flat[max(begin, k - 3) : k + 1]) >= LEAST_CHARS:
-            reach = min(reach, begin)
-        if reach <= k:
-            covered[k] = True
-        else:
-            reach = len(flat)
+    parts = [_symbols(tokens) for _, tokens, _ in open_pieces]
+    covered = _covered([x for part in parts for x in part])
     at = 0
-    for n, symbols, links in open_pieces:
-        chars = sum(c for _, c in symbols)
-        hit = sum(c for k, (_, c) in enumerate(symbols) if covered[at + k])
-        at += len(symbols)
+    for (n, _, links), part in zip(open_pieces, parts):
+        chars = sum(c for _, c in part)
+        hit = sum(c for k, (_, c) in enumerate(part) if covered[at + k])
+        at += len(part)
         if links or hit >= COVERED * chars:
             stuffed += n
     return stuffed / total if total else 0.0

@@ -28,6 +28,27 @@ STRUCTURED = [
 ]
 
 
+CHINESE = "便宜手机，优惠手机，手机商城，手机促销，" * 40, "便宜手机。优惠手机。手机商城。手机促销。" * 40, "便宜手机 优惠手机 手机商城 手机促销 " * 40
+CHINESE_PROSE = "原因在于缓存没有在重启之后清空，所以第二次运行读到了旧的值。我们把读取移到启动之后，并且加了测试。" * 3, "审查者要求补丁更小，因此我把解析器分成了两个文件，而测试也都通过了。" * 12
+
+
+@pytest.mark.parametrize("text", CHINESE)
+def test_chinese_keywords(text):
+    assert stuffed_share(text) > 0.5
+
+
+@pytest.mark.parametrize("text", CHINESE_PROSE)
+def test_chinese_prose(text):
+    assert stuffed_share(text) <= 0.5
+
+
+@pytest.mark.parametrize("length", [2, 5, 30])
+def test_the_length_of_lines_decides_nothing(length):
+    """The same sentences in lines of any number of them have the same share."""
+    parts = ["Buy cheap runners now.", "Best ci dashboard.", "The build that we ran yesterday is green."] * 30
+    assert stuffed_share("\n".join(" ".join(parts[k : k + length]) for k in range(0, 90, length))) == pytest.approx(stuffed_share("\n".join(parts)), abs=0.02)
+
+
 @pytest.mark.parametrize("text", LISTS)
 def test_bare_lists(text):
     assert stuffed_share(text) > 0.5
