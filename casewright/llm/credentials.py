@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.automaton import Automaton
+from casewright.llm.automaton import BEYOND, Automaton
 
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALNUM, HEX = UPPER + LOWER + DIGIT, DIGIT + "abcdefABCDEF"
@@ -33,7 +33,7 @@ TOKEN_FORMATS = [
 ]
 LEAST = {p: n for p, _, n in TOKEN_FORMATS}
 # Names whose value is a credential.
-PASS_NAMES = ["password", "passwd", "passphrase", "passcode", "pwd", "pass", "passwort", "kennwort", "senha", "contraseña"]
+PASS_NAMES = ["password", "passwd", "passphrase", "passcode", "pwd", "pass", "passwort", "kennwort", "senha", "contraseña", "contrasena", "motdepasse", "mot_de_passe", "mdp", "пароль", "密码", "口令"]
 OTHER_NAMES = ["secret", "token", "credential", "credentials", "auth"]
 KEY_OWNERS = ["api", "access", "secret", "private", "auth", "account", "shared", "signing", "encryption", "master", "service", "client", "app", "admin", "webhook"]
 CALLS = ["login", "authenticate", "signin", "sign_in", "connect", "log_in"]
@@ -60,7 +60,7 @@ _AFTER_FLAG = re.compile(r"""["']?[ \t]*(?:$|[|;&>\\)`]|[ \t]-)""", re.M)
 #: Letters that read as a name of code.
 _NAMED = re.compile(r"[A-Z]+(?:[_\-][A-Z]+)*|_*[A-Za-z]?[a-z]+(?:[_.\-]?(?:[A-Z][a-z]+|[a-z]+))*[A-Z]*")
 _GROUPED = re.compile(r"\b(?:docker|podman|nerdctl|kubectl|chown|install|setpriv)\b")
-_SQL = re.compile(r"(?i)\b(?:with|encrypted|identified|set|user)[ \t]+$")
+_SQL = [["with"], ["encrypted"], ["identified"], ["set"], ["user"]]
 _HASHED = re.compile(r"(?:\$2[abxy]?\$|\$argon2|\$[156]\$|\{?(?:bcrypt|pbkdf2|scrypt|sha\d*|md5|ssha)\b|sha\d+[-:])", re.I)
 
 _OP = re.compile(
@@ -80,7 +80,7 @@ _JSON_PAIR = re.compile(r'''"[\w.\-]+"\s*:\s*"(?P<v>[A-Za-z0-9+/_\-]{8,}={0,2})"
 _DATA = re.compile(r"(?m)^(?P<i>[ \t]*)data:[ \t]*\r?\n(?P<b>(?:(?P=i)[ \t]+\S[^\n]*\n?)+)")
 _PAIR = re.compile(r"""(?m)^[ \t]+["']?[\w.\-]+["']?:[ \t]*["']?(?P<v>[A-Za-z0-9+/_\-]{8,}={0,2})["']?[ \t]*$""")
 _KEY_NAME = re.compile(r"(?i)(?:" + "|".join(KEY_OWNERS) + r")[_\-. ]?(?:key|key[_\-]?id)$")
-_NETRC = re.compile(r"(?i)\b(?:machine|login)\s+\S+\s+(?:\S+\s+)*$|(?:^|\n)[ \t]*(?:ENV|ARG|SET|setx)[ \t]+$")
+_SETTERS = ("env", "arg", "set", "setx")
 
 
 _ASCII = re.compile(r"[\x00-\x7f]*")
@@ -96,10 +96,12 @@ def _rules() -> list[tuple[str, str, list[tuple[frozenset[str], int, int]]]]:
     rules.append(("armor", "-----BEGIN", _word("-----BEGIN ", case=True)))
     free = frozenset(chr(c) for c in range(33, 127)) - set("/@\"'<>")
     rules.append(("url", "://", [*_word("://"), (free, 2, 2)]))
-    apart = frozenset(chr(c) for c in range(128)) - set(ALNUM + "_")
+    apart = frozenset(chr(c) for c in range(1, 128)) - set(ALNUM + "_")
     for name in [*PASS_NAMES, *OTHER_NAMES, "key", "key_id", "key-id", "keyid"]:
         head = _ASCII.match(name).group()  # the automaton sees a name up to its first letter beyond ASCII; the grammar reads the rest
-        rules.append(("name", name, [*_word(head), (apart, 1, 1)] if head == name else _word(head)))
+        # one without any ASCII letter is seen by its length up to the sign that a value follows
+        sign = [(frozenset({BEYOND}), len(name), len(name)), (frozenset(" \t\"'"), 0, 3), (frozenset(":="), 1, 1)]
+        rules.append(("name", name, [*_word(head), (apart, 1, 1)] if head == name else _word(head) or sign))
     rules += [("call", c, [*_word(c), (frozenset("("), 1, 1)]) for c in CALLS]
     rules += [("user", f, [(frozenset(" \t\n"), 1, 1), *_word(f, case=True), (frozenset(" ="), 1, 1)]) for f in ("-u", "--user")]
     rules += [("basic", "basic", [*_word("basic"), (frozenset(" \t"), 1, 1), (frozenset(ALNUM), 1, 1)])]
@@ -118,6 +120,31 @@ def _machine() -> tuple[list, Automaton]:
     return _numbered(), Automaton([p for _, _, p in _numbered()])
 
 
+def _before(text: str, at: int, count: int) -> list[str]:
+    """The last ``count`` words, parted by white space, before a place that white space stands before; in lower case."""
+    out: list[str] = []
+    while len(out) < count:
+        stop = at
+        while stop and text[stop - 1].isspace():
+            stop -= 1
+        if stop in (0, at):
+            break
+        at = stop
+        while at and not text[at - 1].isspace():
+            at -= 1
+        out.append(text[at:stop].lower())
+    return out[::-1]
+
+
+def _logs_in(text: str, at: int) -> bool:
+    """Whether a value follows the name at ``at`` without a sign: in a netrc entry (``machine h login u password p``, in lines
+    or not) or where a setting is made (``ENV NAME value``)."""
+    words = _before(text, at, 2)
+    if len(words) == 2 and words[0] in ("machine", "login", "account"):
+        return True
+    return words[-1:] != [] and words[-1] in _SETTERS and text[text.rfind("\n", 0, at) + 1 : at].strip().lower() == words[-1]
+
+
 def _decoded(value: str) -> str | None:
     try:
         raw = base64.b64decode(value + "=" * (-len(value) % 4), altchars=b"-_" if set(value) & set("-_") else None, validate=True)
@@ -208,9 +235,12 @@ def find_in(text: str, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
             if anchor.isascii():
                 begin = stop = end - 1
             else:
-                rest = anchor[len(_ASCII.match(anchor).group()) :]
-                rest = next((r for r in (rest, unicodedata.normalize("NFD", rest)) if text[end : end + len(r)].lower() == r), "")
-                begin, stop = end, end + len(rest)
+                head = _ASCII.match(anchor).group()
+                least = max(0, end - len(anchor) - 4)
+                begin = end if head else least + text[least:end].lower().rfind(anchor)
+                rest = anchor[len(head) :]
+                rest = next((r for r in (rest, unicodedata.normalize("NFD", rest)) if text[begin : begin + len(r)].lower() == r), "")
+                stop = begin + len(rest)
                 if not rest or text[stop : stop + 1].isalnum() or text[stop : stop + 1] == "_":
                     continue
             while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_-."):
@@ -231,11 +261,11 @@ def find_in(text: str, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
                 alone = bare and not text[text.rfind("\n", 0, begin) + 1 : begin].strip() and text[bare.end() : bare.end() + 1] in ("", "\r", "\n")
                 random = alone and len(bare.group()) >= 8 and bare.group().lower() != bare.group() and not _NAMED.fullmatch(bare.group())
                 valued(lead, password, url, shell or bool(random or lead.group("q")))
-            elif text[begin:stop].startswith("--") or _NETRC.search(text[max(0, begin - 120) : begin]) or (password and text[stop : stop + 2] in (" '", ' "')):
+            elif text[begin:stop].startswith("--") or _logs_in(text, begin) or (password and text[stop : stop + 2] in (" '", ' "')):
                 if lead := _FLAG.match(text, stop):
                     bare = _BARE.match(text, lead.end())
                     flag = text[begin:stop].startswith("--") and (lead.group("q") or bare and bare.group()[-1] not in ".:!?" and _AFTER_FLAG.match(text, bare.end()))
-                    valued(lead, password, False, bool(flag) or bool(lead.group("q") and _SQL.search(text[max(0, begin - 20) : begin])))
+                    valued(lead, password, False, bool(flag) or bool(lead.group("q") and _before(text, begin, 1)[:1] in _SQL))
         elif rule == "call":
             if (m := _CALL.match(text, end - 1)) and is_literal(m.group("v"), True, True, anchor != "connect"):  # a host and a database too
                 spans.add(m.span("v"))

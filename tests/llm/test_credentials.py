@@ -61,7 +61,8 @@ def test_manifests(form, secret):
     assert [text[a:b] for a, b in spans(text)] == [value]
 
 
-@pytest.mark.parametrize("text", ["contraseña = 'glacier66439'", "la_contraseña: c3JgcLjp7jkiRHm7", "Contraseña = \"fT_QpTMJVA\"", "CONTRASEÑA=glacier66439", "contrasen\u0303a = 'glacier66439'"])
+@pytest.mark.parametrize("text", ["contraseña = 'glacier66439'", "la_contraseña: c3JgcLjp7jkiRHm7", "Contraseña = \"fT_QpTMJVA\"", "CONTRASEÑA=glacier66439", "contrasen\u0303a = 'glacier66439'",
+    "пароль: c3JgcLjp7jkiRHm7", "Пароль = 'glacier66439'", "db_密码=\"fT_QpTMJVA\"", "口令 = 'glacier66439'", "motDePasse = 'glacier66439'", "mot_de_passe: 'glacier66439'"])
 def test_names_beyond_ascii(text):
     assert len(spans(text)) == 1
 
@@ -95,6 +96,26 @@ def test_place_in_long_texts():
         assert spans(text) == [(shift + 5, shift + 5 + len(TOKEN))]
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [(f"machine {'h' * 200}.example\n  login relay\n  password saddle46952\n", "saddle46952"), (f"login {'u' * 300} password saddle46952", "saddle46952"), ("ENV DB_PASSWORD saddle46952", "saddle46952"), (f"ALTER USER a WITH {' ' * 40}PASSWORD 'saddle pebble'", "saddle pebble")],
+)
+def test_contexts_of_any_length(text, value):
+    assert [text[a:b] for a, b in spans(text)] == [value]
+
+
+@pytest.mark.parametrize("text", ["The machine that has no password saddle46952", "пароль: неверный", "密码：必须填写", "пароли = 'glacier66439'"])
+def test_no_context(text):
+    assert spans(text) == []
+
+
+def test_texts_beyond_what_is_scanned_at_once(monkeypatch):
+    texts = [f"{'x ' * k} {TOKEN} é" * 3 for k in (10, 500, 3000)] + [""] + ["a b" * 40]
+    want = _machine()[1].scan(texts)
+    monkeypatch.setattr("casewright.llm.automaton.AT_ONCE", 700)
+    assert _machine()[1].scan(texts) == want and len({t for t, _, _ in want}) == 3
+
+
 def test_automaton_matches_plain_search():
     word = lambda w: [(frozenset(c), 1, 1) for c in w]
     patterns = [word("aba"), [*word("b"), (frozenset("ab"), 0, 3), *word("c")], [(frozenset("ac"), 2, 2), *word("b")]]
