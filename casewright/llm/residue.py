@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,15 +15,18 @@ from pyspark.sql import functions as F
 from casewright.llm import residue_examples as examples
 from casewright.plans.session import cut
 
-#: Tokens of a window and of the step to the next; exemplars of one label that a window may be compared with at once;
-#: containment from which a window is residue; share of the value that residue windows must cover.
-WINDOW, STEP, CLOSEST, CONTAINED, COVERAGE = 16, 8, 24, 0.7, 0.8
+#: Tokens of a window and of the step to the next; containment from which a window is residue; share of the value that
+#: residue windows must cover.
+WINDOW, STEP, CONTAINED, COVERAGE = 16, 8, 0.7, 0.8
+#: Words on either side of a slot that belong to a template with several.
+BESIDE = 2
 #: Distinct tokens that a task counts before it hands on what it has.
 COUNTED = 100_000
 
+# A slot ends where the next of its kind could begin, so none is too long and a text of open brackets costs no more than its length.
 _SLOT = (
-    r"\{\{[^{}]{0,60}\}\}|\{%[^%]{0,60}%\}|\$\{[^{}]{0,60}\}|%\(\w+\)[sd]|&lt;&lt;.{1,40}?&gt;&gt;|&lt;[\w ]{1,40}&gt;|<<[\w ]{1,40}>>|<(?!/|noscript|br|p>|div|html|head|body|title|center|script|span|meta|link|style|table|tr|td|ul|li|b>|i>|a\b|hr|h\d)[a-z][\w ]{0,40}>"
-    r"|\[(?:your|insert|enter|add|put|my|the)\b[^\]]{0,50}\]|__[A-Z][A-Z_]*__|#?\{[\w ]{0,40}\}|%[A-Z_]{2,}%|@@\w+@@"
+    r"\{\{[^{}]*+\}\}|\{%[^%{}]*+%\}|\$\{[^{}]*+\}|%\(\w+\)[sd]|&lt;&lt;[^&<>\n]++&gt;&gt;|&lt;[\w ]++&gt;|<<[\w ]++>>|<(?!/|noscript|br|p>|div|html|head|body|title|center|script|span|meta|link|style|table|tr|td|ul|li|b>|i>|a\b|hr|h\d)[a-z][\w ]*+>"
+    r"|\[(?:your|insert|enter|add|put|my|the)\b[^\]\[]*+\]|__[A-Z][A-Z_]*__|#?\{[\w ]*+\}|%[A-Z_]{2,}%|@@\w+@@"
 )
 _TOKEN = regex.compile(
     rf"(?i:(?P<slot>{_SLOT}))|(?P<tag></?\w+/?>)|(?P<host>(?i:https?://[\w.\-/?=&%#~]+|\b[\w\-]+(?:\.[\w\-]+)*\.(?:example|invalid|test|com|org|net|io|dev|local)\b[\w./\-]*|\blocalhost\b))"
@@ -63,6 +66,7 @@ def tokens_of(text: str) -> list[str]:
     return out
 
 
+_SAID = {"<ident>", "<num>", "<id>"}
 _SHOUTED = regex.compile(r"(?:ERR|DNS|NET)_[A-Z_]+")
 
 
@@ -70,77 +74,69 @@ class Exemplars:
     """The exemplars behind an inverted index from pairs of neighbouring tokens (and single filler tokens)."""
 
     def __init__(self) -> None:
-        self.pairs: dict[tuple[str, str], list[int]] = defaultdict(list)
-        self.labels: list[str] = []
+        #: the labels of the exemplars that have a pair, in the order of the library
+        self.pairs: dict[tuple[str, str], tuple[str, ...]] = {}
         self.alone = {_word(w) for w in examples.FILLER} | {"<slot>", "<mash>"}
         self.whole: set[tuple[str, ...]] = set()
         self.bonds: set[tuple[str, str]] = set()
-        seen = set()
         for label, text in examples.exemplars():
             for mark, value in _MARKS.items():
                 text = text.replace("{" + mark + "}", value)
             tokens = tuple(tokens_of(text))
-            if tokens in seen or not tokens:
-                continue
-            seen.add(tokens)
-            number = len(self.labels)
-            self.labels.append(label)
             if len(tokens) == 1 and label != "written":
                 self.whole.add(tokens)
             for pair in set(zip(tokens, tokens[1:])):
-                self.pairs[pair].append(number)
-            if label != "written":
-                self.bonds |= set(zip(tokens, tokens[1:]))
-
-    def by_rule(self, tokens: list[str]) -> bool:
-        """Whether a value, without its tags, is residue whatever its tokens weigh."""
-        if not tokens or tuple(tokens) in self.whole or len(tokens) > 1 and len(set(tokens)) == 1 and tokens[0][0] != "<":
-            return True
-        slots = tokens.count("<slot>")
-        return slots >= 2 and 5 * slots >= len(tokens) and not any(t in ("<ident>", "<num>", "<id>") for t in tokens)
+                known = self.pairs.get(pair, ())
+                if label not in known:
+                    self.pairs[pair] = (*known, label)
+                if label != "written":
+                    self.bonds.add(pair)
+
+    def _generic(self, tokens: list[str]) -> set[int]:
+        """Places that exemplars without words of their own hold: a word again and again, a value of one stand-in, and what
+        stands within ``BESIDE`` of a slot among several, unless identifiers or numbers say something."""
+        held = {j for k, pair in enumerate(zip(tokens, tokens[1:])) if pair[0] == pair[1] and pair[0][0] != "<" for j in (k, k + 1)}
+        if len(tokens) == 1 and tuple(tokens) in self.whole:
+            held.add(0)
+        slots = [k for k, t in enumerate(tokens) if t == "<slot>"]
+        if len(slots) >= 2 and not _SAID.intersection(tokens):
+            held.update(j for k in slots for j in range(max(0, k - BESIDE), min(len(tokens), k + BESIDE + 1)))
+        return held
 
     def reach(self, tokens: list[str]) -> list[bool]:
         """The tokens that any window can have in common with exemplars of residue; all others stay uncovered."""
         marks = [t in self.alone for t in tokens]
         for k, pair in enumerate(zip(tokens, tokens[1:])):
-            if pair in self.bonds:
+            if pair in self.bonds or pair[0] == pair[1]:
                 marks[k] = marks[k + 1] = True
+        slots = [k for k, t in enumerate(tokens) if t == "<slot>"]
+        for k in slots if len(slots) >= 2 else ():
+            for j in range(max(0, k - BESIDE), min(len(tokens), k + BESIDE + 1)):
+                marks[j] = True
+        if len(tokens) == 1 and tuple(tokens) in self.whole:
+            marks[0] = True
         return marks
 
     def covered(self, window: list[str], weight: dict[str, float], most: float) -> list[bool]:
-        """The tokens of a window that its closest exemplars of one label hold beside the same neighbour; none where the
-        label is that of written texts."""
-        votes: Counter[int] = Counter()
-        hits: dict[int, list[int]] = defaultdict(list)
+        """The tokens of a window that exemplars of one label hold beside the same neighbour, for the label that holds the
+        greatest weight; none where that is the label of written texts."""
+        hits: dict[str, set[int]] = {"any": held} if (held := self._generic(window)) else {}
         for k, pair in enumerate(zip(window, window[1:])):
-            value = weight.get(pair[0], most) + weight.get(pair[1], most)
-            for number in self.pairs.get(pair, ()):
-                votes[number] += value
-                hits[number].append(k)
-        best = [w in self.alone for w in window]
+            for label in self.pairs.get(pair, ()):
+                hits.setdefault(label, set()).update((k, k + 1))
+        best = alone = [w in self.alone for w in window]
         gain = sum(weight.get(w, most) for w, b in zip(window, best) if b)
-        alone = best[:]
-        for label in dict.fromkeys(self.labels[n] for n in votes):
-            near = sorted((n for n in votes if self.labels[n] == label), key=lambda n: (-votes[n], n))
-            marks = alone[:]
-            taken: set[int] = set()
-            for n in near:  # an exemplar that adds no pair is no use
-                if len(taken) >= CLOSEST:
-                    break
-                if any(not (marks[k] and marks[k + 1]) for k in hits[n]):
-                    taken.add(n)
-                    for k in hits[n]:
-                        marks[k] = marks[k + 1] = True
+        for label, held in hits.items():
+            marks = [m or k in held for k, m in enumerate(alone)]
             value = sum(weight.get(w, most) for w, m in zip(window, marks) if m)
             if value > gain:
                 best, gain = [label != "written" and m for m in marks], value
         return best
 
     def coverage(self, tokens: list[str], weight: dict[str, float], most: float) -> float:
-        """TF-IDF share of a value that lies in residue windows; 1 for a value without words, for one word again and
-        again, and for two or more slots among few words with no identifier or number."""
+        """TF-IDF share of a value that lies in residue windows; 1 for a value without words (of punctuation)."""
         tokens = [t for t in tokens if t != "<tag>"]
-        if self.by_rule(tokens):
+        if not tokens:
             return 1.0
         w = [weight.get(t, most) for t in tokens]
         total = sum(w)
@@ -168,7 +164,7 @@ def residue_values(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
     Labelled exemplars (a fixed library, broadcast as part of the task) are retrieved through an inverted index of
     neighbouring tokens; a window of the value is residue when the TF-IDF weight of the tokens that it has in common
-    with its closest exemplars is at least ``CONTAINED`` of its own, a value when such windows cover ``COVERAGE`` of its
+    with exemplars of one label is at least ``CONTAINED`` of its own, a value when such windows cover ``COVERAGE`` of its
     weight. Document frequencies are those of all tokens over all values. A weight lies between log 2 (in every value)
     and log(1 + values), so a value in which even at these bounds the tokens beside a neighbour of the library can't reach
     the coverage is no residue; one pass over the texts yields both the frequencies, added up in each task, and the tokens
@@ -199,7 +195,7 @@ def residue_values(df: DataFrame, keys: list[str], text: str) -> DataFrame:
                 values += 1
                 frequency.update(set(tokens))
                 near = sum(library.reach(tokens))
-                if near * lean >= (COVERAGE - 1e-9) * (near * lean + len(tokens) - near) or library.by_rule(tokens):
+                if near * lean >= (COVERAGE - 1e-9) * (near * lean + len(tokens) - near):
                     keep.append(k)
                     lists.append(tokens)
             if keep:

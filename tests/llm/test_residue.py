@@ -34,6 +34,13 @@ def test_nulls_blank_long_repeated_and_empty(spark):
     assert found(spark, []) == set()
 
 
+def test_slots_of_any_length_and_many_exemplars(spark):
+    """Neither the length of a slot nor the number of exemplars that a window is made of decides."""
+    name = "the name of whoever looked at this last " * 12
+    values = [f"Fix {{{{ {name} }}}} in <{name}>", f"[your {name}]", "The {{ a }} of {{ b }}", "untitled", "gizmo gizmo gizmo gizmo", "{{ " * 20_000, "[your " * 20_000 + "load_x fails"]
+    assert found(spark, values) == set(range(7))  # the last but one is punctuation, the last one word again and again
+
+
 @pytest.mark.parametrize("times", [1, 40])
 def test_same_result_on_a_larger_table_of_the_same_mix(spark, times):
     """A frequent word that no exemplar holds weighs what its own frequency says, however large the table is."""
