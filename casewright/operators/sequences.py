@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.plans.session import cut, stored
+
 
 def longest_run_in(items: Column) -> Column:
     """Longest run of equal neighbours of an array; 0 for an empty one, null elements end a run."""
@@ -93,24 +95,53 @@ def kept_before(df: DataFrame, key: str, order: list[Column], kept: Column, name
     return df.withColumn(name, F.coalesce(F.count_if(kept).over(w), F.lit(0)))
 
 
-def round_robin(df: DataFrame, group: str, order: list[Column], budget: Column | int, first: Column) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the row number ``name`` (from 1) in the total order ``order``, over all rows or ``within`` groups.
+
+    Rows are parted by ranges of group and order and written; a row's number is that within its part plus the rows of
+    its group in the parts before. So neither all rows nor a hot group are ever sorted by one task; what one task adds
+    up is a number for each part. Null groups are one group. Rows that are equal in ``order`` share a part.
+    """
+    parts = stored(df.repartitionByRange(*(F.asc(g) for g in within), *order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy(*within, "_part").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    before = sizes.withColumn("_before", F.sum("_n").over(whole.orderBy("_part")) - F.col("_n"))
+    small = before.select(*(F.col(g).alias(f"_w{k}") for k, g in enumerate(within)), F.col("_part").alias("_p"), "_before")
+    own = F.row_number().over(Window.partitionBy(*within, "_part").orderBy(*order))
+    same = F.col("_part") == F.col("_p")
+    for k, g in enumerate(within):
+        same = same & F.col(g).eqNullSafe(F.col(f"_w{k}"))
+    ranked = parts.withColumn("_own", own).join(small, same)
+    return ranked.select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
+def round_robin(df: DataFrame, group: str, order: list[Column], budget: int, first: Column) -> DataFrame:
     """Rows that a fair draw keeps: one of each group a round, groups by first appearance, until the budget is used.
 
-    ``order`` ranks rows within a group, ``first`` orders groups by its minimum. The draw order is (rank, group's
-    first); ranks up to the one where the budget ends are taken whole, which needs only counts a rank, and only the
-    last rank is sorted. So no single task sees all rows.
+    ``order`` ranks rows within a group, ``first`` orders groups by its minimum. The draw order is (round, group's
+    first). The rounds that fit the budget follow from the groups' sizes alone: n rounds take the sum of min(size, n),
+    which is tried for many n at once. What is left goes to groups in order. No task ranks a whole group or all groups
+    (see ``numbered``). A budget below 1 keeps nothing.
     """
-    w = Window.partitionBy(group).orderBy(*order)
-    ranked = df.withColumn("round", F.row_number().over(w)).withColumn("_f", F.min(first).over(Window.partitionBy(group)))
-    sizes = ranked.groupBy("round").agg(F.count("*").alias("_n"))
-    limit = budget if isinstance(budget, Column) else F.lit(budget)
-    # rounds are at most as many as the largest group has rows; each is one number
-    ends = sizes.select("round", F.sum("_n").over(Window.orderBy("round")).alias("_end"), "_n")
-    kept = ranked.join(ends, "round").withColumn("_left", limit - (F.col("_end") - F.col("_n")))
-    whole = kept.where(F.col("_left") >= F.col("_n"))
-    part = kept.where((F.col("_left") > 0) & (F.col("_left") < F.col("_n"))).withColumn("_k", F.row_number().over(Window.partitionBy("round").orderBy("_f", group)))
-    columns = [*df.columns, "round"]
-    return whole.select(*columns).union(part.where(F.col("_k") <= F.col("_left")).select(*columns))
+    sizes = cut(df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"), F.min(first).alias("_f")))
+    most, total = sizes.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    rounds, taken, above = 0, 0, most + 1
+    if total <= budget:
+        rounds, taken = most, total
+    while above - rounds > 1 and taken < budget:  # rounds fit, above don't
+        tries = sorted({rounds + max(1, (above - rounds) * k // 32) for k in range(1, 32)} - {above})
+        sums = sizes.agg(*(F.sum(F.least("_n", F.lit(n))).alias(f"n{n}") for n in tries)).first()
+        fit = [(n, s) for n, s in zip(tries, sums) if s <= budget]
+        above = min([n for n, s in zip(tries, sums) if s > budget], default=above)
+        if fit:
+            rounds, taken = fit[-1]
+    ranked = numbered(df, order, "round", (group,))
+    whole = ranked.where(F.col("round") <= rounds)
+    if taken >= min(budget, total):
+        return whole
+    some = numbered(sizes.where(F.col("_n") > rounds), [F.col("_f"), F.col("_g")], "_k").where(F.col("_k") <= budget - taken)
+    last = ranked.where(F.col("round") == rounds + 1).join(some.select("_g"), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    return whole.union(last)
 
 
 def strictly_rising(df: DataFrame, key: str, pos: str, value: str) -> DataFrame:

@@ -1,8 +1,7 @@
 """JSON Lines scans: strict, lenient and defaulted.
 
-A file is one row of lines at first (``wholetext``), so that lines have numbers; lines are exploded before anything
-else is done, and all checks are columns. Files are bounded by what one task can read: this format is for stores of
-records, not for the corpus, which comes as Parquet.
+Files are read by splits. Lines get their numbers from the place in their split and the counts of the splits before, and
+all checks are columns; no task sees more than its split.
 """
 
 from __future__ import annotations
@@ -26,14 +25,18 @@ class EmptyHoldout(ValueError):
 
 
 def lines(spark: SparkSession, path: str, bom: bool = True) -> DataFrame:
-    """``line_no`` (from 1) and ``line`` of a text file; byte order mark off, CRLF as LF, blank lines left out."""
-    whole = spark.read.text(path, wholetext=True)
-    text = F.regexp_replace("value", "^﻿", "") if bom else F.col("value")
-    return (
-        whole.select(F.posexplode(F.split(text, r"\r\n|\n")).alias("k", "line"))
-        .where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
-        .select((F.col("k") + 1).alias("line_no"), "line")
-    )
+    """``file``, ``block`` (where its split begins), ``line_no`` (from 1) and ``line`` of text files; byte order mark off,
+    CRLF as LF, blank lines left out but counted."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = spark.read.option("lineSep", "\n").text(path).select(*at, F.monotonically_increasing_id().alias("k"), "value")
+    # lines of a split stand together and in order; a file has few splits, so what comes before each is a small window
+    splits = rows.groupBy("file", "block").agg(F.min("k").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.join(splits.select("file", "block", "first", before.alias("before")), ["file", "block"])
+    number = F.col("k") - F.col("first") + F.col("before") + 1
+    text = F.regexp_replace("value", "\r$", "")
+    text = F.when(number == 1, F.regexp_replace(text, "^\ufeff", "")).otherwise(text) if bom else text
+    return numbered.select("file", "block", number.alias("line_no"), text.alias("line")).where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
 
 
 def _kind(raw: Column) -> Column:
@@ -76,13 +79,17 @@ EXPERIENCE_CHECKS = [
 def checked(rows: DataFrame, ddl: str, required: list[str], checks: list[tuple[str, str]] = (), rising_id: bool = False, nullable: tuple[str, ...] = ()) -> DataFrame:
     """Parsed columns of ``rows`` (line_no, line) with ``error``: the first fault of a line, or null."""
     schema = T._parse_datatype_string(ddl)
-    parsed = rows.select("line_no", "line", F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("line").alias("v"))
+    parsed = rows.select("file", "block", "line_no", "line", F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("line").alias("v"))
     types = type_errors(schema, required, nullable)("v") if required or nullable else F.lit(None).cast("string")
-    flat = parsed.select("line_no", "r.*", F.when(F.col("v").isNull() | ~_kind("v").startswith("OBJECT"), F.lit("not a JSON object")).otherwise(types).alias("_type"))
+    flat = parsed.select("file", "block", "line_no", "r.*", F.when(F.col("v").isNull() | ~_kind("v").startswith("OBJECT"), F.lit("not a JSON object")).otherwise(types).alias("_type"))
     error = F.coalesce("_type", *(F.when(F.expr(test), F.lit(text)) for test, text in checks))
-    if rising_id:
-        before = F.lag("id").over(Window.orderBy("line_no"))
-        error = F.coalesce(error, F.when(F.col("id") <= before, F.lit("ids must rise")))
+    if rising_id:  # the line before is in the same split, or the last one of the split before
+        last = flat.groupBy("file", "block").agg(F.max_by("id", "line_no").alias("_id"))
+        edge = last.select("file", "block", F.lag("_id").over(Window.partitionBy("file").orderBy("block")).alias("_edge"))
+        before = F.coalesce(F.lag("id").over(Window.partitionBy("file", "block").orderBy("line_no")), "_edge")
+        flat = flat.join(edge, ["file", "block"]).withColumn("_before", before).drop("_edge")
+        error = F.coalesce(error, F.when(F.col("id") <= F.col("_before"), F.lit("ids must rise")))
+        return flat.withColumn("error", error).drop("_type", "_before")
     return flat.withColumn("error", error).drop("_type")
 
 
@@ -92,14 +99,14 @@ def strict(rows: DataFrame, ddl: str, required: list[str], checks: list[tuple[st
     bad = done.where("error IS NOT NULL").agg(F.min(F.struct("line_no", "error")).alias("b")).first()["b"]
     if bad:
         raise RecordError(f"{name}: line {bad['line_no']}: {bad['error']}")
-    return done.drop("error", "line_no")
+    return done.drop("error", "file", "block", "line_no")
 
 
 def lenient(rows: DataFrame, ddl: str) -> DataFrame:
     """The records of a file, or none at all if any line is bad."""
     done = checked(rows, ddl, [])
     bad = done.where("error IS NOT NULL").agg(F.count("*").alias("_bad"))
-    return done.crossJoin(F.broadcast(bad)).where("_bad = 0").drop("_bad", "error", "line_no")  # one row by construction
+    return done.crossJoin(F.broadcast(bad)).where("_bad = 0").drop("_bad", "error", "file", "block", "line_no")  # one row by construction
 
 
 def _there(spark: SparkSession, path: str) -> bool:

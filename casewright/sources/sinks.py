@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.text import CREDENTIALS, content_hash, redact
+from casewright.operators.sequences import numbered
 
 
 def canonical_lines(df: DataFrame, order: list[str], ascii_only: bool = False) -> DataFrame:
@@ -19,20 +20,30 @@ def canonical_lines(df: DataFrame, order: list[str], ascii_only: bool = False) -
 def write_lines(df: DataFrame, path: str, order: list[str]) -> int:
     """Replace a JSON Lines file by the rows of ``df`` in order; returns their number.
 
-    Written beside the target and renamed over it, so a reader sees the old file or the new one. One file is what the
-    format asks for; the sort is distributed and only the last step has one task, which streams.
+    Rows are sorted into parts by all tasks, the parts are strung together in a file beside the target (a stream of
+    bytes, nothing is held), and that is renamed over the target in one step: a reader sees the old file or the new one.
     """
     spark = df.sparkSession
     beside = f"{path}.{uuid.uuid4().hex}.tmp"
-    canonical_lines(df, order).coalesce(1).write.text(beside)
+    canonical_lines(df, order).write.text(f"{beside}.parts")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder, target = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    hadoop = jvm.org.apache.hadoop
+    parts, whole, target = (hadoop.fs.Path(p) for p in (f"{beside}.parts", beside, path))
     fs = target.getFileSystem(conf)
-    part = next(s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"could not replace {path}")
-    fs.delete(folder, True)
+    try:
+        out = fs.create(whole, True)
+        for part in sorted(str(s.getPath()) for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-")):
+            into = fs.open(hadoop.fs.Path(part))
+            hadoop.io.IOUtils.copyBytes(into, out, 1 << 20, False)
+            into.close()
+        out.close()
+        rename = getattr(hadoop.fs, "Options$Rename")
+        how = spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(whole), fs.makeQualified(target), how)
+    finally:
+        fs.delete(parts, True)
+        fs.delete(whole, False)
     return spark.read.text(path).count()
 
 
@@ -60,16 +71,7 @@ def merge_digest(live: DataFrame, incoming: DataFrame) -> DataFrame:
     kept = live.join(stamp, "content_hash", "left").withColumn("digested_at", F.coalesce("_at", "digested_at")).drop("_at")
     last = live.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
     new = once.join(live.select("content_hash"), "content_hash", "left_anti")
-    # ids follow the hash order, given out by ranges: a count for each range and an offset, no single sorted task
-    new = _numbered(new, "content_hash").crossJoin(F.broadcast(last)).withColumn("id", F.col("_pos") + F.col("_last"))
+    # ids follow the hash order
+    new = numbered(new, [F.col("content_hash")], "_pos").crossJoin(F.broadcast(last)).withColumn("id", F.col("_pos") + F.col("_last"))
     columns = ["id", "source", "heading", "content", "content_hash", "digested_at"]
     return kept.select(*columns).unionByName(new.select(*columns))
-
-
-def _numbered(df: DataFrame, order: str) -> DataFrame:
-    """``_pos`` from 1 in the order of a unique hex column: rank within the first two digits plus the sizes of those before."""
-    lead = F.substring(order, 1, 2)
-    sizes = df.groupBy(lead.alias("_b")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))  # at most 256 rows
-    ranked = df.withColumn("_b", lead).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(order)))
-    return ranked.join(F.broadcast(before), "_b").withColumn("_pos", F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")

@@ -90,6 +90,27 @@ def test_round_robin_takes_turns(spark):
     assert got == {("g0", 0), ("g1", 0), ("g2", 0), ("g0", 1), ("g1", 1), ("g2", 1), ("g0", 2)}
 
 
+def test_round_robin_equals_a_fold(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice([None, *"abcdefgh", *"a" * 20]), n) for n in range(300)]
+    df = spark.createDataFrame(rows, "g string, n int")
+    groups = {}
+    for g, n in rows:
+        groups.setdefault(g, []).append(n)
+    draw = [n for k in range(300) for g, ns in sorted(groups.items(), key=lambda x: x[1][0]) for n in ns[k : k + 1]]
+    for budget in (0, 1, 9, 40, 123, 299, 300, 1000):
+        assert {r["n"] for r in S.round_robin(df, "g", [F.col("n")], budget, F.col("n")).collect()} == set(draw[:budget]), budget
+    assert S.round_robin(df.limit(0), "g", [F.col("n")], 5, F.col("n")).count() == 0
+
+
+def test_numbers_over_all_rows(spark):
+    df = spark.createDataFrame([((k * 37) % 500, "abc"[k % 3]) for k in range(500)], "k int, g string").repartition(7)
+    assert all(r["pos"] == r["k"] + 1 for r in S.numbered(df, [F.col("k")], "pos").collect())
+    own = S.numbered(df, [F.desc("k")], "pos", ("g",)).collect()
+    for g in "abc":
+        assert [r["pos"] for r in sorted((r for r in own if r["g"] == g), key=lambda r: -r["k"])] == list(range(1, 1 + sum(r["g"] == g for r in own)))
+
+
 def test_failure_ladder_stream_equals_batch_equals_fold(spark, tmp_path):
     rng = random.Random(9)
     rows = [(u, k, rng.random() < 0.3, rng.choice("pqr")) for u in range(6) for k in range(40)]

@@ -23,6 +23,22 @@ def test_strict_scan(spark, tmp_path):
     assert jsonl.read_cases(spark, str(tmp_path / "none.jsonl")).count() == 0
 
 
+def test_lines_keep_their_numbers_across_splits(spark, tmp_path):
+    rows = [CASE | {"id": k, "diagnosis": "d" * (k % 90)} if k % 7 else "" for k in range(1, 900)]
+    path = write(tmp_path / "s.jsonl", rows, bom=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = jsonl.lines(spark, path)
+        assert got.select("block").distinct().count() > 5
+        assert sorted((r["line_no"], json.loads(r["line"])["id"]) for r in got.collect()) == [(k, k) for k in range(1, 900) if k % 7]
+        assert jsonl.read_cases(spark, path).count() == sum(1 for r in rows if r)
+        swapped = [CASE | {"id": k} for k in [*range(1, 300), 5, *range(301, 400)]]
+        with pytest.raises(jsonl.RecordError, match="line 300: ids must rise"):
+            jsonl.read_cases(spark, write(tmp_path / "w.jsonl", swapped))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 @pytest.mark.parametrize(
     ("bad", "why"),
     [({"id": True}, "bad type of id"), ({"id": 0}, "id below 1"), ({"times_seen": 0}, "times_seen below 1"), ({"last_seen": "yesterday"}, "ISO-8601"), ({"diagnosis": None}, "bad type of diagnosis"), ({"times_seen": 1.5}, "bad type of times_seen"), ({"id": 1}, "ids must rise")],
