@@ -36,9 +36,9 @@ SUBJECTS = [
     (r"version.?mismatch|requires?.?python|incompatible", "dependency-error"),
     (r"pip.*fail|npm.*fail|cargo.*fail", "dependency-error"),
     (r"flake|flaky|intermittent|timing", "flaky-test"),
-    (r"assert|assertion.?error|traceback|error:|exception", "test-failure"),
+    (r"assert|assertEqual|assertion.?error|traceback|error:|exception", "test-failure"),
     (r"typeerror|valueerror|attributeerror|runtimeerror", "test-failure"),
-    (r"failed|failures?", "test-failure"),
+    (r"failed|failures?|FAILED", "test-failure"),
 ]
 CATEGORIES = ["test-failure", "environment-error", "build-failure", "configuration-error", "dependency-error", "flaky-test", "unknown"]
 # Classes of environment failures, first match wins.
@@ -49,14 +49,27 @@ ENVIRONMENTS = [
     ("tool missing", r"is not recognized as an internal or external command|\bcommand not found\b|\bno module named\b"),
     ("wrong cwd", r"\benoent\b|\[errno 2\]|\bno such file or directory\b|\bfilenotfounderror\b"),
 ]
-# Phrases of an answer that is not sure.
-UNSURE = (
-    r"\b(?:i'm not sure|i am not sure|i don't know|do not know|don't know|uncertain|unclear|ambiguous|no relevant|no matching|not found|cannot determine|can't determine|"
-    r"unable to|not able to|no information|no data|no context|i cannot find|cannot locate|i was unable|was not able|no diagnosis|no answer)\b"
-)
-# Goals that continue, and greetings.
-CONTINUATIONS = ["continue", "continue.", "go on", "keep going", "resume", "continue where you left off"]
-GREETINGS = ["hi", "hello", "hey", "yo", "hallo", "hola", "bonjour", "thanks", "thank", "ok", "okay", "test", "ping"]
+# Markers of an answer that is not sure, in order.
+CONFIDENCE_MARKERS = [
+    r"\b(?:i'm not sure|i am not sure)\b",
+    r"\b(?:i don't know|do not know|don't know)\b",
+    r"\b(?:uncertain|unclear|ambiguous)\b",
+    r"\b(?:no relevant|no matching|not found)\b",
+    r"\b(?:cannot determine|can't determine)\b",
+    r"\b(?:unable to|not able to)\b",
+    r"\b(?:no information|no data|no context)\b",
+    r"\b(?:i cannot find|cannot locate)\b",
+    r"\b(?:i was unable|was not able)\b",
+    r"\b(?:no diagnosis|no answer)\b",
+]
+UNSURE = "|".join(CONFIDENCE_MARKERS)
+# Messages that only continue a session, texts that stand in injected ones, and greetings.
+CONTINUATIONS = ["continue", "continue.", "go on", "keep going", "resume", "continue where you left off",
+                 "continue if you have next steps, or stop and ask for clarification if you are unsure how to proceed."]
+INJECTED = ["SITUATION REPORT", "PROJECT GOAL (authored by", "Your previous response was interrupted"]
+GREETINGS = ["hello", "hi", "hey", "helo", "yo", "hiya", "greetings", "sup"]
+# What a goal that takes up interrupted work says.
+RESUMES = ["previous response was interrupted", "continue where you left off", "continue from where you left off"]
 # Words without substance in a goal.
 STOPWORDS = ["the", "a", "an", "and", "or", "to", "for", "of", "in", "on", "with", "my", "me", "i", "is", "it", "this", "that", "please"]
 
@@ -174,8 +187,9 @@ def unsure_markers(text: Column) -> Column:
 
 
 def is_continuation(text: Column) -> Column:
-    """Whether a message only asks to go on."""
-    return F.lower(strip(text)).isin(CONTINUATIONS)
+    """Whether a message only asks to go on, or was injected."""
+    injected = F.reduce(F.array(*(F.contains(text, F.lit(m)) for m in INJECTED)), F.lit(False), lambda a, x: a | x)
+    return F.lower(strip(text)).isin(CONTINUATIONS) | injected
 
 
 def is_greeting(text: Column) -> Column:
@@ -186,8 +200,9 @@ def is_greeting(text: Column) -> Column:
 
 
 def query_terms(text: Column, limit: int = 12, least: int = 3) -> Column:
-    """Distinct words of at least ``least`` characters in order of appearance, the first ``limit``."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    """Distinct words of at least ``least`` characters, those of the last line first, the first ``limit``."""
+    lines = F.reverse(F.split(F.lower(text), r"\r\n|[\n\r]"))
+    words = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))))
     return F.slice(F.array_distinct(F.filter(words, lambda w: F.length(w) >= least)), 1, limit)
 
 

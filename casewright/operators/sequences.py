@@ -102,17 +102,17 @@ def numbered(df: DataFrame, order: list[Column], name: str, within: tuple[str, .
     its group in the parts before. So neither all rows nor a hot group are ever sorted by one task; what one task adds
     up is a number for each part. Null groups are one group. Rows that are equal in ``order`` share a part.
     """
-    parts = stored(df.repartitionByRange(*(F.asc(g) for g in within), *order).withColumn("_part", F.spark_partition_id()))
-    sizes = parts.groupBy(*within, "_part").agg(F.count("*").alias("_n"))
+    parts = stored(df.repartitionByRange(*(F.asc(g) for g in within), *order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy(*within, "__part").agg(F.count("*").alias("__n"))
     whole = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    before = sizes.withColumn("_before", F.sum("_n").over(whole.orderBy("_part")) - F.col("_n"))
-    small = before.select(*(F.col(g).alias(f"_w{k}") for k, g in enumerate(within)), F.col("_part").alias("_p"), "_before")
-    own = F.row_number().over(Window.partitionBy(*within, "_part").orderBy(*order))
-    same = F.col("_part") == F.col("_p")
+    before = sizes.withColumn("__before", F.sum("__n").over(whole.orderBy("__part")) - F.col("__n"))
+    small = before.select(*(F.col(g).alias(f"__w{k}") for k, g in enumerate(within)), F.col("__part").alias("__p"), "__before")
+    own = F.row_number().over(Window.partitionBy(*within, "__part").orderBy(*order))
+    same = F.col("__part") == F.col("__p")
     for k, g in enumerate(within):
-        same = same & F.col(g).eqNullSafe(F.col(f"_w{k}"))
-    ranked = parts.withColumn("_own", own).join(small, same)
-    return ranked.select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+        same = same & F.col(g).eqNullSafe(F.col(f"__w{k}"))
+    ranked = parts.withColumn("__own", own).join(small, same)
+    return ranked.select(*df.columns, (F.col("__own") + F.col("__before")).alias(name))
 
 
 def round_robin(df: DataFrame, group: str, order: list[Column], budget: int, first: Column) -> DataFrame:
@@ -123,14 +123,14 @@ def round_robin(df: DataFrame, group: str, order: list[Column], budget: int, fir
     which is tried for many n at once. What is left goes to groups in order. No task ranks a whole group or all groups
     (see ``numbered``). A budget below 1 keeps nothing.
     """
-    sizes = cut(df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"), F.min(first).alias("_f")))
-    most, total = sizes.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    sizes = cut(df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"), F.min(first).alias("__f")))
+    most, total = sizes.agg(F.coalesce(F.max("__n"), F.lit(0)), F.coalesce(F.sum("__n"), F.lit(0))).first()
     rounds, taken, above = 0, 0, most + 1
     if total <= budget:
         rounds, taken = most, total
     while above - rounds > 1 and taken < budget:  # rounds fit, above don't
         tries = sorted({rounds + max(1, (above - rounds) * k // 32) for k in range(1, 32)} - {above})
-        sums = sizes.agg(*(F.sum(F.least("_n", F.lit(n))).alias(f"n{n}") for n in tries)).first()
+        sums = sizes.agg(*(F.sum(F.least("__n", F.lit(n))).alias(f"n{n}") for n in tries)).first()
         fit = [(n, s) for n, s in zip(tries, sums) if s <= budget]
         above = min([n for n, s in zip(tries, sums) if s > budget], default=above)
         if fit:
@@ -139,8 +139,8 @@ def round_robin(df: DataFrame, group: str, order: list[Column], budget: int, fir
     whole = ranked.where(F.col("round") <= rounds)
     if taken >= min(budget, total):
         return whole
-    some = numbered(sizes.where(F.col("_n") > rounds), [F.col("_f"), F.col("_g")], "_k").where(F.col("_k") <= budget - taken)
-    last = ranked.where(F.col("round") == rounds + 1).join(some.select("_g"), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    some = numbered(sizes.where(F.col("__n") > rounds), [F.col("__f"), F.col("__g")], "__k").where(F.col("__k") <= budget - taken)
+    last = ranked.where(F.col("round") == rounds + 1).join(some.select("__g"), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
     return whole.union(last)
 
 

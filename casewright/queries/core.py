@@ -57,6 +57,11 @@ def _sql_goal(c: str) -> str:
     return _COLLAPSE.format(rf"regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')")
 
 
+def _sql_canonical(c: str) -> str:
+    """SQL of the canonical signature of a composed one."""
+    return f"(SELECT {_sql_norm('h')} || ' :: ' || {_sql_norm('t')} FROM (SELECT CASE WHEN instr(x, ' :: ') > 0 THEN substr(x, 1, instr(x, ' :: ') - 1) ELSE x END AS h, CASE WHEN instr(x, ' :: ') > 0 THEN substr(x, instr(x, ' :: ') + 4) ELSE '' END AS t FROM (SELECT {c} AS x)))"
+
+
 _FOLD_CASES = f"SELECT signature, min(id) AS id, sum(times_seen)::BIGINT AS times_seen, max({_ts('last_seen')}) AS last_seen, count(*) AS records FROM cases WHERE signature IS NOT NULL GROUP BY signature"
 _FOLD_FLAKES = f"SELECT signature, sum(times_passed)::BIGINT AS times_passed, max({_ts('last_pass')}) AS last_pass FROM (SELECT DISTINCT * FROM flakes) WHERE signature IS NOT NULL GROUP BY signature"
 _ONCE_E = "SELECT DISTINCT * FROM experiences"
@@ -169,16 +174,6 @@ def detect_clusters(spark, d):
     return A.clusters(_t(spark, d, "cases"), "error_excerpt")
 
 
-@query(
-    f"WITH g AS (SELECT {_CLUSTER} AS k, count(*) AS n, min(id) AS a, max(id) AS b FROM cases GROUP BY 1 HAVING count(*) >= 2 AND k <> '') SELECT a AS first_id, b AS last_id FROM g WHERE a % 2 = 1"
-)
-def reject_filter(spark, d):
-    """Clusters that weren't rejected; those that begin with an even id count as rejected, their members in reverse."""
-    found = A.clusters(_t(spark, d, "cases"), "error_excerpt").select(F.lit("cluster").alias("type"), F.array("first_id", "last_id").alias("supporting_cases"), "first_id", "last_id")
-    rejected = found.where("first_id % 2 = 0").select("type", F.reverse("supporting_cases").alias("supporting_cases"))
-    return R.unrejected(found, rejected).select("first_id", "last_id")
-
-
 @query(
     f"WITH c AS (SELECT signature, times_seen, {_ts('last_seen')} < TIMESTAMP '2031-07-01' AS early FROM cases), a AS (SELECT signature, sum(times_seen)::BIGINT AS n FROM c WHERE early GROUP BY 1), "
     "b AS (SELECT signature, sum(times_seen)::BIGINT AS n FROM c WHERE NOT early GROUP BY 1) SELECT signature, (coalesce(a.n, 0) + coalesce(b.n, 0))::BIGINT AS times_seen, a.n IS NULL AS added FROM a FULL JOIN b USING (signature)"
@@ -216,16 +211,6 @@ def category_gaps(spark, d):
     return A.category_gaps(_t(spark, d, "cases"))
 
 
-@query(
-    f"WITH k AS (SELECT id, {_SUBJECT} AS category FROM cases), g AS (SELECT category, count(k.id) FILTER (WHERE k.id <= 2) AS before, count(k.id) AS after FROM {_ALL} LEFT JOIN k USING (category) GROUP BY 1) "
-    "SELECT category, before, after, CASE WHEN before = 0 THEN 'empty' WHEN before < 3 THEN 'thin' ELSE 'covered' END AS was, CASE WHEN after = 0 THEN 'empty' WHEN after < 3 THEN 'thin' ELSE 'covered' END AS \"is\" FROM g WHERE after > before AND was <> \"is\""
-)
-def gap_fill(spark, d):
-    """Categories that the cases after the second one filled."""
-    cases = _t(spark, d, "cases")
-    return A.gap_changes(cases.where("id <= 2"), cases).select("category", "before", "after", "was", "is")
-
-
 _ENV = _sql_case("lower(coalesce({}, ''))", [(p, n) for n, p in X.ENVIRONMENTS], "unsure")
 
 
@@ -362,7 +347,7 @@ def goal_forms(spark, d):
     return e.select("experience_id", X.normal_goal(g).alias("goal_key"), X.curriculum_goal(g).alias("curriculum_key"), words.alias("first_words"))
 
 
-@query("SELECT id, array_to_string((list_distinct_ordered)[1:12], ' ') AS terms FROM (SELECT id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT id, list_filter(regexp_extract_all(lower(error_excerpt), '[\\p{L}\\p{N}_]+'), lambda x: length(x) >= 3) AS w FROM cases))")
+@query("SELECT id, array_to_string((list_distinct_ordered)[1:12], ' ') AS terms FROM (SELECT id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT id, list_filter(flatten(list_transform(list_reverse(string_split_regex(lower(error_excerpt), '\\r\\n|[\\n\\r]')), lambda y: regexp_extract_all(y, '[\\p{L}\\p{N}_]+'))), lambda x: length(x) >= 3) AS w FROM cases))")
 def query_terms(spark, d):
     """Search terms of an excerpt."""
     return _t(spark, d, "cases").select("id", F.array_join(X.query_terms(F.col("error_excerpt")), " ").alias("terms"))
@@ -654,18 +639,6 @@ def eval_matrix(spark, d):
     return grid.join(n, ["model", "run"], "left").withColumn("tasks", F.coalesce("tasks", F.lit(0)))
 
 
-@query(
-    "WITH a AS (SELECT p_partkey AS k, p_size AS s, p_name AS h FROM part WHERE p_partkey % 7 <> 0), b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS s, CASE WHEN p_partkey % 3 = 0 THEN p_name || 'x' ELSE p_name END AS h FROM part WHERE p_partkey % 11 <> 0) "
-    "SELECT k AS p_partkey, CASE WHEN b.s IS NULL THEN 'missing' WHEN a.s IS NULL THEN 'unlisted' WHEN a.s <> b.s THEN 'size drift' WHEN a.h <> b.h THEN 'hash drift' ELSE 'same' END AS status FROM a FULL JOIN b USING (k)"
-)
-def manifest_diff(spark, d):
-    """Status of parts between two listings."""
-    p = _t(spark, d, "part").select("p_partkey", "p_size", "p_name")
-    k = F.col("p_partkey")
-    after = p.where(k % 11 != 0).withColumns({"p_size": F.when(k % 5 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")), "p_name": F.when(k % 3 == 0, F.concat("p_name", F.lit("x"))).otherwise(F.col("p_name"))})
-    return R.full_diff(p.where(k % 7 != 0), after, "p_partkey", "p_size", "p_name")
-
-
 @query("SELECT doc_id, CASE WHEN length(text) IS NULL THEN 'removed' WHEN contains(text, 'stale') THEN 'changed' END AS change FROM documents WHERE text IS NULL OR contains(text, 'stale')")
 def ledger_changes(spark, d):
     """Documents that change or leave when every 'stale' is replaced and null texts go."""
@@ -675,23 +648,44 @@ def ledger_changes(spark, d):
     return R.changed(ledger, scan, "doc_id", "h")
 
 
-@query()
+@query(
+    rf"""WITH d AS (SELECT doc_id::VARCHAR AS doc_id, string_split(regexp_replace(chr(10) || replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\n#', chr(1) || '#', 'g'), chr(1)) AS parts FROM documents), p AS (SELECT doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) - 1 AS pos FROM d),
+    s AS (SELECT doc_id, pos, CASE WHEN starts_with(x, '#') THEN regexp_extract(x, '^#+([^\n]*)', 1) END AS h, CASE WHEN starts_with(x, '#') THEN regexp_replace(x, '^#[^\n]*\n?', '') ELSE x END AS c FROM p), k AS (SELECT doc_id, pos, coalesce(nullif({_STRIP.format('h')}, ''), doc_id) AS heading, {_STRIP.format('c')} AS content FROM s WHERE {_STRIP.format('c')} <> '')
+    SELECT * FROM k UNION ALL SELECT doc_id, 0, doc_id, '(empty document)' FROM d WHERE doc_id NOT IN (SELECT doc_id FROM k)"""
+)
 def document_sections(spark, d):
     """Sections of every document."""
     docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return T.markdown_sections(docs, "doc_id", "text")
+    return T.markdown_sections(docs, "doc_id", "text").withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query()
+@query(
+    rf"""WITH l AS (SELECT experience_id, string_split_regex(coalesce(failure, ''), '\r\n|\n') AS ls FROM ({_ONCE_E})), r AS (SELECT experience_id, ls, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM l),
+    f AS (SELECT experience_id, pos, regexp_extract(line, '(?i)^(?:FAIL|ERROR)[:\s]+(.+)$', 1) AS m, right(array_to_string(ls[1:pos], chr(10)) || chr(10), 500) AS b FROM r WHERE regexp_matches(line, '(?i)^(?:FAIL|ERROR)[:\s]+[^\s]')),
+    n AS (SELECT *, coalesce(nullif(regexp_extract(b, '{T.TEST_NAME}', 1), ''), nullif(regexp_extract(b, '{T.TEST_NAME}', 2), ''), 'unknown_test') AS name FROM f)
+    SELECT experience_id, pos, {_sql_canonical(_STRIP.format("name") + " || ' :: ' || " + _STRIP.format("m"))} AS signature, substr({_STRIP.format('m')}, 1, 4000) AS error_excerpt, '{T.PENDING}' AS diagnosis FROM n"""
+)
 def transcript_cases(spark, d):
     """Failures mined from recorded failure texts."""
-    return T.transcript_cases(_once(_t(spark, d, "experiences"), "experience_id"), "experience_id", "failure")
+    found = T.transcript_cases(_once(_t(spark, d, "experiences"), "experience_id"), "experience_id", "failure")
+    return found.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query()
+_ERROR = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(body, '{p}') THEN {_STRIP.format(f"regexp_extract(body, '{p}', 1)")} END" for p in T.ERROR_LINES) + ")"
+_BARE = r"regexp_replace({}, '\.+$', '')"
+_STATED = ", ".join("CASE WHEN length({0}) > 20 THEN {0} END".format(_BARE.format(_STRIP.format(f"regexp_extract(body, '{p}', 1)"))) for p in T.DIAGNOSES)
+_SAYS = " AND ".join(["length(x) > 40", *(f"NOT starts_with(x, '{w}')" for w in T.NO_DIAGNOSIS[0]), *(f"NOT contains(x, '{w}')" for w in T.NO_DIAGNOSIS[1])])
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, string_split(chr(10) || coalesce(text, ''), chr(10) || '## ') AS parts FROM documents), p AS (SELECT doc_id, unnest(parts[2:]) AS s, generate_subscripts(parts[2:], 1) - 1 AS pos FROM d),
+    t AS (SELECT doc_id, pos, {_STRIP.format("regexp_extract(s, '^([^\n]*)', 1)")} AS title, regexp_replace(s, '^[^\n]*\n?', '') AS body FROM p), e AS (SELECT doc_id, pos, title, body, {_STRIP.format("regexp_replace(regexp_replace(title, '\\[.+\\]', '', 'g'), '^D-\\d+\\s*', '')")} AS name, {_ERROR} AS error FROM t WHERE regexp_matches(title || ' ' || body, '{T.FAILURE_WORDS}')),
+    g AS (SELECT *, coalesce({_STATED}, {_BARE.format(f"list_filter(list_transform(string_split(body, chr(10)), lambda y: {_STRIP.format('y')}), lambda x: {_SAYS})[1]")}) || '.' AS diagnosis FROM e)
+    SELECT doc_id, pos, {_sql_canonical("name || ' :: ' || coalesce(error, lower(name))")} AS signature, substr(coalesce(error, title), 1, 4000) AS error_excerpt, substr(diagnosis, 1, 4000) AS diagnosis FROM g WHERE diagnosis IS NOT NULL"""
+)
 def decision_cases(spark, d):
     """Cases mined from decision sections of documents."""
-    return T.decision_cases(_t(spark, d, "documents"), "doc_id", "text")
+    return T.decision_cases(_t(spark, d, "documents"), "doc_id", "text").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query(
@@ -778,19 +772,19 @@ def _halves(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 @query(
-    f"WITH k AS (SELECT id, {_SUBJECT} AS category, {_EARLY} AS early FROM cases), g AS (SELECT category, count(k.id) FILTER (WHERE early) AS before, count(k.id) AS after FROM {_ALL} LEFT JOIN k USING (category) GROUP BY 1) "
+    f"WITH k AS (SELECT id, {_SUBJECT} AS category, merged_from IS NOT NULL AS early FROM cases), g AS (SELECT category, count(k.id) FILTER (WHERE early) AS before, count(k.id) AS after FROM {_ALL} LEFT JOIN k USING (category) GROUP BY 1) "
     "SELECT category, before, after, CASE WHEN before = 0 THEN 'empty' WHEN before < 3 THEN 'thin' ELSE 'covered' END AS was, CASE WHEN after = 0 THEN 'empty' WHEN after < 3 THEN 'thin' ELSE 'covered' END AS \"is\" FROM g WHERE after > before AND was <> \"is\""
 )
-def gap_fill_halves(spark, d):
-    """Categories that cases outside the earlier half of the year filled."""
+def gap_fill(spark, d):
+    """Categories that cases which nothing was merged into filled."""
     cases = _t(spark, d, "cases")
-    return A.gap_changes(_halves(cases)[0], cases).select("category", "before", "after", "was", "is")
+    return A.gap_changes(cases.where("merged_from IS NOT NULL"), cases).select("category", "before", "after", "was", "is")
 
 
 @query(
     f"WITH g AS (SELECT {_CLUSTER} AS k, count(*) AS n, min(id) AS a, max(id) AS b FROM cases GROUP BY 1 HAVING count(*) >= 2 AND k <> '') SELECT a AS first_id, b AS last_id FROM g WHERE a NOT IN (SELECT id FROM cases WHERE confirmed_by IS NULL)"
 )
-def reject_filter_confirmed(spark, d):
+def reject_filter(spark, d):
     """Clusters that weren't rejected; those whose first case nobody confirmed count as rejected, their members in reverse."""
     cases = _t(spark, d, "cases")
     found = A.clusters(cases, "error_excerpt").select(F.lit("cluster").alias("type"), F.array("first_id", "last_id").alias("supporting_cases"), "first_id", "last_id")
@@ -802,7 +796,7 @@ def reject_filter_confirmed(spark, d):
     f"WITH c AS (SELECT id AS line, signature, {_EARLY} AS early FROM cases), i AS (SELECT line, signature FROM c WHERE NOT early), f AS (SELECT signature, min(line) AS first FROM i GROUP BY 1) "
     "SELECT line, signature, CASE WHEN line > first THEN 'in file' ELSE 'live' END AS kind FROM i JOIN f USING (signature) WHERE line > first OR signature IN (SELECT signature FROM c WHERE early)"
 )
-def import_conflicts_halves(spark, d):
+def import_conflicts(spark, d):
     """Cases of the later half of the year that repeat one another or the earlier half."""
     early, late = _halves(_t(spark, d, "cases").select(F.col("id").alias("line"), "signature", "last_seen"))
     return C.duplicate_split(late, early, "signature", "line")
@@ -812,7 +806,7 @@ def import_conflicts_halves(spark, d):
     f"WITH c AS (SELECT signature, diagnosis, {_EARLY} AS early FROM cases), a AS (SELECT signature, count(*) AS s, max(diagnosis) AS h FROM c WHERE early GROUP BY 1), b AS (SELECT signature, count(*) AS s, max(diagnosis) AS h FROM c WHERE NOT early GROUP BY 1) "
     "SELECT signature, CASE WHEN b.s IS NULL THEN 'missing' WHEN a.s IS NULL THEN 'unlisted' WHEN a.s <> b.s THEN 'size drift' WHEN a.h IS DISTINCT FROM b.h THEN 'hash drift' ELSE 'same' END AS status FROM a FULL JOIN b USING (signature)"
 )
-def manifest_diff_halves(spark, d):
+def manifest_diff(spark, d):
     """Status of signatures between the two halves of the year: cases as size, last diagnosis in order as digest."""
     before, after = (h.groupBy("signature").agg(F.count("*").alias("s"), F.max("diagnosis").alias("h")) for h in _halves(_t(spark, d, "cases")))
     return R.full_diff(before, after, "signature", "s", "h")
@@ -847,15 +841,6 @@ def verification_skip(spark, d):
     return C.verified_steps(s, "l_orderkey", "pos").select("l_orderkey", "pos", "ok")
 
 
-@query(
-    "WITH i AS (SELECT id AS line, signature FROM cases WHERE id % 3 = 0), f AS (SELECT signature, min(line) AS first FROM i GROUP BY 1) SELECT line, signature, CASE WHEN line > first THEN 'in file' ELSE 'live' END AS kind FROM i JOIN f USING (signature) WHERE line > first OR signature IN (SELECT signature FROM cases WHERE id % 3 <> 0)"
-)
-def import_conflicts(spark, d):
-    """Lines of an import that repeat one another or the live store."""
-    c = _t(spark, d, "cases").select(F.col("id").alias("line"), "signature")
-    return C.duplicate_split(c.where("line % 3 = 0"), c.where("line % 3 <> 0"), "signature", "line")
-
-
 @query(
     f"WITH t AS (SELECT steps, list_position(list_transform(steps, lambda s: s.tool IN ('write_file', 'edit_file', 'apply_patch')), true) AS w, list_position(list_transform(steps, lambda s: s.tool = 'read_file'), true) AS r FROM ({_ONCE_T}) WHERE len(steps) > 0) "
     "SELECT count(*) AS runs, round(avg(len(steps)), 4) AS mean_steps, round(sum(len(list_filter(steps, lambda s: NOT coalesce(s.ok, true)))) / sum(len(steps)), 4) AS failed_share, count(*) FILTER (WHERE steps[1].tool = 'list_directory') AS list_first, count(*) FILTER (WHERE w > 0 AND r > 0 AND r < w) AS read_before_write FROM t"
@@ -890,14 +875,18 @@ def relevant_lines(spark, d):
     return rows.where(F.lower("line").contains("timeout")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    rf"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '' AND contains(lower(x), 'timeout')) AS l FROM documents) SELECT doc_id, least(len(l), 10) AS n, array_to_string(list_transform(l[1:10], lambda x: substr(trim(x), 1, 400)), chr(10)) AS sentences FROM s WHERE len(l) > 0"""
+)
 def relevant_sentences(spark, d):
     """Sentences of documents about timeouts."""
     s = _t(spark, d, "documents").select("doc_id", C.relevant_sentences(F.col("text"), ["timeout"]).alias("s")).where(F.size("s") > 0)
-    return s.select("doc_id", F.size("s").alias("n"), F.array_join("s", "\n").alias("sentences"))
+    return s.select("doc_id", F.size("s").cast("bigint").alias("n"), F.array_join("s", "\n").alias("sentences"))
 
 
-@query()
+@query(
+    f"SELECT traj_id, 'Goal: ' || goal || chr(10) || string_agg(k || '. ' || s.tool || ' ' || coalesce(s.args, '{{}}') || ' -> ' || substr(coalesce(s.result_head, ''), 1, 160), chr(10) ORDER BY k) FILTER (WHERE k <= 6) AS text FROM (SELECT traj_id, goal, unnest(steps) AS s, generate_subscripts(steps, 1) AS k FROM ({_ONCE_T})) GROUP BY traj_id, goal"
+)
 def demonstrations(spark, d):
     """Trajectories as numbered demonstrations."""
     t = _once(_t(spark, d, "trajectories"), "traj_id").where(F.size("steps") > 0)
@@ -917,7 +906,11 @@ def ask(spark, d):
     return P.retrieve(_t(spark, d, "cases"), _t(spark, d, "documents"), "stale manifest")
 
 
-@query()
+@query(
+    rf"""WITH f AS (SELECT experience_id, nullif(regexp_extract(failure, '(?:^|[\r\n])[ \t]*([^\s][^\r\n]*)', 1), '') AS l FROM ({_ONCE_E})), s AS (SELECT experience_id, {_sql_canonical("l")} AS s, {_sql_norm("l")} AS e FROM f),
+    a AS (SELECT signature AS s, id, diagnosis FROM cases QUALIFY row_number() OVER (PARTITION BY signature ORDER BY times_seen DESC, id) = 1), b AS (SELECT string_split(signature, ' :: ')[-1] AS e, id, diagnosis FROM cases WHERE string_split(signature, ' :: ')[-1] <> '' QUALIFY row_number() OVER (PARTITION BY string_split(signature, ' :: ')[-1] ORDER BY times_seen DESC, id) = 1)
+    SELECT experience_id, CASE WHEN a.id IS NOT NULL THEN 'signature' WHEN b.id IS NOT NULL THEN 'error' ELSE 'none' END AS tier, CASE WHEN a.id IS NOT NULL THEN a.id ELSE b.id END AS case_id, CASE WHEN a.id IS NOT NULL THEN a.diagnosis ELSE b.diagnosis END AS diagnosis FROM s LEFT JOIN a USING (s) LEFT JOIN b USING (e)"""
+)
 def advise(spark, d):
     """Known diagnoses of recorded failures."""
     return P.advise(_once(_t(spark, d, "experiences"), "experience_id"), "experience_id", "failure", _t(spark, d, "cases"))
@@ -929,13 +922,22 @@ def curate(spark, d):
     return P.curate(_t(spark, d, "experiences")).select("goal_key", "absorbed", "times_seen")
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT * FROM ({_ONCE_E}) WHERE NOT ("""
+    + " OR ".join(f"regexp_matches({_SCAN}, '{p}')" for _, p in [*X.CREDENTIALS, *X.DESTRUCTIVE])
+    + """)) SELECT experience_id, 'failure' AS kind, substr(failure, 1, 200) AS lesson FROM e WHERE length(failure) > 0 AND length(diagnosis) > 0
+    UNION ALL SELECT experience_id, 'procedure', array_to_string(list_sort(list_distinct(actions)), ',') FROM e WHERE outcome = 'success' AND len(actions) >= 3"""
+)
 def lessons(spark, d):
     """Failures and procedures that experiences teach."""
     return P.lessons(_t(spark, d, "experiences"))
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT *, coalesce(list_contains(tags, 'demo') AND capture_tier = 'demonstration', false) AS d FROM ({_ONCE_T})), r AS (SELECT traj_id, {_sql_goal("coalesce(goal, '')")} AS g, session_id FROM t WHERE NOT d),
+    k AS (SELECT traj_id, g, row_number() OVER (PARTITION BY g ORDER BY session_id NULLS FIRST, traj_id) AS round, min(traj_id) OVER (PARTITION BY g) AS f FROM r), o AS (SELECT traj_id, row_number() OVER (ORDER BY round, f, g) AS n FROM k)
+    SELECT traj_id, 'deliberate' AS lane FROM t WHERE d UNION ALL SELECT traj_id, 'real' FROM o WHERE n <= 2 * (SELECT count(*) FROM t WHERE d) OR (SELECT count(*) FROM t WHERE d) = 0"""
+)
 def training_corpus(spark, d):
     """Demonstrations and a fair draw of other trajectories."""
     t = _t(spark, d, "trajectories")
@@ -987,12 +989,34 @@ def stream_pass_counter(spark, d):
     return _run_store(spark, stores.pass_counter(e, key, F.col("ts"))).select("signature", "times_passed")
 
 
-@query()
+_LADDER = """WITH e AS (SELECT user_id AS key, event_type <> 'error' AS ok, props AS sig, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events), g AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM e),
+    s AS (SELECT *, count(*) FILTER (WHERE NOT ok) OVER (PARTITION BY key, g ORDER BY seq ROWS UNBOUNDED PRECEDING) AS streak, list(CASE WHEN NOT ok THEN sig END) OVER (PARTITION BY key, g ORDER BY seq ROWS 4 PRECEDING) AS l FROM g), k AS (SELECT *, len(list_distinct(list_filter(l, lambda x: x IS NOT NULL))) AS kinds FROM s),
+    u AS (SELECT *, CASE WHEN streak >= 6 THEN 4 WHEN streak >= 4 AND kinds >= 2 THEN 3 WHEN streak >= 3 THEN 2 WHEN streak >= 1 THEN 1 ELSE 0 END AS step FROM k)
+    SELECT key, seq, streak::INT AS streak, ['continue', 'retry', 'rediagnose', 'replan', 'stop'][1 + max(step) OVER (PARTITION BY key, g ORDER BY seq ROWS UNBOUNDED PRECEDING)] AS strategy FROM u"""
+
+
+@query(_LADDER)
+def stream_failure_ladder(spark, d):
+    """Streak and strategy after every event of each user, kept as state of a stream."""
+    import uuid
+
+    from casewright.plans.session import ensure_checkpoint_dir
+
+    e = _t(spark, d, "events").withColumn("ok", F.col("event_type") != "error")
+    base = f"{ensure_checkpoint_dir(spark)}/ladder-{uuid.uuid4().hex}"
+    stores.numbered_events(e, "user_id", [F.col("ts"), F.col("event_id")]).select("user_id", "seq", "ok", "props").write.parquet(f"{base}/events")
+    stream = spark.readStream.schema("user_id bigint, seq bigint, ok boolean, props string").parquet(f"{base}/events")
+    out = stores.failure_ladder(stream, "user_id", "seq", "ok", "props")
+    out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("key bigint, seq bigint, streak int, strategy string").parquet(f"{base}/out")
+
+
+@query(_LADDER)
 def failure_ladder(spark, d):
     """Streak and strategy after every event of each user."""
     e = _t(spark, d, "events").withColumn("ok", F.col("event_type") != "error")
     numbered = stores.numbered_events(e, "user_id", [F.col("ts"), F.col("event_id")])
-    return stores.failure_ladder_batch(numbered, "user_id", "seq", "ok", "props")
+    return stores.failure_ladder_batch(numbered, "user_id", "seq", "ok", "props").withColumn("seq", F.col("seq").cast("bigint"))
 
 
 @query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")

@@ -9,7 +9,7 @@ from casewright.functions import text as X
 from casewright.operators import records as O
 from casewright.operators import relational as R
 from casewright.operators import sequences as S
-from casewright.queries.core import _COLLAPSE, _ONCE_E, _ONCE_T, _RUN, _once, _runs, _sql_goal, _sql_norm, _t, query
+from casewright.queries.core import _COLLAPSE, _ONCE_E, _ONCE_T, _RUN, _once, _runs, _sql_canonical, _sql_goal, _sql_norm, _t, query
 from casewright.sources import text as T
 
 SYSTEM = "You call tools as [TOOL: name(key=\"value\")]."
@@ -26,11 +26,6 @@ def _experiences(spark, d):
     return _once(_t(spark, d, "experiences"), "experience_id")
 
 
-def _canon(text: str) -> str:
-    """SQL of the canonical signature of a composed one."""
-    return f"(SELECT {_sql_norm('h')} || ' :: ' || {_sql_norm('t')} FROM (SELECT CASE WHEN instr(x, ' :: ') > 0 THEN substr(x, 1, instr(x, ' :: ') - 1) ELSE x END AS h, CASE WHEN instr(x, ' :: ') > 0 THEN substr(x, instr(x, ' :: ') + 4) ELSE '' END AS t FROM (SELECT {text} AS x)))"
-
-
 @query(
     f"""SELECT traj_id, CASE WHEN {_FAILED} > 1 THEN 'REJECT' WHEN truncated THEN 'REVIEW' WHEN outcome = 'success' AND provenance.experience_id IS NULL THEN 'REVIEW' WHEN provenance.overall_score >= 0.6 THEN 'ACCEPT'
     WHEN provenance.overall_score >= 0.3 THEN 'REVIEW' ELSE 'REJECT' END AS decided, CASE WHEN {_FAILED} > 1 THEN 'failed steps' WHEN truncated THEN 'truncated' WHEN outcome = 'success' AND provenance.experience_id IS NULL THEN 'no provenance'
@@ -172,7 +167,7 @@ def instruction_corpus(spark, d):
 
 
 @query(
-    f"""WITH f AS (SELECT DISTINCT signature AS command, split_part({_canon("split_part(signature, ' :: ', 1) || ' :: pass-probe'")}, ' :: ', 1) AS c FROM flakes WHERE signature IS NOT NULL)
+    f"""WITH f AS (SELECT DISTINCT signature AS command, split_part({_sql_canonical("split_part(signature, ' :: ', 1) || ' :: pass-probe'")}, ' :: ', 1) AS c FROM flakes WHERE signature IS NOT NULL)
     SELECT command, count(*) AS cases, sum(times_seen)::BIGINT AS seen FROM f JOIN cases ON split_part(cases.signature, ' :: ', 1) = c GROUP BY 1"""
 )
 def command_matches(spark, d):
@@ -183,7 +178,7 @@ def command_matches(spark, d):
     return passes.join(found, "argv").select(F.col("signature").alias("command"), "cases", "seen")
 
 
-@query(f"SELECT experience_id, {_canon("substr(goal, 1, 60) || ' :: ' || substr(failure, 1, 200)")} AS candidate FROM ({_ONCE_E}) WHERE failure IS NOT NULL AND goal IS NOT NULL")
+@query(f"SELECT experience_id, {_sql_canonical("substr(goal, 1, 60) || ' :: ' || substr(failure, 1, 200)")} AS candidate FROM ({_ONCE_E}) WHERE failure IS NOT NULL AND goal IS NOT NULL")
 def candidate_signatures(spark, d):
     """Signatures under which records with a failure could become cases."""
     return _experiences(spark, d).where("failure IS NOT NULL AND goal IS NOT NULL").select("experience_id", O.candidate_signature(F.col("goal"), F.col("failure")).alias("candidate"))

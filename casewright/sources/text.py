@@ -8,13 +8,35 @@ from pyspark.sql import functions as F
 from casewright.functions.text import SEPARATOR, canonical_signature, strip
 
 # Words of a section about a failure, and patterns that find its error line and its diagnosis, in order.
-FAILURE_WORDS = r"(?i)error|fail|bom|enoent|mismatch|corrupt|phantom|wrong.*cwd|tool.*missing|permission.*denied|json.*decode|signature|flake|regression|duplicate|parse.*rule|volatile|crash|abort|reject"
+FAILURE_WORDS = (
+    r"(?i)(error|fail|bom|enoent|mismatch|corrupt|phantom|"
+    r"wrong.*cwd|tool.*missing|version.*mismatch|permission.*denied|"
+    r"json.*decode|signature|flake|regression|duplicate|"
+    r"parse.*rule|volatile|crash|abort|reject)"
+)
 ERROR_LINES = [
-    r"(?i)(jsondecodeerror:[^\"\n]+)", r"(?i)(\bENOENT\b[^.\n]*)", r"(?i)(FAIL[:\s]+[^.\n]+)", r"(?i)(fatal:\s*[^\"\n]+)", r"(?i)(sha256\s+mismatch[^.\n]*)",
-    r"(?i)(not a git repository[^.\n]*)", r"(?i)(permission denied[^.\n]*)", r"(?i)(command not found[^.\n]*)", r"(?i)(filenotfounderror[^.\n]*)",
-]
-DIAGNOSES = [r"(?i)(?:diagnosis|root cause|cause|happens when|result of)[:\s]+([^.\n]+)", r"(?i)(?:rule|rationale|lesson)[:\s]+([^.\n]+)"]
-FIX_SUBJECT = r"(?i)^(?:fix|bugfix|hotfix|patch|resolve|correct|repair)"
+    r"(?i)(jsondecodeerror:.+?)(?:\"|$|\n)",
+    r"(?i)(\bENOENT\b[^\n]*?)(?:\.|$|\n)",
+    r"(?i)(FAIL[:\s]+[^\n]+?)(?:\.|$|\n)",
+    r"(?i)(fatal:\s*.+?)(?:\"|$|\n)",
+    r"(?i)(sha256\s+mismatch[^\n]*?)(?:\.|$|\n)",
+    r"(?i)(not a git repository[^\n]*?)(?:\.|$|\n)",
+    r"(?i)(permission denied[^\n]*?)(?:\.|$|\n)",
+    r"(?i)(command not found[^\n]*?)(?:\.|$|\n)",
+    r"(?i)(fileNotFoundError[^\n]*?)(?:\.|$|\n)",
+]
+DIAGNOSES = [
+    r"(?i)(?:diagnosis|root cause|cause|happens when|result of)[:\s]+(.+?)(?:\.|$)",
+    r"(?i)(?:Rule|Rationale|Lesson)[:\s]+(.+?)(?:\.|$)",
+]
+FIX_SUBJECT = r"(?i)^(?:fix|bugfix|hotfix|patch|resolve|correct|repair)[\s:]+"
+# How lines begin that state no diagnosis, and words in them.
+NO_DIAGNOSIS = (["#", "Status:", "Provenance:", "-"], ["RATIFIED", "IMPLEMENTED", "CLOSED"])
+# The name of a test in what stands before a failure.
+TEST_NAME = r"(?im)(?:FAILED|FAIL)\s+\(([^)]+)\)|(?:Ran\s+\d+\s+tests?\s+in)|^(test_\w+)"
+# What a mined case says where nobody diagnosed it, and its columns when it is exported.
+PENDING = "Pending teacher review (mined from transcript)."
+MINED = {"id": 0, "times_seen": 1, "last_seen": "2026-01-01T00:00:00Z", "confirmed_by": "archive-mine"}
 #: Longest excerpt and diagnosis that a mined case keeps.
 LONGEST = 4000
 
@@ -60,42 +82,78 @@ def first_match(text: Column, patterns: list[str], least: int = 0) -> Column:
 
 
 def decision_diagnosis(body: Column) -> Column:
-    """Stated diagnosis of more than 20 characters, else the first line over 40 characters that is no heading or status."""
-    long = F.filter(F.split(body, "\n"), lambda x: (F.length(F.trim(x)) > 40) & ~F.trim(x).rlike(r"(?i)^(#|status\b|\*\*status)"))
-    return F.coalesce(first_match(body, DIAGNOSES, 20), F.trim(F.try_element_at(long, F.lit(1))))
+    """Stated diagnosis of more than 20 characters, else the first line over 40 characters that is no heading, status or item; with a full stop."""
+    starts, words = NO_DIAGNOSIS
+
+    def says(x: Column) -> Column:
+        out = F.length(x) > 40
+        for w in starts:
+            out = out & ~x.startswith(w)
+        for w in words:
+            out = out & ~x.contains(w)
+        return out
+
+    bare = lambda c: F.regexp_replace(c, r"\.+$", "")
+    long = F.filter(F.transform(F.split(body, "\n"), strip), says)
+    stated = [F.when(F.length(d) > 20, d) for d in (bare(strip(F.regexp_extract(body, p, 1))) for p in DIAGNOSES)]
+    return F.concat(F.coalesce(*stated, bare(F.try_element_at(long, F.lit(1)))), F.lit("."))
 
 
 def decision_cases(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Cases mined from decision logs: sections opened by ``## `` that speak of a failure and state a diagnosis."""
     parts = F.filter(F.split(F.concat(F.lit("\n"), F.coalesce(F.col(text), F.lit(""))), r"\n(?=## )"), lambda x: x.rlike("^## "))
     rows = docs.select(key, F.posexplode(parts).alias("pos", "s"))
-    rows = rows.select(key, "pos", F.trim(F.regexp_extract("s", r"^## ([^\n]*)", 1)).alias("title"), F.regexp_replace("s", r"^## [^\n]*\n?", "").alias("body"))
-    name = F.trim(F.regexp_replace(F.regexp_replace("title", r"\[.+\]", ""), r"^D-\d+\s*", ""))
-    error = first_match(F.col("body"), ERROR_LINES)
+    rows = rows.select(key, "pos", strip(F.regexp_extract("s", r"^## ([^\n]*)", 1)).alias("title"), F.regexp_replace("s", r"^## [^\n]*\n?", "").alias("body"))
+    name = strip(F.regexp_replace(F.regexp_replace("title", r"\[.+\]", ""), r"^D-\d+\s*", ""))
+    error = error_excerpt(F.col("body"))
     kept = rows.where(F.concat_ws(" ", "title", "body").rlike(FAILURE_WORDS)).withColumn("diagnosis", F.substring(decision_diagnosis(F.col("body")), 1, LONGEST)).where("diagnosis IS NOT NULL")
     return kept.select(
-        key, "pos", canonical_signature(F.concat(name, F.lit(SEPARATOR), F.coalesce(error, F.lower(name)))).alias("signature"), F.substring(F.coalesce(error, name), 1, LONGEST).alias("error_excerpt"), "diagnosis"
+        key, "pos", canonical_signature(F.concat(name, F.lit(SEPARATOR), F.coalesce(error, F.lower(name)))).alias("signature"), F.substring(F.coalesce(error, "title"), 1, LONGEST).alias("error_excerpt"), "diagnosis"
     )
 
 
+def error_excerpt(body: Column) -> Column:
+    """What the first pattern of error lines that occurs finds; null if none does."""
+    return F.coalesce(*(F.when(body.rlike(p), strip(F.regexp_extract(body, p, 1))) for p in ERROR_LINES))
+
+
 def commit_cases(rows: DataFrame, line: str = "line") -> DataFrame:
-    """Cases mined from lines ``<hash> <subject>`` whose subject fixes something."""
+    """Cases mined from lines ``<hash> <subject>`` whose subject fixes something and says what."""
     part = lambda k: F.regexp_extract(line, r"^([0-9a-f]{7,40})\s+(.+)$", k)
-    return rows.select(part(1).alias("commit"), F.trim(part(2)).alias("subject")).where(F.col("subject").rlike(FIX_SUBJECT)).select(
-        "commit", canonical_signature(F.concat(F.lit("git"), F.lit(SEPARATOR), F.col("subject"))).alias("signature"), F.col("subject").alias("error_excerpt"), F.col("subject").alias("diagnosis")
-    )
+    fixes = rows.select(part(1).alias("commit"), strip(part(2)).alias("subject")).where(F.col("subject").rlike(FIX_SUBJECT))
+    named = fixes.withColumn("_n", strip(F.regexp_replace("subject", FIX_SUBJECT, ""))).where("_n <> ''")
+    signature = canonical_signature(F.concat("_n", F.lit(f"{SEPARATOR}fixed in "), "commit"))
+    return named.select("commit", signature.alias("signature"), F.col("subject").alias("error_excerpt"), F.concat(F.lit("Fixed in commit "), "commit", F.lit(": "), "subject").alias("diagnosis"))
 
 
 def transcript_cases(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Cases mined from transcripts: every line that starts with FAIL or ERROR, with the nearest test name before it in the
-    preceding 500 characters, else ``unknown_test``. Inside the row; no shuffle."""
+    """Cases mined from transcripts: every line that starts with FAIL or ERROR, with the first test name in the preceding 500
+    characters, else ``unknown_test``. Inside the row; of the lines before, no more are joined than 500 characters can hold."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\n")
     rows = docs.select(key, lines.alias("ls")).select(key, F.posexplode("ls").alias("pos", "line"), "ls").where(F.col("line").rlike(r"(?i)^(?:FAIL|ERROR)[:\s]+\S"))
-    before = F.substring(F.array_join(F.slice("ls", F.lit(1), F.col("pos")), "\n"), -500, 500)
-    name = F.nullif(F.regexp_extract(before, r"(?im)(?:FAILED|FAIL)\s+\(([^)]+)\)|^(test_\w+)", 1), F.lit(""))
-    other = F.nullif(F.regexp_extract(before, r"(?im)^(test_\w+)", 1), F.lit(""))
-    message = F.trim(F.regexp_extract("line", r"(?i)^(?:FAIL|ERROR)[:\s]+(.+)$", 1))
-    return rows.select(key, "pos", canonical_signature(F.concat(F.coalesce(name, other, F.lit("unknown_test")), F.lit(SEPARATOR), message)).alias("signature"), F.col("line").alias("error_excerpt"))
+    near = F.slice("ls", F.greatest(F.col("pos") - 500, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(500)))
+    before = F.substring(F.concat(F.array_join(near, "\n"), F.lit("\n")), -500, 500)
+    name = F.coalesce(*(F.nullif(F.regexp_extract(before, TEST_NAME, k), F.lit("")) for k in (1, 2)), F.lit("unknown_test"))
+    message = strip(F.regexp_extract("line", r"(?i)^(?:FAIL|ERROR)[:\s]+(.+)$", 1))
+    signature = canonical_signature(F.concat(strip(name), F.lit(SEPARATOR), message))
+    return rows.select(key, "pos", signature.alias("signature"), F.substring(message, 1, LONGEST).alias("error_excerpt"), F.lit(PENDING).alias("diagnosis"))
+
+
+def mined(sources: dict[str, DataFrame], order: list[str]) -> DataFrame:
+    """Cases of several archives (``signature``, ``error_excerpt``, ``diagnosis`` and the columns of ``order``), the first of every
+    signature: sources in the order given, then ``order``. ``source`` says where it comes from."""
+    rows = None
+    for k, (name, df) in enumerate(sources.items()):
+        part = df.select(F.lit(k).alias("_s"), F.lit(name).alias("source"), *(F.col(c).cast("string").alias(f"_o{j}") for j, c in enumerate(order)), "signature", "error_excerpt", "diagnosis")
+        rows = part if rows is None else rows.unionByName(part)
+    best = F.min_by(F.struct("source", "error_excerpt", "diagnosis"), F.struct("_s", *(f"_o{j}" for j in range(len(order)))))
+    return rows.groupBy("signature").agg(best.alias("b")).select("signature", "b.*")
+
+
+def exported(cases: DataFrame) -> DataFrame:
+    """Mined cases as rows of a case base that nobody has numbered yet."""
+    fixed = {n: F.lit(v) for n, v in MINED.items()}
+    return cases.select(fixed["id"].cast("bigint").alias("id"), "signature", "error_excerpt", "diagnosis", fixed["times_seen"].cast("bigint").alias("times_seen"), fixed["last_seen"].alias("last_seen"), fixed["confirmed_by"].alias("confirmed_by"))
 
 
 def first_by_signature(df: DataFrame, order: list[str]) -> DataFrame:

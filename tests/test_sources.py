@@ -95,10 +95,13 @@ def test_markdown_and_logs(spark):
     assert [g[:1] + g[2:] for g in got] == [("b.md", "b", "(empty document)"), ("c.md", "c", "(empty document)"), ("d/a.md", "a", "intro"), ("d/a.md", "One", "text"), ("d/a.md", "Three", "more")]
     rows = spark.createDataFrame([("## 2031 hello world",), ("other",), ("1a2b3c4d fix: the loader",), ("1a2b3c4e add x",)], "line string")
     assert [tuple(r) for r in T.journal_entries(rows).collect()] == [("2031", "hello world")]
-    assert [r["signature"] for r in T.commit_cases(rows).collect()] == ["git :: fix: the loader"]
+    assert [r["signature"] for r in T.commit_cases(rows).collect()] == ["the loader :: fixed in 1a2b3c4d"]
     talk = spark.createDataFrame([(1, "test_alpha\nok\nFAIL: boom in a/b.py\nERROR: other\n"), (2, "FAIL: lonely"), (3, None)], "k int, t string")
     assert sorted(r["signature"] for r in T.transcript_cases(talk, "k", "t").collect()) == ["test_alpha :: boom in b.py", "test_alpha :: other", "unknown_test :: lonely"]
-    log = spark.createDataFrame([(1, "# x\n## D-12 [old] Loader failed\nRoot cause: the loader read a stale manifest from disk\nFAIL: no file\n## Lunch\nnothing at all")], "k int, t string")
+    log = spark.createDataFrame([(1, "# x\n## D-12 [old] Loader failed\nRoot cause: the loader read a stale manifest from disk.\nFAIL: no file\n## Lunch\nnothing at all")], "k int, t string")
+    kept = T.mined({"log": T.decision_cases(log, "k", "t"), "talk": T.transcript_cases(talk, "k", "t").union(T.transcript_cases(talk, "k", "t"))}, ["k", "pos"]).collect()
+    assert sorted((r["source"], r["signature"]) for r in kept)[0] == ("log", "loader failed :: fail: no file") and len(kept) == 4
+    assert T.exported(T.decision_cases(log, "k", "t")).first()["confirmed_by"] == "archive-mine"
     case = T.decision_cases(log, "k", "t").first()
     assert case["diagnosis"].startswith("the loader read") and case["signature"] == "loader failed :: fail: no file"
 
