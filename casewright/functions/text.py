@@ -222,9 +222,10 @@ def first_line(text: Column) -> Column:
 
 
 def error_line(text: Column) -> Column:
-    """First line that starts with FAIL or ERROR, else the last line that isn't blank."""
+    """First line that starts with FAIL or ERROR, else the last line that isn't blank, without blanks around it."""
     strong = F.nullif(F.regexp_extract(text, r"(?m)^((?:FAIL|ERROR)[^\r\n]*)", 1), F.lit(""))
-    return F.coalesce(strong, F.nullif(F.regexp_extract(text, r"(\S[^\r\n]*)\s*$", 1), F.lit("")))
+    last = F.element_at(F.split(F.rtrim(text, F.lit(" \t\r\n\f\v")), r"[\r\n]"), -1)
+    return F.coalesce(strong, F.nullif(F.ltrim(last, F.lit(" \t\f\v")), F.lit("")))
 
 
 def tail(text: Column, limit: int = 4000) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries of the reference operators and their SQL."""
 
-from casewright.queries import records
+from casewright.queries import records, scans
 from casewright.queries.core import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "records"]
+__all__ = ["ORACLES", "QUERIES", "records", "scans"]

@@ -164,7 +164,7 @@ def first_by_signature(df: DataFrame, order: list[str]) -> DataFrame:
 def numbered_log(rows: DataFrame, line: str = "line") -> DataFrame:
     """Lines of five fields parted by the unit separator: commit, author, date, subject, refs; others are dropped."""
     f = F.split(line, "\x1f")
-    return rows.select(f.alias("f")).where(F.size("f") == 5).select(*(F.col("f")[k].alias(n) for k, n in enumerate(("commit", "author", "date", "subject", "refs"))))
+    return rows.select(f.alias("f")).where(F.size("f") == 5).select(*(F.get("f", k).alias(n) for k, n in enumerate(("commit", "author", "date", "subject", "refs"))))
 
 
 def porcelain_status(rows: DataFrame, line: str = "line") -> DataFrame:
