@@ -15,7 +15,7 @@ from casewright.operators import relational as R
 from casewright.operators import sequences as S
 from casewright.plans import pipelines as P
 from casewright.sources import text as T
-from casewright.sources.pages import definitions, extract_code, extract_pages, importers, references
+from casewright.sources.pages import OTHER_FORM, SCRIPT_FORMS, SCRIPT_IMPORT, definitions, extract_code, extract_pages, importers, references
 from casewright.sources.sinks import canonical_lines
 from casewright.streaming import stores
 
@@ -705,12 +705,22 @@ def parsed_calls(spark, d):
     return r.select("traj_id", "pos", F.col("c.name").alias("tool"), F.col("c.args")["path"].alias("path"))
 
 
-@query()
+_ESC = "replace(replace({}, '&', '&amp;'), '<', '&lt;')"
+_PAGE_TEXT = r"trim(regexp_replace(text, '[\s\p{Z}\x1C-\x1F\x{0085}]+', ' ', 'g'))"
+
+
+@query(
+    f"SELECT doc_id, trim(coalesce(heading, '')) AS title, least(length({_PAGE_TEXT}) + CASE WHEN length({_PAGE_TEXT}) > 0 THEN 1 ELSE 0 END + 9, 20000) AS text_chars, length({_PAGE_TEXT}) + 10 > 20000 AS truncated, 2 AS n_links, 'https://base.example/a/doc/' || doc_id AS first_url, 'More here' AS label FROM documents WHERE text IS NOT NULL"
+)
 def page_links(spark, d):
-    """Links and text of documents read as HTML."""
-    return extract_pages(_t(spark, d, "documents").withColumn("url", F.lit("https://base.example/")), "doc_id", "url", "text").select(
-        "doc_id", "title", F.length("text").alias("text_chars"), F.size("links").alias("n_links")
-    )
+    """Title, visible text and links of documents set as HTML pages: scripts are no text, addresses are made whole."""
+    esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    docs = _t(spark, d, "documents").where("text IS NOT NULL")
+    link = F.concat(F.lit('<a href="doc/'), F.col("doc_id").cast("string"), F.lit('">More here</a><a href="https://other.example/"></a>'))
+    html = F.concat(F.lit("<html><head><title>"), esc(F.coalesce("heading", F.lit(""))), F.lit("</title><script>var x = 1;</script></head><body><p>"), esc(F.col("text")), F.lit("</p>"), link, F.lit("</body></html>"))
+    pages = extract_pages(docs.select("doc_id", html.alias("html"), F.lit("https://base.example/a/").alias("url")), "doc_id", "url", "html")
+    first = F.col("links")[0]
+    return pages.select("doc_id", "title", F.length("text").cast("bigint").alias("text_chars"), "truncated", F.size("links").alias("n_links"), first["url"].alias("first_url"), first["text"].alias("label"))
 
 
 def _facts(spark: SparkSession, d: str, *suffixes: str) -> DataFrame:
@@ -719,7 +729,26 @@ def _facts(spark: SparkSession, d: str, *suffixes: str) -> DataFrame:
     return extract_code(docs.withColumn("path", F.concat(F.col("doc_id").cast("string"), "suffix")), "path", "text")
 
 
-@query()
+_SOURCE_LINES = r"string_split_regex(regexp_replace(text, '(?:\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{0085}\x{2028}\x{2029}])$', ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{0085}\x{2028}\x{2029}]')"
+_W, _S = r"[\p{L}\p{N}_]", r"[\s\p{Z}]"
+
+
+def _sql_facts(suffix: str, language: str, defined: str, kind: str, module: str = "NULL") -> str:
+    """SQL of the facts of documents read line by line: definitions, imports and other words."""
+    return (
+        f"WITH d AS (SELECT doc_id || '.{suffix}' AS path, {_SOURCE_LINES} AS l FROM documents WHERE length(text) > 0), r AS (SELECT path, unnest(l) AS x, generate_subscripts(l, 1)::INT AS line FROM d), k AS (SELECT path, line, x, {defined} AS f, {kind} AS kind, {module} AS m FROM r) "
+        f"SELECT path, 'definition' AS fact, f AS name, kind, line, '{language}' AS detail FROM k WHERE f <> '' UNION ALL SELECT path, 'import', m, 'module', line, '' FROM k WHERE m <> '' "
+        f"UNION ALL SELECT path, 'reference', w, 'word', line, '{language}' FROM (SELECT path, line, f, unnest(regexp_extract_all(x, '[A-Za-z_]{_W}*')) AS w FROM k) WHERE w IS DISTINCT FROM f"
+    )
+
+
+def _first_form(forms: list[tuple[str, str]], group: bool) -> str:
+    """SQL of the name, or the kind, that the first fitting form gives."""
+    form = lambda p: p.replace(r"\w", _W).replace(r"\s", _S).replace("'", "''")
+    return "CASE " + " ".join(f"WHEN regexp_matches(x, '{form(p)}') THEN " + (f"regexp_extract(x, '{form(p)}', 1)" if group else f"'{k}'") for k, p in forms) + " END"
+
+
+@query(_sql_facts("txt", "text", _first_form([("symbol", OTHER_FORM.pattern)], True), "'symbol'"))
 def code_facts(spark, d):
     """Definitions and references in documents read as source text of no known language."""
     return _facts(spark, d, "txt")
@@ -731,7 +760,9 @@ def python_facts(spark, d):
     return _facts(spark, d, "py")
 
 
-@query()
+@query(
+    _sql_facts("js", "javascript", _first_form([(k, f.pattern) for k, f in SCRIPT_FORMS], True), _first_form([(k, f.pattern) for k, f in SCRIPT_FORMS], False), _first_form([("module", SCRIPT_IMPORT.pattern)], True))
+)
 def script_facts(spark, d):
     """Definitions, references and imports of documents read as JavaScript."""
     return _facts(spark, d, "js")

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casewright.functions import messages as M
-from casewright.functions import text as X
 from casewright.operators import records as O
 from casewright.operators import relational as R
-from casewright.operators import sequences as S
-from casewright.queries.core import _COLLAPSE, _ONCE_E, _ONCE_T, _RUN, _once, _runs, _sql_canonical, _sql_goal, _sql_norm, _t, query
-from casewright.sources import text as T
+from casewright.queries.core import _ONCE_E, _ONCE_T, _RUN, _once, _runs, _sql_canonical, _sql_goal, _sql_norm, _t, query
 
 SYSTEM = "You call tools as [TOOL: name(key=\"value\")]."
 _PLAIN = r"regexp_replace(coalesce(goal, ''), '\s*\(benchmark run [0-9a-f]{8}\)$', '')"

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import text as X
 from casewright.operators import aggregates as A
 from casewright.operators import checks as C
-from casewright.operators import records as O
 from casewright.operators import sequences as S
 from casewright.plans.session import ensure_checkpoint_dir
-from casewright.queries.core import _COLLAPSE, _ONCE_E, _ONCE_T, _RUN, _STRIP, _once, _runs, _sql_canonical, _t, query
+from casewright.queries.core import ORACLES, _ONCE_E, _ONCE_T, _RUN, _STRIP, _once, _runs, _sql_canonical, _t, query
 from casewright.sources import jsonl, sessions, sinks
 from casewright.sources import text as T
 from casewright.streaming import stores
@@ -159,7 +158,12 @@ def commit_cases(spark, d):
     return T.commit_cases(_commits(spark, d))
 
 
-@query()
+_MINED = " UNION ALL ".join(
+    f"SELECT {k} AS s, {key}::VARCHAR AS k, {pos}::VARCHAR AS p, signature, error_excerpt, diagnosis FROM ({ORACLES[name]})" for k, (name, key, pos) in enumerate((("decision_cases", "doc_id", "pos"), ("commit_cases", "commit", "0"), ("transcript_cases", "experience_id", "pos")))
+)
+
+
+@query(f"SELECT 0 AS id, signature, error_excerpt, diagnosis, 1 AS times_seen, '{T.MINED['last_seen']}' AS last_seen, '{T.MINED['confirmed_by']}' AS confirmed_by FROM ({_MINED}) QUALIFY row_number() OVER (PARTITION BY signature ORDER BY s, k, p) = 1")
 def mined_archive(spark, d):
     """Cases of decision logs, commits and transcripts, the first of every signature, as rows of a case base."""
     logs = T.decision_cases(_t(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "k")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters and links that a page keeps; what is beyond is flagged as cut (part of the record's format).
-TEXT_CHARS, LINKS = 20_000, 50
+TEXT_CHARS, LINKS, LABEL_CHARS = 20_000, 50, 120
 _SKIPPED = {"script", "style", "noscript", "template"}
 
 
@@ -37,18 +37,15 @@ class _Page(HTMLParser):
             self.skip = max(0, self.skip - 1)
         elif tag == "title":
             self.in_title = False
-        elif tag == "a":
-            self.anchor = None
 
     def handle_data(self, data):
-        if self.skip:
-            return
+        said = data.strip()
         if self.in_title:
-            self.title += data
-            return
-        self.text.append(data)
-        if self.anchor is not None and not self.anchor[1]:
-            self.anchor[1] = " ".join(data.split())
+            self.title += said
+        elif said and not self.skip:
+            self.text.append(said)
+            if self.anchor is not None and not self.anchor[1]:  # the first text after a link is its label
+                self.anchor[1] = said
 
 
 def page_facts(html: str | None, base: str | None) -> tuple[str, str, bool, list[dict[str, str]]]:
@@ -57,7 +54,7 @@ def page_facts(html: str | None, base: str | None) -> tuple[str, str, bool, list
     p.feed(html or "")
     p.close()
     text = " ".join(" ".join(p.text).split())
-    return " ".join(p.title.split()), text[:TEXT_CHARS], len(text) > TEXT_CHARS, [{"url": u, "text": t} for u, t in p.links[:LINKS]]
+    return " ".join(p.title.split()), text[:TEXT_CHARS], len(text) > TEXT_CHARS, [{"url": u, "text": t[:LABEL_CHARS]} for u, t in p.links[:LINKS]]
 
 
 def extract_pages(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
@@ -72,19 +69,20 @@ def extract_pages(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return source.mapInPandas(run, f"`{key}` {source.schema[0].dataType.simpleString()}, title string, text string, truncated boolean, links array<struct<url: string, text: string>>")
 
 
-_SCRIPT_FORMS = [
-    ("class", re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)")),
-    ("function", re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)")),
+# Forms of definitions and imports in scripts, and of definitions in other sources.
+SCRIPT_FORMS = [
+    ("function", re.compile(r"^\s*export\s+default\s+function\s+(\w+)")),
+    ("function", re.compile(r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)")),
+    ("class", re.compile(r"^\s*(?:export\s+)?class\s+(\w+)")),
+    ("variable", re.compile(r"^\s*(?:export\s+)?const\s+(\w+)\s*=")),
+    ("variable", re.compile(r"^\s*(?:export\s+)?let\s+(\w+)\s*=")),
     ("interface", re.compile(r"^\s*(?:export\s+)?interface\s+(\w+)")),
     ("type", re.compile(r"^\s*(?:export\s+)?type\s+(\w+)\s*=")),
-    ("enum", re.compile(r"^\s*(?:export\s+)?enum\s+(\w+)")),
-    ("function", re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>")),
-    ("variable", re.compile(r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)")),
 ]
-_SCRIPT_IMPORT = re.compile(r"""^\s*import\s+(?:.+?\s+from\s+)?["']([^"']+)["']|require\(\s*["']([^"']+)["']\s*\)""")
-_OTHER_FORM = re.compile(r"^\s*(?:pub\s+)?(?:func|fn|def|class|struct|enum|trait|type|interface|sub|function)\s+(?:\([^)]*\)\s*)?(\w+)")
+SCRIPT_IMPORT = re.compile(r"""(?:import\s+.*?from\s+|require\(\s*)['"]([^'"]+)['"]""")
+OTHER_FORM = re.compile(r"^\s*(?:pub\s+)?(?:def|function|class|interface|struct|func|fn)\s+(\w+)")
 #: Language of a file by its suffix; any other suffix is read as text.
-LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "javascript", "tsx": "javascript"}
+LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "javascript", "tsx": "javascript", "mjs": "javascript"}
 
 
 def code_facts(path: str, text: str) -> list[tuple[str, str, str, int, str]]:
@@ -119,14 +117,14 @@ def code_facts(path: str, text: str) -> list[tuple[str, str, str, int, str]]:
     for k, line in enumerate(text.splitlines(), 1):
         defined = set()
         if language == "javascript":
-            for kind, form in _SCRIPT_FORMS:
+            for kind, form in SCRIPT_FORMS:
                 if m := form.match(line):
                     out.append(("definition", m.group(1), kind, k, language))
                     defined.add(m.group(1))
                     break
-            if m := _SCRIPT_IMPORT.search(line):
-                out.append(("import", m.group(1) or m.group(2), "module", k, ""))
-        elif m := _OTHER_FORM.match(line):
+            if m := SCRIPT_IMPORT.search(line):
+                out.append(("import", m.group(1), "module", k, ""))
+        elif m := OTHER_FORM.match(line):
             out.append(("definition", m.group(1), "symbol", k, language))
             defined.add(m.group(1))
         out += [("reference", w, "word", k, language) for w in re.findall(r"[A-Za-z_]\w*", line) if w not in defined]

@@ -141,6 +141,6 @@ def test_pages_and_code(spark):
     code = [("a.py", "import os\nfrom .b import c\nX = 1\nclass K:\n    def m(self):\n        return os.path\n"), ("b.ts", "export const f = (x) => x\nimport { y } from './z'\nclass Q {}"), ("c.go", "func main() {}"), ("bad.py", "def ("), ("n.py", None)]
     facts = pages.extract_code(spark.createDataFrame(code, "path string, t string"), "path", "t")
     defined = {(r["path"], r["name"], r["kind"]) for r in facts.where("fact = 'definition'").collect()}
-    assert defined == {("a.py", "X", "variable"), ("a.py", "K", "class"), ("a.py", "m", "method"), ("b.ts", "f", "function"), ("b.ts", "Q", "class"), ("c.go", "main", "symbol")}
+    assert defined == {("a.py", "X", "variable"), ("a.py", "K", "class"), ("a.py", "m", "method"), ("b.ts", "f", "variable"), ("b.ts", "Q", "class"), ("c.go", "main", "symbol")}
     assert [r["path"] for r in pages.importers(facts, "os").collect()] == ["a.py"] and facts.where("fact = 'diagnostic'").first()["path"] == "bad.py"
     assert pages.references(facts, "path").count() == 1 and pages.definitions(facts, "k", exact=False).count() == 1
