@@ -42,22 +42,65 @@ def advise(failures: DataFrame, key: str, text: str, cases: DataFrame) -> DataFr
     return both.select(F.col("_k").alias(key), tier.alias("tier"), c["id"].alias("case_id"), c["diagnosis"].alias("diagnosis"))
 
 
-def quality(e: DataFrame) -> tuple[Column, Column]:
-    """(mean of the known quality dimensions, names of the unknown ones) of an experience."""
+#: How the goal of a session begins that nobody stated, and the dimensions of quality in order.
+PLACEHOLDER = "continued prior work"
+DIMENSIONS = ["verification", "recovery", "tool_use", "efficiency", "clarity", "completeness", "correctness", "robustness", "diversity", "relevance"]
+
+
+def scan_text() -> Column:
+    """All that an experience says, as one text."""
+    parts = [F.col("goal"), F.array_join("actions", " "), *(F.col(c) for c in ("failure", "diagnosis", "resolution", "context"))]
+    return F.concat_ws("\n", *(F.nullif(p, F.lit("")) for p in parts))
+
+
+def goal_words() -> Column:
+    """Words of an experience's goal in lower case."""
+    return F.filter(F.split(F.lower(F.coalesce("goal", F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+
+
+def penalties(pairs: Column | None = None) -> Column:
+    """What takes from the quality of an experience: ``dimension``, ``reason``, in order. ``pairs`` is the number of failures with
+    their fix that its context holds (none if it isn't given)."""
+    actions = F.coalesce("actions", F.array().cast("array<string>"))
+    run = S.longest_run_in(actions)
+    tools = F.coalesce(F.get_json_object("context", "$.tool_count").try_cast("bigint"), F.size(actions).cast("bigint"))
+    silent = ~X.present(F.col("failure")) & ~X.present(F.col("resolution")) & ((pairs if pairs is not None else F.lit(0)) == 0)
+    empty = F.coalesce("goal", F.lit("")).startswith(PLACEHOLDER)
+    one = lambda test, dimension, reason: F.when(test, F.struct(F.lit(dimension).alias("dimension"), reason.alias("reason")))
+    each = F.array(
+        one(run > 3, "efficiency", F.concat(F.lit("same action repeated "), run.cast("string"), F.lit("x consecutively"))),
+        one(tools > 30, "efficiency", F.concat(F.lit("tool_count "), tools.cast("string"), F.lit(" exceeds 30"))),
+        one((tools > 15) & silent, "efficiency", F.lit("large tool usage captured no failure/fix signal")),
+        one(empty, "clarity", F.lit("placeholder goal")),
+        one(~empty & (F.size(goal_words()) < 3), "clarity", F.lit("goal under 3 words")),
+    )
+    return F.filter(each, lambda x: x.isNotNull())
+
+
+def quality(e: DataFrame, pairs: Column | None = None) -> tuple[Column, Column]:
+    """(mean of the known quality dimensions, names of the unknown ones) of an experience; diversity is known of no single one."""
     ok = F.coalesce("verification.ok", F.lit(False)) | F.coalesce(F.exists("verification.attempts", lambda a: F.coalesce(a["ok"], F.lit(False))), F.lit(False))
     has = lambda c: X.present(F.col(c))
-    words = F.filter(F.split(X.normal_goal(F.coalesce("goal", F.lit(""))), " "), lambda w: (w != "") & ~w.isin(X.STOPWORDS))
-    long_runs = S.longest_run_in(F.coalesce("actions", F.array().cast("array<string>"))) > 3
-    return A.mean_known(
-        {
-            "verification": F.when(F.col("outcome") == "failed", 0.0).when(ok, 1.0),
-            "recovery": F.when(has("failure") & (has("resolution") | has("diagnosis")), 1.0).when(has("failure"), 0.25),
-            "tool_use": F.when(F.size("actions") > 0, F.least(F.lit(1.0), F.size(F.array_distinct("actions")) / 4.0)).otherwise(0.0),
-            "efficiency": F.when(long_runs, 0.8).otherwise(1.0),
-            "correctness": F.when(F.col("outcome") == "success", 1.0).when(F.col("outcome") == "failed", 0.0),
-            "relevance": F.least(F.lit(1.0), F.size(words) / 5.0),
-        }
-    )
+    goal, taken = F.coalesce("goal", F.lit("")), penalties(pairs)
+    empty, worked = goal.startswith(PLACEHOLDER), F.coalesce(F.size("actions") > 0, F.lit(False))
+    docked = lambda dimension: F.size(F.filter(taken, lambda p: p["dimension"] == dimension))
+    counted = F.coalesce(*(F.get_json_object("context", f"$.{k}") for k in ("message_count", "part_count", "tool_count"))).isNotNull()
+    unsafe = F.size(X.flags(scan_text(), X.DESTRUCTIVE)) > 0
+    substance = F.size(F.filter(goal_words(), lambda w: ~w.isin(X.STOPWORDS)))
+    solved = F.when(pairs > 0, F.least(F.lit(1.0), pairs / 3.0)) if pairs is not None else F.lit(None).cast("double")
+    known = {
+        "verification": F.when(F.col("outcome") == "failed", 0.0).when(ok, 1.0),
+        "recovery": F.when(has("failure") & (has("resolution") | has("diagnosis")), 1.0).when(has("failure"), 0.25),
+        "tool_use": F.when(worked, F.least(F.lit(1.0), F.size(F.array_distinct("actions")) / 4.0)).otherwise(0.0),
+        "efficiency": F.greatest(F.lit(0.0), 1.0 - 0.2 * docked("efficiency")),
+        "clarity": F.when(empty, 0.25).otherwise(F.greatest(F.lit(0.0), 1.0 - 0.3 * docked("clarity"))),
+        "completeness": F.when(goal == "", 0.0).when(empty, 0.2).otherwise(0.4) + F.when(worked, 0.3).otherwise(0.0) + F.when(counted, 0.3).otherwise(0.0),
+        "correctness": F.when(unsafe, F.lit(None)).when(F.col("outcome") == "success", F.when(worked, 1.0).otherwise(0.0)).when(F.col("outcome") == "failed", 0.0),
+        "robustness": F.coalesce(solved, F.when(has("failure"), 0.5)),
+        "diversity": F.lit(None).cast("double"),
+        "relevance": F.when(empty, 0.25).otherwise(F.least(F.lit(1.0), substance / 5.0)),
+    }
+    return A.mean_known({d: known[d] for d in DIMENSIONS})
 
 
 def curate(experiences: DataFrame) -> DataFrame:
@@ -67,8 +110,7 @@ def curate(experiences: DataFrame) -> DataFrame:
     """
     e = experiences.dropDuplicates(["experience_id"])
     mean, unknown = quality(e)
-    scan = F.concat_ws("\n", "goal", "failure", "diagnosis", "resolution")
-    scored = e.select("experience_id", "goal", "times_seen", F.get_json_object("context", "$.source").alias("source"), "project_type", mean.alias("score"), unknown.alias("unknown"), X.flags(scan).alias("flags"))
+    scored = e.select("experience_id", "goal", "times_seen", F.get_json_object("context", "$.source").alias("source"), "project_type", mean.alias("score"), unknown.alias("unknown"), X.flags(scan_text()).alias("flags"))
     scored = A.rarity(scored, ["source", "project_type"])
     row = F.struct("experience_id", "score", "diversity", "flags", "unknown")
     won = scored.groupBy(X.normal_goal(F.coalesce("goal", F.lit(""))).alias("goal_key")).agg(
@@ -80,7 +122,7 @@ def curate(experiences: DataFrame) -> DataFrame:
 def lessons(experiences: DataFrame) -> DataFrame:
     """What unflagged experiences teach: a failure with its diagnosis, or a procedure of at least three actions with its tools."""
     e = experiences.dropDuplicates(["experience_id"])
-    clean = e.where(F.size(X.flags(F.concat_ws("\n", "goal", "failure", "diagnosis", "resolution"))) == 0)
+    clean = e.where(F.size(X.flags(scan_text())) == 0)
     failure = clean.where(X.present(F.col("failure")) & X.present(F.col("diagnosis"))).select("experience_id", F.lit("failure").alias("kind"), F.substring("failure", 1, 200).alias("lesson"))
     tools = F.array_join(F.array_sort(F.array_distinct("actions")), ",")
     skill = clean.where((F.col("outcome") == "success") & (F.size("actions") >= 3)).select("experience_id", F.lit("procedure").alias("kind"), tools.alias("lesson"))

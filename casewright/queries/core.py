@@ -237,7 +237,7 @@ def redaction(spark, d):
     return e.select("experience_id", X.redact(F.col("failure")).alias("failure"), X.redact(F.col("resolution")).alias("resolution"))
 
 
-_SCAN = "concat_ws(chr(10), goal, failure, diagnosis, resolution)"
+_SCAN = "concat_ws(chr(10), nullif(goal, ''), nullif(array_to_string(actions, ' '), ''), nullif(failure, ''), nullif(diagnosis, ''), nullif(resolution, ''), nullif(context, ''))"
 
 
 @query(
@@ -246,8 +246,8 @@ _SCAN = "concat_ws(chr(10), goal, failure, diagnosis, resolution)"
     + ") GROUP BY 1"
 )
 def hard_flags(spark, d):
-    """Credential and destructive patterns in experiences."""
-    e = _once(_t(spark, d, "experiences"), "experience_id").select(X.flags(F.concat_ws("\n", "goal", "failure", "diagnosis", "resolution")).alias("f"))
+    """Records of every credential or command pattern."""
+    e = _once(_t(spark, d, "experiences"), "experience_id").select(X.flags(P.scan_text()).alias("f"))
     return A.exploded_tally(e, "f", "flag")
 
 
@@ -512,27 +512,37 @@ def diversity(spark, d):
 
 
 _HAS = "length({}) > 0"
+_RUNS = "(SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT a, i - row_number() OVER (PARTITION BY a ORDER BY i) AS g FROM (SELECT unnest(actions) AS a, generate_subscripts(actions, 1) AS i)) GROUP BY a, g))"
+_UNSAFE = " OR ".join(f"regexp_matches({_SCAN}, '{p}')" for _, p in X.DESTRUCTIVE)
+_PENALTIES = f"""SELECT *, coalesce({_RUNS}, 0) AS run, coalesce(try_cast(context->>'$.tool_count' AS BIGINT), len(actions)) AS tools, starts_with(coalesce(goal, ''), '{P.PLACEHOLDER}') AS empty,
+    list_filter(string_split_regex(lower(coalesce(goal, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '') AS words FROM ({_ONCE_E})"""
 
 
 @query(
-    f"WITH e AS ({_ONCE_E}), q AS (SELECT experience_id, CASE WHEN outcome = 'failed' THEN 0.0 WHEN coalesce(verification.ok, false) OR coalesce(list_bool_or(list_transform(verification.attempts, lambda a: coalesce(a.ok, false))), false) THEN 1.0 END AS v, "
-    "CASE WHEN length(failure) > 0 AND (length(resolution) > 0 OR length(diagnosis) > 0) THEN 1.0 WHEN length(failure) > 0 THEN 0.25 END AS r, CASE WHEN len(actions) > 0 THEN least(1.0, len(list_distinct(actions)) / 4.0) ELSE 0.0 END AS t, "
-    "CASE WHEN outcome = 'success' THEN 1.0 WHEN outcome = 'failed' THEN 0.0 END AS c FROM e) "
-    "SELECT experience_id, round((coalesce(v, 0) + coalesce(r, 0) + t + coalesce(c, 0)) / (1 + (v IS NOT NULL)::INT + (r IS NOT NULL)::INT + (c IS NOT NULL)::INT), 4) AS overall, (v IS NULL)::INT + (r IS NULL)::INT + (c IS NULL)::INT AS unknown FROM q"
+    f"""WITH p AS ({_PENALTIES}), l AS (SELECT experience_id, [CASE WHEN run > 3 THEN {{'d': 'efficiency', 'r': 'same action repeated ' || run || 'x consecutively'}} END, CASE WHEN tools > 30 THEN {{'d': 'efficiency', 'r': 'tool_count ' || tools || ' exceeds 30'}} END,
+    CASE WHEN tools > 15 AND NOT coalesce(length(failure) > 0, false) AND NOT coalesce(length(resolution) > 0, false) THEN {{'d': 'efficiency', 'r': 'large tool usage captured no failure/fix signal'}} END, CASE WHEN empty THEN {{'d': 'clarity', 'r': 'placeholder goal'}} WHEN len(words) < 3 THEN {{'d': 'clarity', 'r': 'goal under 3 words'}} END] AS l FROM p)
+    SELECT experience_id, x.d AS dimension, x.r AS reason FROM (SELECT experience_id, unnest(list_filter(l, lambda x: x IS NOT NULL)) AS x FROM l)"""
 )
+def soft_penalties(spark, d):
+    """What takes from the quality of every experience, with reasons."""
+    e = _once(_t(spark, d, "experiences"), "experience_id").select("experience_id", F.explode(P.penalties()).alias("p"))
+    return e.select("experience_id", "p.dimension", "p.reason")
+
+
+_QUALITY = f"""WITH p AS ({_PENALTIES}), n AS (SELECT *, (run > 3)::INT + (tools > 30)::INT + (tools > 15 AND NOT coalesce(length(failure) > 0, false) AND NOT coalesce(length(resolution) > 0, false))::INT AS docked FROM p),
+    q AS (SELECT *, CAST([CASE WHEN outcome = 'failed' THEN 0.0 WHEN coalesce(verification.ok, false) OR coalesce(list_bool_or(list_transform(verification.attempts, lambda a: coalesce(a.ok, false))), false) THEN 1.0 END,
+    CASE WHEN length(failure) > 0 AND (length(resolution) > 0 OR length(diagnosis) > 0) THEN 1.0 WHEN length(failure) > 0 THEN 0.25 END, CASE WHEN len(actions) > 0 THEN least(1.0, len(list_distinct(actions)) / 4.0) ELSE 0.0 END, greatest(0.0, 1.0 - 0.2 * docked),
+    CASE WHEN empty THEN 0.25 WHEN len(words) < 3 THEN 0.7 ELSE 1.0 END, CASE WHEN coalesce(goal, '') = '' THEN 0.0 WHEN empty THEN 0.2 ELSE 0.4 END + CASE WHEN len(actions) > 0 THEN 0.3 ELSE 0.0 END + CASE WHEN coalesce(context->>'$.message_count', context->>'$.part_count', context->>'$.tool_count') IS NOT NULL THEN 0.3 ELSE 0.0 END,
+    CASE WHEN {_UNSAFE} THEN NULL WHEN outcome = 'success' THEN CASE WHEN len(actions) > 0 THEN 1.0 ELSE 0.0 END WHEN outcome = 'failed' THEN 0.0 END, CASE WHEN length(failure) > 0 THEN 0.5 END, NULL,
+    CASE WHEN empty THEN 0.25 ELSE least(1.0, len(list_filter(words, lambda w: w NOT IN ('{"', '".join(X.STOPWORDS)}'))) / 5.0) END] AS DOUBLE[]) AS dims FROM n),
+    s AS (SELECT *, round(list_sum(list_filter(dims, lambda x: x IS NOT NULL)) / len(list_filter(dims, lambda x: x IS NOT NULL)), 4) AS score, list_filter({P.DIMENSIONS}, lambda x, i: dims[i] IS NULL) AS unknown FROM q)"""
+
+
+@query(f"{_QUALITY} SELECT experience_id, score AS overall, array_to_string(unknown, ',') AS unknown FROM s")
 def quality_score(spark, d):
-    """Mean of the quality dimensions that are known."""
-    e = _once(_t(spark, d, "experiences"), "experience_id")
-    ok = F.coalesce("verification.ok", F.lit(False)) | F.coalesce(F.exists("verification.attempts", lambda a: F.coalesce(a["ok"], F.lit(False))), F.lit(False))
-    has = lambda c: X.present(F.col(c))
-    dims = {
-        "verification": F.when(F.col("outcome") == "failed", 0.0).when(ok, 1.0),
-        "recovery": F.when(has("failure") & (has("resolution") | has("diagnosis")), 1.0).when(has("failure"), 0.25),
-        "tool_use": F.when(F.size("actions") > 0, F.least(F.lit(1.0), F.size(F.array_distinct("actions")) / 4.0)).otherwise(0.0),
-        "correctness": F.when(F.col("outcome") == "success", 1.0).when(F.col("outcome") == "failed", 0.0),
-    }
-    mean, unknown = A.mean_known(dims)
-    return e.select("experience_id", mean.alias("overall"), F.size(unknown).alias("unknown"))
+    """Mean of the quality dimensions that are known, and the names of the others."""
+    mean, unknown = P.quality(_t(spark, d, "experiences"))
+    return _once(_t(spark, d, "experiences"), "experience_id").select("experience_id", mean.alias("overall"), F.array_join(unknown, ",").alias("unknown"))
 
 
 @query(f"SELECT {_sql_goal('goal')} AS goal_key, arg_max(experience_id, (coalesce(confidence, 0), recorded_at, experience_id)) AS winner, sum(times_seen)::BIGINT AS times_seen, count(*) - 1 AS absorbed FROM ({_ONCE_E}) GROUP BY 1")
@@ -947,10 +957,18 @@ def advise(spark, d):
     return P.advise(_once(_t(spark, d, "experiences"), "experience_id"), "experience_id", "failure", _t(spark, d, "cases"))
 
 
-@query(f"SELECT goal_key, count(*) - 1 AS absorbed, sum(times_seen)::BIGINT AS times_seen FROM (SELECT {_sql_goal("coalesce(goal, '')")} AS goal_key, times_seen FROM ({_ONCE_E})) GROUP BY 1")
+_FLAGS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({_SCAN}, '{p}') THEN '{n}' END" for n, p in [*X.CREDENTIALS, *X.DESTRUCTIVE]) + "], lambda x: x IS NOT NULL)"
+
+
+@query(
+    f"""{_QUALITY}, g AS (SELECT context->>'$.source' AS source, project_type, count(*) AS n FROM s GROUP BY ALL), w AS (SELECT *, {_sql_goal("coalesce(goal, '')")} AS goal_key, {_FLAGS} AS flags FROM s),
+    k AS (SELECT goal_key, experience_id, score, flags, unknown, context->>'$.source' AS source, project_type, sum(times_seen) OVER (PARTITION BY goal_key)::BIGINT AS times_seen, count(*) OVER (PARTITION BY goal_key) - 1 AS absorbed FROM w QUALIFY row_number() OVER (PARTITION BY goal_key ORDER BY score DESC, experience_id) = 1)
+    SELECT goal_key, experience_id, score, round(1 - g.n / (SELECT count(*) FROM s), 4) AS diversity, array_to_string(flags, ',') AS flags, array_to_string(unknown, ',') AS unknown, times_seen, absorbed FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source AND k.project_type IS NOT DISTINCT FROM g.project_type"""
+)
 def curate(spark, d):
-    """Curated experiences by goal."""
-    return P.curate(_t(spark, d, "experiences")).select("goal_key", "absorbed", "times_seen")
+    """Curated experiences by goal, whole rows."""
+    c = P.curate(_t(spark, d, "experiences"))
+    return c.withColumns({"flags": F.array_join("flags", ","), "unknown": F.array_join("unknown", ",")})
 
 
 @query(
