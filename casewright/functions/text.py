@@ -259,8 +259,8 @@ def epoch(ts: Column) -> Column:
 
 
 def utc_stamp(ts: Column) -> Column:
-    """ISO-8601 with seconds and Z."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """ISO-8601 with seconds and Z, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def version_tuple(text: Column) -> Column:
