@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from casewright.llm import pair_examples as examples
 from casewright.llm.crf import ChainCRF
 from casewright.llm.language import FUNCTION_WORDS, asked_languages, language_of, prose_words
+from casewright.llm.literals import Sieve
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 # Words that stand for no answer, after everything but letters and digits is gone.
@@ -32,9 +33,18 @@ CUES = {
     "access": r"\b(?:have access|access to your|zugriff|accès à|acceso a|acesso a|доступ)|访问",
     "after": r"\b(?:any ?more|any longer|reproduce|about the|for the (?:long|noise|delay)|anymore|nicht mehr|plus reproduire|ya no|já não|больше не)\b|不再|重现",
 }
-_CUES = {k: re.compile(v.replace("AI", "ai")) for k, v in CUES.items()}  # run over lower case
+_CUES = {k: v.replace("AI", "ai") for k, v in CUES.items()}  # run over lower case
+
+
+@lru_cache(1)
+def _cues() -> Sieve:
+    return Sieve(_CUES)
+
+
 _FENCE = regex.compile(r"```[^\n`]*\n?(.*?)(?:```|\Z)", regex.S)
 _SENTENCE = regex.compile(r"(?<=[.!?…])(?<!(?:^|\n)[ \t]*\d{1,3}\.)[\"'”»*_)]*\s+|(?<=[。！？])|\n+")
+#: Without this a line has no place where it could be split into sentences.
+_ENDS = re.compile(r"[.!?…][\"'”»*_)]*\s|[。！？]")
 _QUOTED = regex.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"\n]*\"|`[^`\n]*`|「[^」]*」")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
 _DONE = re.compile(r"[.!?。！？]+[\"'”»*_)\]]*$")
@@ -72,7 +82,7 @@ def clauses(answer: str) -> list[tuple[str, str]]:
         for line in answer[at : m.start() if m else len(answer)].split("\n"):
             code = _FIRM.search(line) or _CODE.search(line) and len(set(prose_words(line)) & _FUNCTION) < 3
             kind = "item" if _ITEM.match(line) else "code" if code else "prose"
-            for k, piece in enumerate(p for p in ([line] if kind != "prose" else _SENTENCE.split(line)) if _WORD.search(p)):
+            for k, piece in enumerate(p for p in ([line] if kind != "prose" or not _ENDS.search(line) else _SENTENCE.split(line)) if _WORD.search(p)):
                 out.append(("more" if k else kind, piece))
         if m:
             if _WORD.search(m.group(1)):
@@ -84,7 +94,7 @@ def clauses(answer: str) -> list[tuple[str, str]]:
 def features(goal: str, parts: list[tuple[str, str]]) -> list[list[str]]:
     """Binary features of every clause, seen against its goal."""
     goal_words, spoken, asked = set(_WORD.findall(goal.lower())), language_of(goal), None
-    out = []
+    out, sieve = [], _cues()
     for k, (kind, text) in enumerate(parts):
         last = k == len(parts) - 1
         fs = ["bias", f"kind {kind}", "first" if k == 0 else "later"]
@@ -99,8 +109,7 @@ def features(goal: str, parts: list[tuple[str, str]]) -> list[list[str]]:
             if heard and spoken:
                 asked = asked_languages(goal) if heard != spoken and asked is None else asked
                 fs.append("language same" if heard == spoken else "language asked" if heard in asked else "language other")
-            lower = bare.lower()
-            cues = [c for c, p in _CUES.items() if p.search(lower)]
+            cues = sieve.names(bare.lower())
             fs += [f"cue {c}" for c in cues]
             fs += [f"cues {a} {b}" for a in cues for b in cues if a < b]
         if last and kind == "open":
