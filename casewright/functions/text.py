@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from casewright.functions.patterns import matches
+
 SEPARATOR = " :: "
 # Patterns of credentials, in order; the second name is what reports show.
 CREDENTIALS = [
@@ -161,13 +163,18 @@ def first_class(text: Column, rules: list[tuple[str, str]], default: str) -> Col
     """Class of the first rule ``(pattern, class)`` that matches."""
     out = None
     for pattern, name in rules:
-        out = F.when(text.rlike(pattern), F.lit(name)) if out is None else out.when(text.rlike(pattern), F.lit(name))
+        out = F.when(matches(text, pattern), F.lit(name)) if out is None else out.when(matches(text, pattern), F.lit(name))
     return out.otherwise(F.lit(default)) if out is not None else F.lit(default)
 
 
-def subject_of(signature: Column, excerpt: Column) -> Column:
-    """Subject category of a failure."""
-    return first_class(F.lower(F.concat_ws(" ", F.coalesce(signature, F.lit("")), F.coalesce(excerpt, F.lit("")))), SUBJECTS, "unknown")
+def subject_text(signature: Column, excerpt: Column) -> Column:
+    """What the subject category of a failure is read from."""
+    return F.lower(F.concat_ws(" ", F.coalesce(signature, F.lit("")), F.coalesce(excerpt, F.lit(""))))
+
+
+def subject_of(text: Column) -> Column:
+    """Subject category of a failure by its ``subject_text``, which should be a column of its own, as it is looked at many times."""
+    return first_class(text, SUBJECTS, "unknown")
 
 
 def environment_of(text: Column) -> Column:

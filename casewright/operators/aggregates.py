@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.functions.text import CATEGORIES, normal_goal, parse_stamp, strip, subject_of
+from casewright.functions.text import CATEGORIES, normal_goal, parse_stamp, strip, subject_of, subject_text
 
 
 def upsert(observations: DataFrame, key: str, order: list[Column], value: list[str]) -> DataFrame:
@@ -50,7 +50,8 @@ def category_gaps(cases: DataFrame, thin: int = 3) -> DataFrame:
     """Number of cases of every category, zero included, and whether it is empty, thin or covered."""
     spark = cases.sparkSession
     all_ = spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
-    n = cases.groupBy(subject_of(F.col("signature"), F.col("error_excerpt")).alias("category")).agg(F.count("*").alias("cases"))
+    texts = cases.select(subject_text(F.col("signature"), F.col("error_excerpt")).alias("_t"))
+    n = texts.groupBy(subject_of(F.col("_t")).alias("category")).agg(F.count("*").alias("cases"))
     out = all_.join(n, "category", "left").withColumn("cases", F.coalesce("cases", F.lit(0)))
     return out.withColumn("status", F.when(F.col("cases") == 0, "empty").when(F.col("cases") < thin, "thin").otherwise("covered"))
 

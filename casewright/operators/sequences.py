@@ -95,6 +95,10 @@ def kept_before(df: DataFrame, key: str, order: list[Column], kept: Column, name
     return df.withColumn(name, F.coalesce(F.count_if(kept).over(w), F.lit(0)))
 
 
+#: Ranks up to which Spark limits the rows of a group before it sorts them (its default), and rows up to which a top list is a plain one.
+RANKED = 1000
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, within: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the row number ``name`` (from 1) in the total order ``order``, over all rows or ``within`` groups.
 
@@ -135,13 +139,17 @@ def round_robin(df: DataFrame, group: str, order: list[Column], budget: int, fir
         above = min([n for n, s in zip(tries, sums) if s > budget], default=above)
         if fit:
             rounds, taken = fit[-1]
-    ranked = numbered(df, order, "round", (group,))
+    last, left = rounds + 1, budget - taken
+    if last <= RANKED:  # Spark keeps that many rows of each group before the shuffle, so a hot group is small
+        ranked = df.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("round") <= last)
+    else:
+        ranked = numbered(df, order, "round", (group,)).where(F.col("round") <= last)
     whole = ranked.where(F.col("round") <= rounds)
     if taken >= min(budget, total):
         return whole
-    some = numbered(sizes.where(F.col("__n") > rounds), [F.col("__f"), F.col("__g")], "__k").where(F.col("__k") <= budget - taken)
-    last = ranked.where(F.col("round") == rounds + 1).join(some.select("__g"), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
-    return whole.union(last)
+    more = sizes.where(F.col("__n") > rounds)
+    some = more.orderBy("__f", "__g").limit(left) if left <= RANKED else numbered(more, [F.col("__f"), F.col("__g")], "__k").where(F.col("__k") <= left)
+    return whole.union(ranked.where(F.col("round") == last).join(some.select("__g"), F.col(group).eqNullSafe(F.col("__g"))).drop("__g"))
 
 
 def strictly_rising(df: DataFrame, key: str, pos: str, value: str) -> DataFrame:

@@ -53,54 +53,56 @@ def scan_text() -> Column:
     return F.concat_ws("\n", *(F.nullif(p, F.lit("")) for p in parts))
 
 
-def goal_words() -> Column:
-    """Words of an experience's goal in lower case."""
-    return F.filter(F.split(F.lower(F.coalesce("goal", F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-
-
-def penalties(pairs: Column | None = None) -> Column:
-    """What takes from the quality of an experience: ``dimension``, ``reason``, in order. ``pairs`` is the number of failures with
-    their fix that its context holds (none if it isn't given)."""
+def with_penalties(e: DataFrame, pairs: Column | None = None) -> DataFrame:
+    """``e`` with ``penalties``, what takes from the quality of an experience: ``dimension``, ``reason``, in order. ``pairs`` is the number
+    of failures with their fix that its context holds (none if it isn't given). What is read more than once is a column: ``_words`` of
+    the goal in lower case, ``_run``, ``_tools``, ``_empty``, ``_pairs``."""
     actions = F.coalesce("actions", F.array().cast("array<string>"))
-    run = S.longest_run_in(actions)
     tools = F.coalesce(F.get_json_object("context", "$.tool_count").try_cast("bigint"), F.size(actions).cast("bigint"))
-    silent = ~X.present(F.col("failure")) & ~X.present(F.col("resolution")) & ((pairs if pairs is not None else F.lit(0)) == 0)
+    words = F.filter(F.split(F.lower(F.coalesce("goal", F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     empty = F.coalesce("goal", F.lit("")).startswith(PLACEHOLDER)
+    read = e.withColumns({"_words": words, "_run": S.longest_run_in(actions), "_tools": tools, "_empty": empty, "_pairs": pairs if pairs is not None else F.lit(0)})
+    silent = ~X.present(F.col("failure")) & ~X.present(F.col("resolution")) & (F.col("_pairs") == 0)
     one = lambda test, dimension, reason: F.when(test, F.struct(F.lit(dimension).alias("dimension"), reason.alias("reason")))
     each = F.array(
-        one(run > 3, "efficiency", F.concat(F.lit("same action repeated "), run.cast("string"), F.lit("x consecutively"))),
-        one(tools > 30, "efficiency", F.concat(F.lit("tool_count "), tools.cast("string"), F.lit(" exceeds 30"))),
-        one((tools > 15) & silent, "efficiency", F.lit("large tool usage captured no failure/fix signal")),
-        one(empty, "clarity", F.lit("placeholder goal")),
-        one(~empty & (F.size(goal_words()) < 3), "clarity", F.lit("goal under 3 words")),
+        one(F.col("_run") > 3, "efficiency", F.concat(F.lit("same action repeated "), F.col("_run").cast("string"), F.lit("x consecutively"))),
+        one(F.col("_tools") > 30, "efficiency", F.concat(F.lit("tool_count "), F.col("_tools").cast("string"), F.lit(" exceeds 30"))),
+        one((F.col("_tools") > 15) & silent, "efficiency", F.lit("large tool usage captured no failure/fix signal")),
+        one(F.col("_empty"), "clarity", F.lit("placeholder goal")),
+        one(~F.col("_empty") & (F.size("_words") < 3), "clarity", F.lit("goal under 3 words")),
     )
-    return F.filter(each, lambda x: x.isNotNull())
+    return read.withColumn("penalties", F.filter(each, lambda x: x.isNotNull()))
 
 
-def quality(e: DataFrame, pairs: Column | None = None) -> tuple[Column, Column]:
-    """(mean of the known quality dimensions, names of the unknown ones) of an experience; diversity is known of no single one."""
+def with_quality(e: DataFrame, pairs: Column | None = None) -> DataFrame:
+    """``e`` with ``score`` (mean of the known quality dimensions), ``unknown`` (names of the others), ``flags`` and ``penalties``; diversity is
+    known of no single experience."""
+    read = with_penalties(e.withColumn("flags", X.flags(scan_text())), pairs)
     ok = F.coalesce("verification.ok", F.lit(False)) | F.coalesce(F.exists("verification.attempts", lambda a: F.coalesce(a["ok"], F.lit(False))), F.lit(False))
     has = lambda c: X.present(F.col(c))
-    goal, taken = F.coalesce("goal", F.lit("")), penalties(pairs)
-    empty, worked = goal.startswith(PLACEHOLDER), F.coalesce(F.size("actions") > 0, F.lit(False))
-    docked = lambda dimension: F.size(F.filter(taken, lambda p: p["dimension"] == dimension))
+    empty, worked = F.col("_empty"), F.coalesce(F.size("actions") > 0, F.lit(False))
+    docked = lambda dimension: F.size(F.filter("penalties", lambda p: p["dimension"] == dimension))
     counted = F.coalesce(*(F.get_json_object("context", f"$.{k}") for k in ("message_count", "part_count", "tool_count"))).isNotNull()
-    unsafe = F.size(X.flags(scan_text(), X.DESTRUCTIVE)) > 0
-    substance = F.size(F.filter(goal_words(), lambda w: ~w.isin(X.STOPWORDS)))
-    solved = F.when(pairs > 0, F.least(F.lit(1.0), pairs / 3.0)) if pairs is not None else F.lit(None).cast("double")
+    unsafe = F.size(F.array_intersect("flags", F.array(*(F.lit(n) for n, _ in X.DESTRUCTIVE)))) > 0
+    substance = F.size(F.filter("_words", lambda w: ~w.isin(X.STOPWORDS)))
     known = {
         "verification": F.when(F.col("outcome") == "failed", 0.0).when(ok, 1.0),
         "recovery": F.when(has("failure") & (has("resolution") | has("diagnosis")), 1.0).when(has("failure"), 0.25),
         "tool_use": F.when(worked, F.least(F.lit(1.0), F.size(F.array_distinct("actions")) / 4.0)).otherwise(0.0),
         "efficiency": F.greatest(F.lit(0.0), 1.0 - 0.2 * docked("efficiency")),
         "clarity": F.when(empty, 0.25).otherwise(F.greatest(F.lit(0.0), 1.0 - 0.3 * docked("clarity"))),
-        "completeness": F.when(goal == "", 0.0).when(empty, 0.2).otherwise(0.4) + F.when(worked, 0.3).otherwise(0.0) + F.when(counted, 0.3).otherwise(0.0),
+        "completeness": F.when(F.coalesce("goal", F.lit("")) == "", 0.0).when(empty, 0.2).otherwise(0.4) + F.when(worked, 0.3).otherwise(0.0) + F.when(counted, 0.3).otherwise(0.0),
         "correctness": F.when(unsafe, F.lit(None)).when(F.col("outcome") == "success", F.when(worked, 1.0).otherwise(0.0)).when(F.col("outcome") == "failed", 0.0),
-        "robustness": F.coalesce(solved, F.when(has("failure"), 0.5)),
+        "robustness": F.when(F.col("_pairs") > 0, F.least(F.lit(1.0), F.col("_pairs") / 3.0)).when(has("failure"), 0.5),
         "diversity": F.lit(None).cast("double"),
         "relevance": F.when(empty, 0.25).otherwise(F.least(F.lit(1.0), substance / 5.0)),
     }
-    return A.mean_known({d: known[d] for d in DIMENSIONS})
+    rated = read.withColumn("_dims", F.array(*(known[d] for d in DIMENSIONS)))
+    kept = F.filter("_dims", lambda x: x.isNotNull())
+    rated = rated.withColumn("_known", kept)
+    mean = F.when(F.size("_known") > 0, F.round(F.reduce("_known", F.lit(0.0), lambda a, x: a + x) / F.size("_known"), 4)).otherwise(0.0)
+    names = F.filter(F.array(*map(F.lit, DIMENSIONS)), lambda n, k: F.get("_dims", k).isNull())
+    return rated.withColumns({"score": mean, "unknown": names}).drop("_words", "_run", "_tools", "_empty", "_pairs", "_dims", "_known")
 
 
 def curate(experiences: DataFrame) -> DataFrame:
@@ -108,9 +110,8 @@ def curate(experiences: DataFrame) -> DataFrame:
 
     Redelivered rows count once. The winner of a goal is the row with the best score, the smallest id among equals.
     """
-    e = experiences.dropDuplicates(["experience_id"])
-    mean, unknown = quality(e)
-    scored = e.select("experience_id", "goal", "times_seen", F.get_json_object("context", "$.source").alias("source"), "project_type", mean.alias("score"), unknown.alias("unknown"), X.flags(scan_text()).alias("flags"))
+    e = with_quality(experiences.dropDuplicates(["experience_id"]))
+    scored = e.select("experience_id", "goal", "times_seen", F.get_json_object("context", "$.source").alias("source"), "project_type", "score", "unknown", "flags")
     scored = A.rarity(scored, ["source", "project_type"])
     row = F.struct("experience_id", "score", "diversity", "flags", "unknown")
     won = scored.groupBy(X.normal_goal(F.coalesce("goal", F.lit(""))).alias("goal_key")).agg(

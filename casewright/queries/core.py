@@ -217,7 +217,8 @@ _ENV = _sql_case("lower(coalesce({}, ''))", [(p, n) for n, p in X.ENVIRONMENTS],
 @query(f"SELECT {_ENV.format(*['error_excerpt'] * len(X.ENVIRONMENTS))} AS environment, {_SUBJECT} AS subject, count(*) AS n FROM cases GROUP BY 1, 2")
 def env_classify(spark, d):
     """Environment class and subject of all cases."""
-    c = _t(spark, d, "cases").select(X.environment_of(F.col("error_excerpt")).alias("environment"), X.subject_of(F.col("signature"), F.col("error_excerpt")).alias("subject"))
+    c = _t(spark, d, "cases").select("error_excerpt", X.subject_text(F.col("signature"), F.col("error_excerpt")).alias("_t"))
+    c = c.select(X.environment_of(F.col("error_excerpt")).alias("environment"), X.subject_of(F.col("_t")).alias("subject"))
     return c.groupBy("environment", "subject").agg(F.count("*").alias("n"))
 
 
@@ -525,7 +526,7 @@ _PENALTIES = f"""SELECT *, coalesce({_RUNS}, 0) AS run, coalesce(try_cast(contex
 )
 def soft_penalties(spark, d):
     """What takes from the quality of every experience, with reasons."""
-    e = _once(_t(spark, d, "experiences"), "experience_id").select("experience_id", F.explode(P.penalties()).alias("p"))
+    e = P.with_penalties(_once(_t(spark, d, "experiences"), "experience_id")).select("experience_id", F.explode("penalties").alias("p"))
     return e.select("experience_id", "p.dimension", "p.reason")
 
 
@@ -541,8 +542,8 @@ _QUALITY = f"""WITH p AS ({_PENALTIES}), n AS (SELECT *, (run > 3)::INT + (tools
 @query(f"{_QUALITY} SELECT experience_id, score AS overall, array_to_string(unknown, ',') AS unknown FROM s")
 def quality_score(spark, d):
     """Mean of the quality dimensions that are known, and the names of the others."""
-    mean, unknown = P.quality(_t(spark, d, "experiences"))
-    return _once(_t(spark, d, "experiences"), "experience_id").select("experience_id", mean.alias("overall"), F.array_join(unknown, ",").alias("unknown"))
+    e = P.with_quality(_once(_t(spark, d, "experiences"), "experience_id"))
+    return e.select("experience_id", F.col("score").alias("overall"), F.array_join("unknown", ",").alias("unknown"))
 
 
 @query(f"SELECT {_sql_goal('goal')} AS goal_key, arg_max(experience_id, (coalesce(confidence, 0), recorded_at, experience_id)) AS winner, sum(times_seen)::BIGINT AS times_seen, count(*) - 1 AS absorbed FROM ({_ONCE_E}) GROUP BY 1")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from casewright.functions.registry import Registry, Tool, load_modules, rule_faults, schema_faults
@@ -90,7 +91,9 @@ def test_round_robin_takes_turns(spark):
     assert got == {("g0", 0), ("g1", 0), ("g2", 0), ("g0", 1), ("g1", 1), ("g2", 1), ("g0", 2)}
 
 
-def test_round_robin_equals_a_fold(spark):
+@pytest.mark.parametrize("ranked", [1000, 2])
+def test_round_robin_equals_a_fold(spark, monkeypatch, ranked):
+    monkeypatch.setattr(S, "RANKED", ranked)
     rng = random.Random(11)
     rows = [(rng.choice([None, *"abcdefgh", *"a" * 20]), n) for n in range(300)]
     df = spark.createDataFrame(rows, "g string, n int")

@@ -1,6 +1,7 @@
 """Text functions against plain Python."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import text as X
 from casewright.functions.calls import calls_of, literal, parse_calls, render_call
+from casewright.functions.patterns import needed
 
 
 def each(spark, build, values):
@@ -43,7 +45,7 @@ def test_redaction_and_flags(spark):
 
 
 def test_classes(spark):
-    subject = lambda c: X.subject_of(c, F.lit(""))
+    subject = lambda c: X.subject_of(X.subject_text(c, F.lit("")))
     assert each(spark, subject, ["ENOENT", "AssertionError", "flaky run", "nothing", None]) == ["environment-error", "test-failure", "flaky-test", "unknown", "unknown"]
     assert each(spark, X.environment_of, ["bash: x: Command not found", "fatal: Not a git repository", "", None]) == ["tool missing", "empty repo", "unsure", "unsure"]
     assert each(spark, X.environment_match, ["x: Permission denied!"]) == ["Permission denied"]
@@ -83,3 +85,16 @@ def test_calls(spark):
     back = made.select(calls_of(F.col("c")).alias("p")).collect()
     assert back[0]["p"][0].asDict(True) == {"name": "edit", "args": {"a": "12", "b": 'q"\\\n\t'}}
     assert re.fullmatch(r"\[TOOL: none\(\)\]", made.collect()[1]["c"])
+
+
+def test_guards_lose_no_match(spark):
+    """Classes with guards are those of the plain patterns, also where only parts of what a pattern needs occur."""
+    rng = random.Random(4)
+    words = ["no", "such", "file", "errno", "enoent", "make", "fail", "cargo", "pip", "not", "found", "error:", "assert", "json", "decode", "utf8sig", "bom", "time", "timing", "fla", "ke", "requires", "python", " ", ".", "-"]
+    rows = [("".join(rng.choice(words) + rng.choice(["", " ", "-"]) for _ in range(rng.randint(0, 6))),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "t string")
+    plain = F.lit("unknown")
+    for p, n in reversed(X.SUBJECTS):
+        plain = F.when(F.col("t").rlike(p), F.lit(n)).otherwise(plain)
+    assert df.where(X.subject_of(F.col("t")) != plain).count() == 0 and df.select(plain).distinct().count() > 4
+    assert needed("(?i)abc") == {""} and needed(r"fla(?:ke|g)\b") == {"flake", "flag"}
