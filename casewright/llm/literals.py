@@ -1,67 +1,12 @@
-"""What a text must hold for a pattern to match: a lossless filter before many patterns."""
+"""Many patterns over one text, only those tried that can match."""
 
 from __future__ import annotations
 
 import re
-from itertools import product
-from re import _parser as parser
-from re import _constants as c
 
 import ahocorasick
 
-#: Strings that a stretch of a pattern is spelled out into at most.
-SPELLED = 64
-
-
-def _spelled(op, args) -> set[str] | None:
-    """All strings that an item of a pattern matches, if they are few."""
-    if op is c.LITERAL:
-        return {chr(args)}
-    if op is c.AT:
-        return {""}
-    if op is c.SUBPATTERN:
-        return _sequence(args[-1])
-    if op is c.BRANCH:
-        each = [_sequence(x) for x in args[1]]
-        return None if None in each else set().union(*each)
-    if op is c.MAX_REPEAT and args[1] <= 1:
-        inner = _sequence(args[2])
-        return None if inner is None else inner | ({""} if args[0] == 0 else set())
-    return None
-
-
-def _sequence(items) -> set[str] | None:
-    out = {""}
-    for op, args in items:
-        more = _spelled(op, args)
-        if more is None or len(out) * len(more) > SPELLED:
-            return None
-        out = {a + b for a, b in product(out, more)}
-    return out
-
-
-def _needed(items) -> set[str]:
-    """Strings of which every match of a sequence holds one; the choice whose shortest is longest. Holds "" if there is none."""
-    runs, at = [], {""}
-    for op, args in items:
-        more = _spelled(op, args)
-        if more is not None and len(at) * len(more) <= SPELLED:
-            at = {a + b for a, b in product(at, more)}
-            continue
-        runs.append(at)
-        at = more if more is not None and len(more) <= SPELLED else {""}
-        if more is None and op is c.BRANCH:
-            runs.append(set().union(*(_needed(x) for x in args[1])))
-        elif more is None and op is c.SUBPATTERN:
-            runs.append(_needed(args[-1]))
-        elif more is None and op is c.MAX_REPEAT and args[0] >= 1:
-            runs.append(_needed(args[2]))
-    return max([*runs, at], key=lambda r: min(map(len, r)))
-
-
-def needed(pattern: str) -> set[str]:
-    """Strings of which every match of a case-sensitive pattern holds at least one; empty strings mean that there is no such set."""
-    return _needed(parser.parse(pattern))
+from casewright.functions.patterns import needed
 
 
 class Sieve:
