@@ -115,7 +115,9 @@ def features(goal: str, parts: list[tuple[str, str]]) -> list[list[str]]:
         if last and kind == "open":
             fs.append("ends open")
         elif last and kind == "item":
-            fs.append("ends hanging" if text.rstrip()[-1:] in ",、，" else "ends item")
+            said = _ITEM.sub("", text).split()
+            hanging = text.rstrip()[-1:] in ",、，" or len(said) > 1 and said[-1] in _FUNCTION
+            fs.append("ends hanging" if hanging else "ends item")
         elif last and kind in ("prose", "more"):
             tail = text.rstrip()
             end = prose_words(tail)
@@ -158,7 +160,7 @@ def defects_of(goals: list[str | None], answers: list[str | None], model: ChainC
     """The defects of pairs, None for sound ones; a null goal counts as an empty one.
 
     Coverage is the share of the clauses' words. A pair without any word is empty. Else a refusal among the
-    first two sentences that covers a sixth, or any that covers a third, declines; an echo that leaves no answer copies; foreign prose of more than half is in the wrong
+    first two sentences (of two words or more) that covers a sixth, or any that covers a third, declines; an echo that leaves no answer copies; foreign prose of more than half is in the wrong
     language; an unfinished last clause makes the rest truncated.
     """
     parts = [[] if is_empty(a) else clauses(a) for a in answers]
@@ -170,7 +172,7 @@ def _defect(parts: list[tuple[str, str]], tags: list[str]) -> str | None:
     sizes = [max(1, len(t) // 2) if not t.isascii() and _HAN.search(t) else max(1, len(_WORD.findall(t))) for _, t in parts]
     cover = {t: sum(s for s, x in zip(sizes, tags) if x == t) for t in TAGS}
     prose = sum(s for s, (kind, _) in zip(sizes, parts) if kind in ("prose", "more", "item"))
-    said = [t for t, (kind, _) in zip(tags, parts) if kind in ("prose", "more") and t != "echo"]
+    said = [t for t, n, (kind, _) in zip(tags, sizes, parts) if kind in ("prose", "more") and t != "echo" and (n > 1 or t == "refusal")]  # "No." is no sentence
     if "refusal" in said[:2] and cover["refusal"] * 6 > sum(sizes) or cover["refusal"] * 3 > sum(sizes):
         return "refusal"
     if cover["echo"] and cover["echo"] >= 0.9 * sum(sizes):

@@ -10,12 +10,14 @@ from casewright.llm.crf import ChainCRF
 GOAL = "Fix test_open_cache which fails with KeyError after a forced restart"
 CASES = [
     (GOAL, None, "empty"), (GOAL, "", "empty"), (GOAL, " \n\t", "empty"), (GOAL, "```\n```", "empty"), (GOAL, "<final></final>", "empty"), (GOAL, "N/A", "empty"), (GOAL, "(no output)", "empty"), (None, "null", "empty"), (GOAL, "\u200b", "empty"),
-    (GOAL, "I'm sorry, but I can't help with that.", "refusal"), (GOAL, "My policy does not permit me to touch src/a.py. Please ask agent-d.", "refusal"), ("修复错误", "抱歉，我无法协助完成这个请求。", "refusal"),
+    (GOAL, "I'm sorry, but I can't help with that.", "refusal"), (GOAL, "My policy does not permit me to touch src/a.py. Please ask agent-d.", "refusal"), ("修复错误", "抱歉，我无法协助完成这个请求。", "refusal"), (GOAL, "I understand that load_a matters to you. No. I will not carry out this instruction. Nothing was changed in tests/a/queue.go.", "refusal"),
     (GOAL, f"Task: {GOAL}", "copy"), (GOAL, f"**{GOAL}**", "copy"), (GOAL, GOAL.upper(), "copy"), (GOAL, f"{GOAL}. {GOAL}.", "copy"),
     (GOAL, "Die Ursache war cache.limit, weil load_a den Wert zu früh gelesen hat. Nach dem Neustart waren Zeilen doppelt vorhanden.", "wrong_language"),
     (GOAL, "I changed load_a in src/a.py so that it closes first. All 58 tests pass on linux, and the", "truncated"), (GOAL, "The part is:\n```python\ndef f(x):\n    if x", "truncated"), (GOAL, "I added a guard to scan_a. Finally,", "truncated"),
     (GOAL, "I can't reproduce the failure any more after the patch. All 12 tests pass.", None), (GOAL, f"{GOAL}. The cause was a.limit, which load_b read before it had been written.", None), (GOAL, "Changed files:\n- src/a.py\n- src/b.py", None), (GOAL, "Fixed in 49b41e33.", None),
     (GOAL, "The log line read “Die Ursache war der Wert, weil er zu früh gelesen wurde.”. I added a guard to scan_a.", None), (f"{GOAL} (reply in German)", "Die Ursache war cache.limit, weil load_a den Wert zu früh gelesen hat.", None), (GOAL, "The old value came from commit 1a2b3c4d.\n\nExit code 0", None),
+    (GOAL, "I added a guard to scan_a.\n1. test_b\n2. Run the", "truncated"), (GOAL, "I added a guard to scan_a.\n- After that, check whether", "truncated"), ("Behebe den Fehler in scan_a, der nach dem Neustart auftritt", "Ich habe scan_a geändert.\n1. Danach wird der", "truncated"),
+    (GOAL, "I added a guard to scan_a.\n- Close the file before the run\n- Plan A", None), (GOAL, "I added a guard to scan_a.\n1. the", None),
     (GOAL, "See https://a.example/b", None), (None, "I added a guard to scan_a.", None),
 ]
 
