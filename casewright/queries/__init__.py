@@ -1,6 +1,6 @@
 """Registered queries of the reference operators and their SQL."""
 
-from casewright.queries import records, scans, stores
+from casewright.queries import records, reports, scans, stores
 from casewright.queries.core import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "records", "scans", "stores"]
+__all__ = ["ORACLES", "QUERIES", "records", "reports", "scans", "stores"]

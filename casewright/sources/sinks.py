@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casewright.functions.text import CREDENTIALS, content_hash, redact
 from casewright.operators.sequences import numbered
@@ -47,15 +48,25 @@ def write_lines(df: DataFrame, path: str, order: list[str]) -> int:
     return spark.read.text(path).count()
 
 
+def _safe(c: Column, kind: T.DataType) -> Column | None:
+    """A value with credentials replaced in all its strings; None where its kind holds none."""
+    if isinstance(kind, T.StringType):
+        return redact(c, CREDENTIALS)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _safe(x, kind.elementType)) if _safe(F.lit(None), kind.elementType) is not None else None
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _safe(v, kind.valueType)) if _safe(F.lit(None), kind.valueType) is not None else None
+    if isinstance(kind, T.StructType):
+        parts = {f.name: _safe(c[f.name], f.dataType) for f in kind}
+        if all(p is None for p in parts.values()):
+            return None
+        return F.when(c.isNotNull(), F.struct(*((c[n] if p is None else p).alias(n) for n, p in parts.items())))
+    return None
+
+
 def redacted(df: DataFrame) -> DataFrame:
-    """Every string column and every string in arrays of strings with credentials replaced."""
-    out = {}
-    for f in df.schema:
-        kind = f.dataType.simpleString()
-        if kind == "string":
-            out[f.name] = redact(F.col(f.name), CREDENTIALS)
-        elif kind == "array<string>":
-            out[f.name] = F.transform(f.name, lambda x: redact(x, CREDENTIALS))
+    """Every string at any depth (arrays, structs, values of maps) with credentials replaced; keys and other values stay."""
+    out = {f.name: c for f in df.schema if (c := _safe(F.col(f.name), f.dataType)) is not None}
     return df.withColumns(out) if out else df
 
 
