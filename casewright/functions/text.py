@@ -266,8 +266,9 @@ def epoch(ts: Column) -> Column:
 
 
 def utc_stamp(ts: Column) -> Column:
-    """ISO-8601 with seconds and Z, whatever the session's zone."""
-    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """ISO-8601 with seconds and Z, whatever the session's zone (a clock without zone, so no hour of a change of clocks is lost)."""
+    clock = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.unix_seconds(ts).cast("decimal(18,6)"))
+    return F.concat(F.replace(clock.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def version_tuple(text: Column) -> Column:
