@@ -163,7 +163,7 @@ _MINED = " UNION ALL ".join(
 )
 
 
-@query(f"SELECT 0 AS id, signature, error_excerpt, diagnosis, 1 AS times_seen, '{T.MINED['last_seen']}' AS last_seen, '{T.MINED['confirmed_by']}' AS confirmed_by FROM ({_MINED}) QUALIFY row_number() OVER (PARTITION BY signature ORDER BY s, k, p) = 1")
+@query(f"SELECT 0::BIGINT AS id, signature, error_excerpt, diagnosis, 1::BIGINT AS times_seen, '{T.MINED['last_seen']}' AS last_seen, '{T.MINED['confirmed_by']}' AS confirmed_by FROM ({_MINED}) QUALIFY row_number() OVER (PARTITION BY signature ORDER BY s, k, p) = 1")
 def mined_archive(spark, d):
     """Cases of decision logs, commits and transcripts, the first of every signature, as rows of a case base."""
     logs = T.decision_cases(_t(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "k")
@@ -258,7 +258,7 @@ def session_actions(spark, d):
 
 @query(
     f"{_SESSION}, g AS (SELECT session_id, {_STRIP.format('goal')} AS g FROM t WHERE length({_STRIP.format('goal')}) > 0 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY traj_id) = 1), v AS (SELECT session_id, count(*) AS m, (count(*) + sum(len(steps)))::BIGINT AS p, sum(len(steps))::BIGINT AS n FROM t GROUP BY 1) "
-    f"SELECT substr(sha256('mine:' || session_id), 1, 32) AS experience_id, session_id, coalesce({_SHORT.format('g')}, 'continued prior work in /work') AS goal, m AS message_count, p AS part_count, n AS tool_count, 0.3 AS confidence FROM v LEFT JOIN g USING (session_id) WHERE g IS NOT NULL OR p >= 100"
+    f"SELECT substr(sha256('mine:' || session_id), 1, 32) AS experience_id, session_id, coalesce({_SHORT.format('g')}, 'continued prior work in /work') AS goal, m AS message_count, p AS part_count, n AS tool_count, 0.3::DOUBLE AS confidence FROM v LEFT JOIN g USING (session_id) WHERE g IS NOT NULL OR p >= 100"
 )
 def mined_sessions(spark, d):
     """Sessions as mined experiences."""

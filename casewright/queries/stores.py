@@ -80,7 +80,7 @@ def repository_states(spark, d):
 def unified_search(spark, d):
     """The three best of each store for a question."""
     found = K.unified_search(_t(spark, d, "cases"), _t(spark, d, "documents"), _once(_t(spark, d, "experiences"), "experience_id"), "stale manifest")
-    return found.select("source", "key", F.round("score", 6).alias("score"), "rank")
+    return found.select("source", "key", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(
