@@ -14,6 +14,7 @@ from casewright.operators import checks as C
 from casewright.operators import relational as R
 from casewright.operators import sequences as S
 from casewright.plans import pipelines as P
+from casewright.plans.session import scratch
 from casewright.sources import text as T
 from casewright.sources.pages import OTHER_FORM, SCRIPT_FORMS, SCRIPT_IMPORT, definitions, extract_code, extract_pages, importers, references
 from casewright.sources.sinks import canonical_lines
@@ -1011,11 +1012,7 @@ def _stream(spark, d, name):
 
 
 def _run_store(spark, stream) -> DataFrame:
-    import uuid
-
-    from casewright.plans.session import ensure_checkpoint_dir
-
-    base = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    base = scratch(spark)
     stores.write_store(stream, f"{base}/rows", f"{base}/state").awaitTermination()
     return stores.read_store(spark, f"{base}/rows")
 
@@ -1048,12 +1045,8 @@ _LADDER = """WITH e AS (SELECT user_id AS key, event_type <> 'error' AS ok, prop
 @query(_LADDER)
 def stream_failure_ladder(spark, d):
     """Streak and strategy after every event of each user, kept as state of a stream."""
-    import uuid
-
-    from casewright.plans.session import ensure_checkpoint_dir
-
     e = _t(spark, d, "events").withColumn("ok", F.col("event_type") != "error")
-    base = f"{ensure_checkpoint_dir(spark)}/ladder-{uuid.uuid4().hex}"
+    base = scratch(spark)
     stores.numbered_events(e, "user_id", [F.col("ts"), F.col("event_id")]).select("user_id", "seq", "ok", "props").write.parquet(f"{base}/events")
     stream = spark.readStream.schema("user_id bigint, seq bigint, ok boolean, props string").parquet(f"{base}/events")
     out = stores.failure_ladder(stream, "user_id", "seq", "ok", "props")

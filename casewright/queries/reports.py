@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from casewright.functions import text as X
 from casewright.operators import records as O
 from casewright.operators import reports as P
-from casewright.plans.session import ensure_checkpoint_dir
+from casewright.plans.session import scratch
 from casewright.queries.core import _ONCE_E, _ONCE_T, _RUN, _once, _runs, _t, _ts, query
 from casewright.queries.records import _CHAT, _chats
 from casewright.sources import sinks
@@ -151,7 +149,7 @@ def exported_training(spark, d):
     """Chats of accepted trajectories, written as a training file and read back."""
     kept = _tr(spark, d).where("verdict = 'ACCEPT' AND trajectory_class IN ('successful', 'recovered')").select("traj_id", "verdict", F.size("steps").alias("steps"))
     rows = _chats(spark, d).join(kept, "traj_id").select("traj_id", "messages", F.struct("verdict", "steps").alias("metadata"))
-    path = f"{ensure_checkpoint_dir(spark)}/training-{uuid.uuid4().hex}.jsonl"
+    path = f"{scratch(spark)}/training.jsonl"
     sinks.write_lines(rows, path, ["traj_id"])
     got = spark.read.schema("traj_id BIGINT, messages ARRAY<STRUCT<role: STRING, content: STRING>>, metadata STRUCT<verdict: STRING, steps: BIGINT>").json(path)
     return got.select("traj_id", F.size("messages").cast("bigint").alias("messages"), "metadata.verdict", "metadata.steps")

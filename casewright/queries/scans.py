@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from casewright.functions import text as X
 from casewright.operators import aggregates as A
 from casewright.operators import checks as C
 from casewright.operators import sequences as S
-from casewright.plans.session import ensure_checkpoint_dir
+from casewright.plans.session import scratch
 from casewright.queries.core import ORACLES, _ONCE_E, _ONCE_T, _RUN, _STRIP, _once, _runs, _sql_canonical, _t, query
 from casewright.sources import jsonl, sessions, sinks
 from casewright.sources import text as T
@@ -20,7 +18,7 @@ from casewright.streaming import stores
 
 def _file(spark: SparkSession, df: DataFrame, order: list[str]) -> str:
     """A JSON Lines file of ``df`` in the shared folder."""
-    path = f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4().hex}.jsonl"
+    path = f"{scratch(spark)}/rows.jsonl"
     sinks.write_lines(df, path, order)
     return path
 
@@ -99,7 +97,7 @@ def lenient_files(spark, d):
     """Rows of the case base read leniently, and of the same with one broken line."""
     c = _t(spark, d, "cases").select("id", "times_seen")
     good = _file(spark, c, ["id"])
-    bad = f"{ensure_checkpoint_dir(spark)}/scan-{uuid.uuid4().hex}"
+    bad = f"{scratch(spark)}/rows"
     spark.read.text(good).union(spark.range(1).select(F.lit("{broken").alias("value"))).write.text(bad)
     ddl = "id BIGINT, times_seen BIGINT"
     return jsonl.read_lenient(spark, good, ddl).agg(F.lit("good").alias("file"), F.count("*").alias("n")).union(jsonl.read_lenient(spark, bad, ddl).agg(F.lit("bad").alias("file"), F.count("*").alias("n")))
@@ -119,7 +117,7 @@ def eval_run_files(spark, d):
     m = _runs(spark, d).groupBy("run", "model", "task").agg((F.count_if("success") * 2 >= F.count("*")).alias("success"), F.max("iterations").cast("int").alias("iterations"))
     by_task = m.groupBy("run", "model").agg(F.map_from_entries(F.collect_list(F.struct("task", F.struct("success", "iterations")))).alias("r"))  # a few states
     runs = by_task.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("model", "r"))).alias("results"))  # a few priorities
-    folder = f"{ensure_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/runs"
     runs.select("run", F.to_json(F.struct(F.col("run").cast("string").alias("run_id"), F.lit("s").alias("started_at"), "results")).alias("value")).write.partitionBy("run").text(folder)  # a file a run
     return jsonl.read_eval_runs(spark, folder).select("run_id", "model", "task", "success", "iterations")
 

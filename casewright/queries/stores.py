@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from casewright.operators import relational as R
 from casewright.operators import sequences as S
 from casewright.plans import knowledge as K
-from casewright.plans.session import ensure_checkpoint_dir
+from casewright.plans.session import scratch
 from casewright.queries.core import _ONCE_E, _ONCE_T, _once, _t, query
 from casewright.sources import databases, trees
 from casewright.streaming import feeds
@@ -127,7 +125,7 @@ def budgeted_events(spark, d):
 
 def _folder(spark, d):
     """Events numbered by user as a folder of files in the shared folder."""
-    base = f"{ensure_checkpoint_dir(spark)}/feed-{uuid.uuid4().hex}"
+    base = scratch(spark)
     e = ST.numbered_events(_t(spark, d, "events"), "user_id", [F.col("ts"), F.col("event_id")])
     e.select("user_id", F.col("seq").cast("bigint").alias("seq"), "event_id", (F.col("event_type") != "error").alias("ok")).write.parquet(f"{base}/events")
     return base, "user_id bigint, seq bigint, event_id bigint, ok boolean"
