@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm import pair_examples as examples
 from casewright.llm.crf import ChainCRF
-from casewright.llm.language import FUNCTION_WORDS, asked_languages, language_of, prose_words
+from casewright.llm.language import FUNCTION_WORDS, TASK_WORDS, asked_languages, language_of, prose_words
 from casewright.llm.literals import Sieve
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
@@ -56,7 +56,7 @@ _FIRM = re.compile(r"^\s*(?:return|def|assert|raise|import|yield)\b.*[=()\[\]:]|
 _WORD = re.compile(r"[^\W_]+")
 _ADDRESS = re.compile(r"https?://\S+$")
 _HAN = regex.compile(r"\p{Han}{4,}")
-_FUNCTION = frozenset(w for v in FUNCTION_WORDS.values() for w in v.split()) - {"i", "no", "all"}
+_FUNCTION = frozenset(w for t in (FUNCTION_WORDS, TASK_WORDS) for v in t.values() for w in v.split()) - {"i", "no", "all"}
 _LONGEST = 2 * max(map(len, NO_ANSWER))  # lower case may be shorter
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|```\w*")
 

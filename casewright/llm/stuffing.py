@@ -16,7 +16,7 @@ from casewright.llm.language import FUNCTION_WORDS
 #: A repeat counts from so many occurrences and so many characters on; a piece is covered from this share on.
 OCCURRENCES, LEAST_CHARS, COVERED = 3, 4, 0.5
 
-_FUNCTION = {w for v in FUNCTION_WORDS.values() for w in v.split()} - {"add", "free", "test", "tests", "run", "new", "speed", "review", "replace", "document", "show", "clean", "use", "over", "up", "me", "continue", "old", "first", "last", "fix", "make"}
+_FUNCTION = {w for v in FUNCTION_WORDS.values() for w in v.split()}
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _TOKEN = regex.compile(r"https?://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|#[\p{L}\p{N}_]+|\p{Han}|\p{N}+(?:[.,]\p{N}+)*|[\p{L}_][\p{L}\p{N}_.\-]*|[^\s\p{L}\p{N}]")
 _HUMP = regex.compile(r"\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\p{N}+")
