@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.functions.text import parse_stamp
+from casewright.functions.text import parse_stamp, strip
 from casewright.operators.records import all_reasons, first_decision, substantive
 
 # What errors of the environment say.
@@ -91,7 +91,7 @@ def demonstration_faults(goal: Column, steps: Column, final: Column, discover: l
             (~F.coalesce(first.isin(discover), F.lit(False)), "no look around first"),
             (F.size(reads) == 0, "reads nothing"),
             (blind, "writes what it has not read"),
-            (F.length(F.trim(F.coalesce(final, F.lit("")))) == 0, "no final answer"),
+            (F.length(strip(F.coalesce(final, F.lit("")))) == 0, "no final answer"),
             (~named, "final answer names no file"),
             (~substantive(goal, 3), "goal under three words"),
         ]

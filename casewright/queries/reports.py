@@ -8,7 +8,7 @@ from casewright.functions import text as X
 from casewright.operators import records as O
 from casewright.operators import reports as P
 from casewright.plans.session import scratch
-from casewright.queries.core import _ONCE_E, _ONCE_T, _RUN, _once, _runs, _t, _ts, query
+from casewright.queries.core import _ONCE_E, _ONCE_T, _RUN, _STRIP, _once, _runs, _t, _ts, query
 from casewright.queries.records import _CHAT, _chats
 from casewright.sources import sinks
 
@@ -97,7 +97,7 @@ def rule_matches_with_exit(spark, d):
     f"""WITH t AS ({_ONCE_T}), s AS (SELECT traj_id, generate_subscripts(steps, 1) AS k, unnest(steps).tool AS tool, coalesce(unnest(steps).args->>'$.path', '') AS path FROM t),
     f AS (SELECT traj_id, [CASE WHEN NOT coalesce(steps[1].tool IN ('list_directory', 'search_code'), false) THEN 'no look around first' END, CASE WHEN len(list_filter(steps, lambda s: s.tool = 'read_file')) = 0 THEN 'reads nothing' END,
     CASE WHEN EXISTS (SELECT 1 FROM s w WHERE w.traj_id = t.traj_id AND w.tool IN ('write_file', 'edit_file') AND NOT EXISTS (SELECT 1 FROM s r WHERE r.traj_id = w.traj_id AND r.tool = 'read_file' AND r.path = w.path AND r.k < w.k)) THEN 'writes what it has not read' END,
-    CASE WHEN length(trim(coalesce(final_answer, ''))) = 0 THEN 'no final answer' END, CASE WHEN NOT EXISTS (SELECT 1 FROM s WHERE s.traj_id = t.traj_id AND path <> '' AND contains(coalesce(final_answer, ''), path)) THEN 'final answer names no file' END,
+    CASE WHEN length({_STRIP.format("coalesce(final_answer, '')")}) = 0 THEN 'no final answer' END, CASE WHEN NOT EXISTS (SELECT 1 FROM s WHERE s.traj_id = t.traj_id AND path <> '' AND contains(coalesce(final_answer, ''), path)) THEN 'final answer names no file' END,
     CASE WHEN len(list_filter(string_split_regex(coalesce(goal, ''), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')) < 3 THEN 'goal under three words' END] AS l FROM t)
     SELECT traj_id, array_to_string(list_filter(l, lambda x: x IS NOT NULL), '; ') AS faults FROM f"""
 )
